@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.textbatch import TextBatch, mix, slices
+from loomline.llm.textbatch import TextBatch, mix, slices, within
 from loomline.session import cut
 
 #: 1: the word counts, 0: any word may stand there. All masks span the shortest passage.
@@ -57,7 +57,7 @@ def _seeded(column: str, ids: Sequence[str], schema: pa.Schema, known=None, mask
             doc = np.concatenate([words.doc[at] for at, _ in found])
             value = np.concatenate([v for _, v in found])
             if wanted is not None:
-                hit = np.isin(value, wanted)
+                hit = within(value, wanted)
                 doc, value = doc[hit], value[hit]
             pair = np.unique(np.rec.fromarrays([doc, value])) if len(doc) else np.rec.fromarrays([doc, value])
             rows = np.unique(pair["f0"])

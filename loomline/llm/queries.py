@@ -15,6 +15,36 @@ def _texts(spark: SparkSession, d: str, raw: str = "text", sft: str = "assistant
     return a.unionByName(b)
 
 
+def _profiles(spark: SparkSession, d: str):
+    from loomline.llm.language import fit_profiles
+    from loomline.llm.tokens import language_label
+
+    labelled = table(spark, d, "main_raw").select(F.col("ord").alias("id"), language_label(F.col("lang")).alias("lang"), "text")
+    return fit_profiles(table(spark, d, "lang_samples"), labelled)
+
+
+def _languages(spark: SparkSession, d: str):
+    from loomline.llm.language import detect_languages, without_code
+    from loomline.llm.tokens import language_label
+
+    profiles = _profiles(spark, d)
+    texts = _texts(spark, d).select("tbl", "id", language_label(F.col("lang")).alias("label"), without_code(F.col("text")).alias("text"))
+    return detect_languages(texts, ["tbl", "id", "label"], "text", profiles), profiles
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.llm.language import wrong_labels
+
+    detected, profiles = _languages(spark, d)
+    return wrong_labels(detected, F.col("label"), profiles).select("tbl", "id", F.col("found.lang").alias("lang")).distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's segments with language and confidence."""
+    detected, _ = _languages(spark, d)
+    return detected.select("tbl", "id", F.explode("segments").alias("s")).select("tbl", "id", "s.*")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from loomline.llm.leaks import leaks
 
@@ -65,6 +95,26 @@ def p5_copies(spark: SparkSession, d: str) -> DataFrame:
     return formatting_classes(_formatting_groups(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.llm.answers import pair_defects
+
+    return pair_defects(table(spark, d, "main_sft"), _profiles(spark, d)).select("sft_id", F.explode("defects").alias("defect")).distinct()
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.llm.quality import text_statistics
+
+    measured = text_statistics(table(spark, d, "main_raw"), "ord", "text")
+    return measured.where(F.col("kind").isin("list", "table", "junk")).select("ord", "kind").distinct()
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics, kinds and failed rules of main_raw."""
+    from loomline.llm.quality import text_statistics
+
+    return text_statistics(table(spark, d, "main_raw"), "ord", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from loomline.llm.tokens import encode
 

@@ -51,6 +51,13 @@ def folded() -> np.ndarray:
     return table
 
 
+@functools.lru_cache(64)
+def _table_of(signs: str) -> np.ndarray:
+    table = np.zeros(_TOP, bool)
+    table[[ord(c) for c in signs]] = True
+    return table
+
+
 class TextBatch:
     """Code points ``cp`` of n texts; text k is ``cp[starts[k]:starts[k + 1]]``. A null text counts as empty."""
 
@@ -96,8 +103,16 @@ class TextBatch:
         """How many of the flags are set in each text."""
         return self.sum_in(flags, self.starts[:-1], self.starts[1:])
 
+    def among(self, signs: str) -> np.ndarray:
+        """True for code points that are one of the signs."""
+        return _table_of(signs)[self.cp]
+
     @staticmethod
     def sum_in(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sum of the values in each span."""
+        if values.dtype == bool and len(start) * 8 < len(values):
+            at = np.flatnonzero(values)
+            return np.searchsorted(at, end) - np.searchsorted(at, start)
         total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "bui" else np.float64)
         np.cumsum(values, out=total[1:])
         return total[end] - total[start]
@@ -131,6 +146,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """True for values that are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Words:
     def __init__(self, batch: TextBatch, start: np.ndarray, end: np.ndarray, keep: np.ndarray):
         self.batch, self.start, self.end, self.keep = batch, start, end, keep

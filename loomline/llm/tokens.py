@@ -71,10 +71,9 @@ NO_LANGUAGE = ("", "und", "unknown", "none", "null", "n/a", "xx", "zxx", "mis",
 
 def language_label(label: Column) -> Column:
     """Two-letter code of a label in any code style (``tur_Latn``, ``TR``, ``tr-TR``); null if it names none."""
-    code = F.lower(F.split(F.trim(label), "[-_ ]")[0])
-    for long, short in LANGUAGE_CODES.items():
-        code = F.when(code == long, short).otherwise(code)
-    return F.when(~code.isin(*NO_LANGUAGE), code)
+    code = F.regexp_extract(F.lower(label), r"^\s*([^-_\s]*)", 1)
+    short = F.create_map(*(F.lit(x) for pair in LANGUAGE_CODES.items() for x in pair), *(F.lit(x) for none in NO_LANGUAGE for x in (none, "")))
+    return F.nullif(F.coalesce(F.try_element_at(short, code), code), F.lit(""))
 
 
 def slice_name(value: Column) -> Column:
