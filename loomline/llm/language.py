@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.textbatch import LETTER, MARK, IGNORED, NUMBER, TextBatch, slices
+from loomline.llm.textbatch import IGNORED, LETTER, MARK, TextBatch, slices
+from loomline.session import bounded_sample
 
 DIMENSION = 8192
 #: Shares of the frequent words, the clean samples and the labelled rows in the prototypes.
@@ -331,8 +332,8 @@ def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None) -> Profi
     rows = []
     if labelled is not None:
         known = sorted({k for k, _ in clean} | FREQUENT_WORDS.keys())
-        part = labelled.where(F.col("lang").isin(known) & F.col("text").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(LABELLED_ROWS)
-        rows = [(r.lang, r.text) for r in part.select("lang", "text").collect()]
+        part = labelled.where(F.col("lang").isin(known) & F.col("text").isNotNull() & (F.length("text") > 40))
+        rows = [(r.lang, r.text) for r in bounded_sample(part, "id", LABELLED_ROWS).select("lang", "text").collect()]
     return Profiles.fit(clean, rows)
 
 

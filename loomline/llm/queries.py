@@ -121,6 +121,24 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    from loomline.llm.privacy import find_personal, fit_finder
+
+    documents = table(spark, d, "documents")
+    return find_personal(documents, "doc_id", "text", fit_finder(documents, "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", "f.found").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    from loomline.llm.privacy import redacted
+
+    return _personal(spark, d).select("doc_id", redacted(F.col("text"), F.col("found")).alias("text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
