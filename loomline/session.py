@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
@@ -22,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of their ids, and never more than twice as many."""
+    total = max(df.count(), 1)
+    if total <= rows:
+        return df.limit(rows)
+    return df.where(F.pmod(F.xxhash64(id_column), F.lit(total)) < rows).limit(2 * rows)
