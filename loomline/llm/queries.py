@@ -74,6 +74,29 @@ def p3_totals(spark: SparkSession, d: str) -> DataFrame:
     return token_totals(count_tokens(_token_rows(spark, d), "text", ["source", "lang", "domain"]))
 
 
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows sized by the tokens of their task and action, in both mixtures."""
+    from loomline.llm.mixture import bucket_name, mixture
+    from loomline.llm.tokens import count_tokens
+
+    rows = table(spark, d, "cu07_manifest")
+    rows = rows.select(F.col("row_id").alias("id"), bucket_name(F.col("source")).alias("source"), bucket_name(F.col("operation")).alias("operation"), F.concat_ws("\n", "task", "action_source").alias("text"))
+    sized = count_tokens(rows, "text", ["id", "source", "operation"]).withColumnRenamed("n_tokens", "tokens")
+    axes = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("bucket")) for a in ("source", "operation")))
+    records = sized.withColumn("x", F.explode(axes)).select("x.axis", "x.bucket", "id", "tokens")
+    return mixture(records, table(spark, d, "mix_targets"))
+
+
+def p4_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every drawn row of both mixtures with the number of times it is used."""
+    return _mixture(spark, d)[0]
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source and operation."""
+    return _mixture(spark, d)[1]
+
+
 def _formatting_groups(spark: SparkSession, d: str) -> DataFrame:
     from loomline.llm.formatting import formatting_records
 
@@ -121,6 +144,20 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document, for each capacity, with the room left unused."""
+    from loomline.llm.packing import pack_all
+
+    return pack_all(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "pack_sizes"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and unused room of each capacity."""
+    from loomline.llm.packing import fill_summary
+
+    return fill_summary(p9_containers(spark, d))
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     from loomline.llm.privacy import find_personal, fit_finder
 
