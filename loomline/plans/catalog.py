@@ -1,11 +1,15 @@
-"""All queries of the core operators and their SQL."""
+"""All queries of the core operators over the project's tables, each with its equal SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from loomline.plans import chat, corpus, deductive, manifest, streams
+
+PARTS = (corpus, chat, manifest, deductive, streams)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for part in PARTS for name, run in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -13,15 +13,20 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, for checkpoints: the cluster's ``spark.checkpoint.dir``. Only where that is
+    unset, as in local tests, a folder of this process is set."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isDefined():
+        return context.getCheckpointDir().get()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    spark.sparkContext.setCheckpointDir(path)
+    return context.getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that a lost executor costs a re-read and no re-run.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a folder of this process is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """Cut the lineage with a reliable checkpoint, so that a lost executor costs a re-read and no re-run."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
