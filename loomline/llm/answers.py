@@ -69,14 +69,14 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     rows = rows.withColumn("copy", ~F.col("empty") & (_repeats(F.col("a"), F.col("q")) | _repeats(told, F.col("q"))))
 
     body = F.col("body")
+    rows = rows.withColumns({"last": F.substring_index(body, "\n", -1), "plain": without_code(body)})
     fences = F.size(F.split(body, "```")) - 1
     call = F.regexp_extract(body, r"(?s)^<\|tool_call\|>(.*?)(?:<\|tool_end\|>|\z)", 1)
     is_call, is_json = body.startswith("<|tool_call|>"), body.rlike(r'^(?:\{\s*["}]|\[\s*[\{\[])')
     last_call = F.element_at(F.split(body, r"<\|tool_call\|>"), -1)
     broken_call = ~last_call.contains("<|tool_end|>") & F.try_parse_json(call).isNull() | last_call.contains("<|tool_end|>") & F.try_parse_json(F.split(last_call, r"<\|tool_end\|>")[0]).isNull()
     broken_call = broken_call | ~last_call.contains("<|tool_end|>")
-    is_code = without_code(body) != body
-    last = F.regexp_extract(body, r"([^\n]*)\z", 1)
+    is_code, last = F.col("plain") != body, F.col("last")
     words = F.size(F.split(body, r"\s+"))
     ended = last.rlike(r"[.!?…。؟][\s\x22'”’»“)\]}*_~]*$")
     item = last.rlike(_ITEM)
@@ -95,7 +95,7 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     rows = rows.withColumns({"truncated": ~F.col("empty") & ~F.col("copy") & truncated, "refusal": ~F.col("empty") & ~F.col("copy") & refusal})
 
     keep = ["sft_id", "empty", "copy", "truncated", "refusal", "speech", "asks"]
-    rows = rows.withColumns({"speech": F.when(~F.col("empty"), without_code(body)), "asks": F.coalesce(F.col("user").rlike(ASKS_LANGUAGE), F.lit(False))})
+    rows = rows.withColumns({"speech": F.when(~F.col("empty"), F.col("plain")), "asks": F.coalesce(F.col("user").rlike(ASKS_LANGUAGE), F.lit(False))})
     asked = detect_languages(rows, keep, "user", profiles).withColumnRenamed("languages", "asked").drop("segments", "scores")
     both = detect_languages(asked, ["sft_id", "empty", "copy", "truncated", "refusal", "asks", "asked"], "speech", profiles)
     known = F.array(*map(F.lit, profiles.languages))
