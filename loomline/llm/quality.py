@@ -179,7 +179,7 @@ def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     n_words, n_lines = np.bincount(words.doc, minlength=n), np.bincount(lines.doc, minlength=n)
     ink, letters, digits = by(lines.ink), by(lines.letters), by(lines.digits)
     symbols = text.count(text.cls == OTHER)
-    plain = text.count(text.among(".,;:!?'\"“”’«»()-–—…¿¡"))
+    plain = text.count(text.among("|.,;:!?'\"“”’«»()-–—…¿¡"))
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, words.doc, words.length)
     length = ratio(np.bincount(words.doc, words.length, n), n_words)
