@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from loomline.functions import knowledge
 from loomline.operators import deductive as r
 from loomline.operators import typed
 from loomline.session import table
@@ -106,7 +107,31 @@ def code(spark, d):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("x.symbols")).alias("symbols"), F.sum(F.size("x.calls")).alias("calls"), F.sum((F.size("x.diagnostics") > 0).cast("long")).alias("with_diagnostics"))
 
 
+TALLER = r.Rule((r.Atom("TallerThan", ("?x", "?y")), r.Atom("TallerThan", ("?y", "?z"))), r.Atom("TallerThan", ("?x", "?z")), "taller")
+WARM = r.Rule((r.Atom("IsA", ("?x", "Mammal")),), r.Atom("WarmBlooded", ("?x",)), "warm")
+REACH = r.Rule((r.Atom("ConnectsTo", ("?x", "?y")), r.Atom("LocatedIn", ("?y", "?z"))), r.Atom("Near", ("?x", "?z")), "near")
+
+
+def written(spark, d):
+    """Facts written in the documents, with how many documents hold each."""
+    rows = knowledge.written_facts(table(spark, d, "documents"), ["doc_id"], "text")
+    return flat(rows.groupBy("predicate", "args").agg(F.count_distinct("doc_id").alias("documents")))
+
+
+def written_closure(spark, d):
+    rows = knowledge.written_facts(table(spark, d, "documents"), ["doc_id"], "text").select("predicate", "args")
+    return flat(r.infer(rows, [TALLER, WARM, REACH]).facts.select("predicate", "args"))
+
+
+def stated(spark, d):
+    """Facts and questions in the sentences of the corpus, by predicate."""
+    rows = table(spark, d, "documents").select(F.explode(F.split("text", r"(?<=[.?!])\s+|\n")).alias("s")).where(F.length("s").between(5, 120))
+    rows = rows.select(knowledge.statement_atom(F.col("s"))["predicate"].alias("states"), knowledge.question_atom(F.col("s"))["predicate"].alias("asks"))
+    return rows.groupBy("states", "asks").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "written_facts": written, "written_closure": written_closure, "stated_facts": stated,
     "facts_from_tables": facts_from_tables, "deductive_closure": closure, "ground_queries": queries_, "rule_derivations": derivations, "describe_entity": described, "memory_stats": statistics, "alias_resolution": resolved,
     "triple_counts": triples, "lexicon_edges": lexicon, "arithmetic_ops": arithmetic, "compare_sort_ops": compare_sort, "verify_ops": verified, "code_analysis": code,
 }
@@ -116,7 +141,15 @@ _FACTS = """f AS (SELECT DISTINCT 'LocatedIn' AS p, n_name AS a, r_name AS b FRO
 _CLOSED = "l AS (SELECT a, b FROM f WHERE p = 'LocatedIn' UNION SELECT x.a, y.b FROM l x JOIN f y ON x.b = y.a AND y.p = 'LocatedIn')"
 _SERVES = "s AS (SELECT DISTINCT x.a FROM l x JOIN f k ON k.p = 'Kind' AND k.a = x.a JOIN l e ON e.a = x.b AND e.b = 'EUROPE')"
 
+_WRITTEN = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z]*\([A-Za-z_][A-Za-z0-9_]*(?:, [A-Za-z_][A-Za-z0-9_]*)*\))', 1)) AS s FROM documents),
+    f AS (SELECT doc_id, split_part(s, '(', 1) AS p, replace(regexp_extract(s, '\((.*)\)', 1), ', ', '|') AS a FROM w)"""
+
 SQL = {
+    "written_facts": f"WITH {_WRITTEN} SELECT p AS predicate, a AS args, count(DISTINCT doc_id) AS documents FROM f GROUP BY ALL",
+    "written_closure": f"""WITH RECURSIVE {_WRITTEN}, g AS (SELECT DISTINCT p, a, split_part(a, '|', 1) AS x, split_part(a, '|', 2) AS y, len(string_split(a, '|')) AS n FROM f),
+        t AS (SELECT x, y FROM g WHERE p = 'TallerThan' AND n = 2 UNION SELECT t.x, g.y FROM t JOIN g ON g.p = 'TallerThan' AND g.n = 2 AND t.y = g.x)
+        SELECT p AS predicate, a AS args FROM g UNION SELECT 'TallerThan', x || '|' || y FROM t UNION SELECT 'WarmBlooded', x FROM g WHERE p = 'IsA' AND n = 2 AND y = 'Mammal'
+        UNION SELECT 'Near', c.x || '|' || l.y FROM g c JOIN g l ON c.p = 'ConnectsTo' AND c.n = 2 AND l.p = 'LocatedIn' AND l.n = 2 AND c.y = l.x""",
     "facts_from_tables": f"WITH {_FACTS} SELECT p AS predicate, a || '|' || b AS args FROM f",
     "deductive_closure": f"WITH RECURSIVE {_FACTS}, {_CLOSED}, {_SERVES} SELECT 'LocatedIn' AS predicate, a || '|' || b AS args FROM l UNION ALL SELECT 'Kind', a || '|' || b FROM f WHERE p = 'Kind' UNION ALL SELECT 'ServesEurope', a FROM s",
     "ground_queries": f"WITH RECURSIVE {_FACTS}, {_CLOSED} SELECT 'LocatedIn' AS predicate, c_name || '|EUROPE' AS args, c_name IN (SELECT a FROM l WHERE b = 'EUROPE') AS answer, CAST(2 AS BIGINT) AS rounds FROM customer",

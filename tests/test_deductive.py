@@ -66,3 +66,26 @@ def test_typed_operations():
     assert typed.analyze("def f(x)\n  pass", "python")["diagnostics"][0].startswith("SyntaxError")
     j = typed.analyze("import java.util.List;\npublic class A {\n  int f(int x) {\n    return g(x);\n  }\n", "java")
     assert j["imports"] == ["java.util.List"] and ("f", "g") in {(c["scope"], c["target"]) for c in j["calls"]} and j["diagnostics"] == ["UnbalancedBraces delta=1"]
+
+
+def test_statements_questions_and_plans(spark):
+    from pyspark.sql import functions as F
+
+    from loomline.functions import knowledge as k
+
+    said = {
+        "Mert bir bilgisayardır.": ("IsA", ["Mert", "Computer"]), "Ada bir kedidir.": ("IsA", ["Ada", "Cat"]), "Ali Ayşe'den daha uzundur": ("TallerThan", ["Ali", "Ayşe"]), "Ali is taller than Bob.": ("TallerThan", ["Ali", "Bob"]),
+        "Kitap çanta içindedir.": ("LocatedIn", ["Kitap", "çanta"]), "The key is in the box": ("LocatedIn", ["The_key", "box"]), "Rain falls.": None, "": None,
+    }
+    df = spark.createDataFrame([(x,) for x in said], "s string").select("s", k.statement_atom(F.col("s")).alias("a"))
+    assert {r.s: r.a and (r.a.predicate, r.a.args) for r in df.collect()} == said
+    asked = {"Mert bir bilgisayar mıdır?": ("IsA", ["Mert", "Computer"]), "Ali sıcakkanlı mıdır?": ("WarmBlooded", ["Ali"]), "Is Ali taller than Bob?": ("TallerThan", ["Ali", "Bob"]), "Nedir?": None}
+    df = spark.createDataFrame([(x,) for x in asked], "s string").select("s", k.question_atom(F.col("s")).alias("a"))
+    assert {r.s: r.a and (r.a.predicate, r.a.args) for r in df.collect()} == asked
+    ddl = "g string, e array<struct<id:string,role:string,name:string,value:string,enabled:boolean,visible:boolean>>"
+    screen = [("b1", "button", "Save", None, True, True), ("t1", "textbox", "Name", None, None, None), ("d1", "icon", "Notes", None, True, True), ("h", "button", "save", None, True, False)]
+    goals = {"save the file": [("CLICK", "b1", None)], 'type "hello"': [("CLICK", "t1", None), ("TYPE", "t1", "hello")], "open notes": [("DOUBLE_CLICK", "d1", None)], "scroll up": [("SCROLL", None, "UP")], "think": [("OBSERVE", None, None)], None: [("OBSERVE", None, None)]}
+    got = spark.createDataFrame([(g, screen) for g in goals], ddl).select("g", k.ui_plan(F.col("g"), F.col("e")).alias("p")).collect()
+    assert {r.g: [tuple(s) for s in r.p] for r in got} == goals
+    found = spark.createDataFrame([("x", screen)], ddl).select(k.find_elements(F.col("e"), F.array(F.lit("button")), F.array(F.lit("SAVE")))).first()[0]
+    assert found == ["b1"]
