@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import one_line, strip
+from loomline.functions.text import strip
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Markers of roles and of parts of an answer.
@@ -141,3 +141,34 @@ def pairs_as_messages(system: Column, user: Column, assistant: Column, train: Co
     """One-turn conversation of a pair, without empty messages."""
     raw = F.array(message("system", F.coalesce(system, F.lit(""))), message("user", F.coalesce(user, F.lit(""))), message("assistant", F.coalesce(assistant, F.lit("")), train))
     return clean_messages(raw)
+
+
+OPENAI = "array<struct<role:string,content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
+
+
+def openai_messages(messages: Column) -> Column:
+    """Messages with ``tool_calls``: calls become marked lines after the content, tool answers get their marker once.
+
+    Arguments that are no JSON object are kept under ``raw``.
+    """
+
+    def one(m: Column) -> Column:
+        calls = F.transform(
+            F.coalesce(m["tool_calls"], F.array().cast("array<struct<function:struct<name:string,arguments:string>>>")),
+            lambda c: format_tool_call(
+                F.coalesce(c["function"]["name"], F.lit("")),
+                F.when(F.try_parse_json(c["function"]["arguments"]).isNotNull() & c["function"]["arguments"].rlike(r"^\s*\{"), c["function"]["arguments"]).otherwise(F.to_json(F.struct(F.coalesce(c["function"]["arguments"], F.lit("")).alias("raw")))),
+            ),
+        )
+        content = strip(F.coalesce(m["content"], F.lit("")))
+        told = F.when(content.startswith(RESULT) | (content == ""), content).otherwise(F.concat(F.lit(RESULT), content, F.lit(CALL_END)))
+        body = F.when(m["role"] == "tool", told).when(F.size(calls) > 0, F.array_join(F.filter(F.concat(F.array(content), calls), lambda x: x != ""), "\n")).otherwise(content)
+        return message(F.lower(F.trim(m["role"])), body)
+
+    return F.filter(F.transform(messages, one), lambda m: m["role"].isin(*ROLES) & (m["content"] != ""))
+
+
+def history_tokens(messages: Column, tokens: Column) -> Column:
+    """Word tokens of a conversation for answering: role markers and contents in order, an open assistant at the end."""
+    parts = F.zip_with(messages, tokens, lambda m, t: F.concat(F.array(F.try_element_at(F.create_map(*(F.lit(x) for p in ROLE_MARKERS.items() for x in p)), m["role"])), t, F.when(m["role"] == "assistant", F.array(F.lit("<|end|>"))).otherwise(F.array().cast("array<string>"))))
+    return F.concat(F.array(F.lit("<bos>")), F.flatten(parts), F.array(F.lit(ROLE_MARKERS["assistant"])))

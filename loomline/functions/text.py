@@ -148,6 +148,23 @@ def lexical_diversity(text: Column) -> Column:
     return F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)))
 
 
+def repeated_token_ratio(text: Column) -> Column:
+    """Share of the most frequent token among all words and signs; 0 for fewer than four."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x1f\x{85}\p{Z}])"), 1)
+
+    def share(t: Column) -> Column:
+        # Runs of the sorted tokens: the longest is the most frequent token's.
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
+            return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+        return F.when(F.size(t) < 4, 0.0).otherwise(F.aggregate(F.array_sort(t), start, step, lambda a: a["best"]) / F.size(t))
+
+    return let(tokens, share)
+
+
 def is_turkish(text: Column) -> Column:
     return text.rlike(r"[çğıöşüÇĞİÖŞÜ]|(?i)\b(?:bir|ve|nedir|mi|mı|kimsin|hangi|nasıl)\b")
 

@@ -100,3 +100,13 @@ def balanced_draws(rows: DataFrame, label: str, key: str, draws: int, seed: int)
 def lane(number: Column) -> Column:
     """Lane of a step when three lanes take three, one and one of five steps."""
     return F.when(number % 5 < 3, "main").when(number % 5 == 3, "coder").otherwise("agent")
+
+
+def bank_slots(fp: Column, slots: int) -> Column:
+    """Both candidate slots of a fingerprint in a bank of so many."""
+    return F.struct((fp % slots).alias("a"), (fp.bitwiseXOR(F.call_function("div", fp, F.lit(slots))) % slots).alias("b"))
+
+
+def is_evaluation(key: Column, seed: int, percent: int = 2) -> Column:
+    """True for about so many of a hundred rows, by a hash of seed and key."""
+    return F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary")), F.lit(100)) < percent

@@ -95,7 +95,20 @@ def debugging(spark, d):
     return table(spark, d, "main_sft").select("sft_id", F.size(m).cast("long").alias("messages"), F.element_at(m, -1)["content"].alias("answer"))
 
 
+def agent_rows(spark, d):
+    """Documents as one-message traces: which have enough users, answers, calls and results to train an agent on."""
+    rows = markers(spark, d)
+    return rows.where("users >= 1 and assistants >= 1 or calls >= 2 and results >= 2").select("doc_id", (F.col("calls") + F.col("results")).alias("tool_turns"))
+
+
+def histories(spark, d):
+    m = F.col("messages")
+    tokens = F.transform(m, lambda x: streams.words(x["content"]))
+    return conversations(spark, d).select("sft_id", F.size(c.history_tokens(m, tokens)).cast("long").alias("tokens"))
+
+
 QUERIES = {
+    "agent_row_filter": agent_rows, "chat_history_tokens": histories,
     "chat_messages": messages, "chat_signature_dedup": dedup, "chat_row_caps": caps, "chat_tool_calls": calls, "chat_marker_counts": markers, "chat_mask_tokens_ws": mask_tokens, "sft_eligible_windows": windows,
     "chat_compact_context": compacted, "chat_position_roles": next_roles, "tool_loop_generator": tool_loops, "identity_surfaces": surfaces, "curriculum_histogram": curriculum, "debug_generator": debugging,
 }
@@ -103,7 +116,11 @@ QUERIES = {
 _MASK = f"""SELECT sft_id, list_concat([0], CASE WHEN s <> '' THEN list_concat([0], list_transform(range({TOK('s')}), lambda i: 0)) ELSE [] END, CASE WHEN u <> '' THEN list_concat([0], list_transform(range({TOK('u')}), lambda i: 0)) ELSE [] END,
     [0], list_transform(range({TOK('a')}), lambda i: CAST(t AS INT)), [CAST(t AS INT), CAST(t AS INT)]) AS mask FROM k"""
 
+_MC = lambda m: f"(length(text) - length(replace(text, '{m}', ''))) // {len(m)}"
+
 SQL = {
+    "agent_row_filter": f"SELECT doc_id, CAST(c + r AS BIGINT) AS tool_turns FROM (SELECT doc_id, {_MC('<|user|>')} AS u, {_MC('<|assistant|>')} AS a, {_MC('<|tool_call|>')} AS c, {_MC('<|tool_result|>')} AS r FROM documents WHERE text IS NOT NULL) WHERE u >= 1 AND a >= 1 OR c >= 2 AND r >= 2",
+    "chat_history_tokens": f"WITH {MESSAGES} SELECT sft_id, CAST(2 + CASE WHEN s <> '' THEN 1 + {TOK('s')} ELSE 0 END + CASE WHEN u <> '' THEN 1 + {TOK('u')} ELSE 0 END + 2 + {TOK('a')} AS BIGINT) AS tokens FROM k",
     "chat_messages": f"WITH {MESSAGES} SELECT sft_id, CAST((s <> '')::INT + (u <> '')::INT + 1 AS BIGINT) AS messages, length(s) + length(u) + length(a) AS chars, concat_ws(',', CASE WHEN s <> '' THEN 'system' END, CASE WHEN u <> '' THEN 'user' END, 'assistant') AS roles FROM k",
     "chat_signature_dedup": f"WITH {MESSAGES} SELECT source, sft_id FROM (SELECT source, sft_id, row_number() OVER (PARTITION BY {SIG} ORDER BY source, sft_id) AS r FROM k) WHERE r = 1",
     "chat_row_caps": f"WITH {MESSAGES} SELECT source, sft_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sft_id) AS q FROM (SELECT source, sft_id, row_number() OVER (PARTITION BY {SIG} ORDER BY source, sft_id) AS r FROM k) WHERE r = 1) WHERE q <= {CAP}",

@@ -137,7 +137,35 @@ def labels(spark, d):
     return table(spark, d, "part").select("p_partkey", t.symbol(name).alias("symbol"), t.display_label(t.symbol(name), F.lit(None).cast("string")).alias("label"))
 
 
+def wiki_fill(spark, d):
+    """Titled documents as title and text to one byte budget, no deduplication."""
+    rows = table(spark, d, "documents").where("title is not null").select("doc_id", t.one_line(F.col("title"), False).alias("title"), t.one_line(F.col("text"), False).alias("body"))
+    rows = rows.where(F.length("body") >= 200).select("doc_id", F.concat("title", F.lit("\n"), "body").alias("line")).withColumn("source", F.lit("wiki"))
+    return c.fill_budget(rows, ["source"], "doc_id", "line", 150_000, min_chars=0, dedup_prefix=None, slack=0).select("doc_id", "written_bytes")
+
+
+def repetition(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(t.repeated_token_ratio(F.col("text")), 6).alias("repeated"), t.lexical_diversity(F.col("text")).alias("distinct_words"))
+
+
+def sample_gate(spark, d):
+    """Answers against the thresholds of the sample validator."""
+    x = F.col("assistant")
+    rows = table(spark, d, "main_sft").where("assistant is not null").select("sft_id", t.letter_ratio(x).alias("letters"), t.punctuation_ratio(x).alias("marks"), t.repeated_token_ratio(x).alias("repeated"))
+    ok = (F.col("letters") >= 0.60) & (F.col("marks") <= 0.24) & (F.col("repeated") <= 0.42)
+    return rows.groupBy(ok.alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def input_gates(spark, d):
+    """Totals of the tables against minimums."""
+    one = lambda name, key, value: table(spark, d, name).agg(value.cast("double").alias("actual")).select(F.lit(key).alias("rule"), "actual")
+    totals = one("main_raw", "main_bytes", F.sum(F.octet_length("text"))).unionByName(one("coder_raw", "coder_bytes", F.sum(F.octet_length("text")))).unionByName(one("main_sft", "sft_rows", F.count("assistant")))
+    totals = totals.unionByName(one("cu07_manifest", "episodes", F.count_distinct("episode_id"))).unionByName(one("cu07_manifest", "domains", F.count_distinct("domain")))
+    return gates.minimum_gates(totals, {"main_bytes": 1_000_000, "coder_bytes": 250_000, "sft_rows": 1_000, "episodes": 100, "domains": 30, "agents": 1})
+
+
 QUERIES = {
+    "wiki_fill": wiki_fill, "repeated_token_ratio": repetition, "sample_gate": sample_gate, "input_gates": input_gates,
     "corpus_fill_budget": fill, "corpus_fill_statistics": fill_stats, "corpus_fill_stop_before": fill_stop, "corpus_language_mix": mix, "corpus_clean_lengths": clean_lengths,
     "corpus_dedup_first_wins": dedup_first_wins, "corpus_utf8_prefix": utf8, "corpus_quality_flags": quality, "corpus_quality_gate": quality_gate, "corpus_natural_text": natural,
     "copy_overlap_9gram": overlap, "copy_similarity_pairs": copies, "code_documents": code_documents, "code_fill_skip_tail": code_fill, "raw_source_statistics": raw_sources,
@@ -164,7 +192,18 @@ _SH = "list_distinct(list_transform(range(1, len(w) - 7), lambda i: array_to_str
 _INK = rf"len(regexp_extract_all(text, '[^\t-\r\x1c-\x1f\x{{85}}\pZ]'))"
 _LET = r"len(regexp_extract_all(text, '[\pL\pN]'))"
 
+_WL = lambda x: LINE.replace("text", x)
+_TK = r"[\pL\pN_]+|[^\pL\pN_\t-\r\x1c-\x1f\x{85}\pZ]"
+_REP = lambda src, x, key: f"tk AS (SELECT {key}, unnest(regexp_extract_all(lower(replace({x}, 'İ', 'i̇')), '{_TK}')) AS w FROM {src}), fr AS (SELECT {key}, w, count(*) AS n FROM tk GROUP BY ALL), rp AS (SELECT {key}, CASE WHEN sum(n) < 4 THEN 0.0 ELSE max(n) / sum(n) END AS repeated FROM fr GROUP BY {key})"
+
 SQL = {
+    "wiki_fill": f"""WITH b AS (SELECT doc_id, {_WL('title')} || chr(10) || {_WL('text')} AS line FROM documents WHERE title IS NOT NULL AND length({_WL('text')}) >= 200), p AS (SELECT *, CAST(150000 - prev AS BIGINT) AS room FROM (SELECT *, coalesce(sum(n_bytes) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+        FROM (SELECT *, strlen(line) + 1 AS n_bytes FROM b)) WHERE prev < 150000) SELECT doc_id, {_WRITTEN} AS written_bytes FROM p""",
+    "repeated_token_ratio": rf"""WITH {_REP('documents', 'text', 'doc_id')} SELECT d.doc_id, round(coalesce(repeated, 0.0), 6) AS repeated, CAST(len(list_distinct(regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '[\pL\pN_]{{2,}}'))) AS INT) AS distinct_words FROM documents d LEFT JOIN rp USING (doc_id) WHERE text IS NOT NULL""",
+    "sample_gate": f"""WITH {_REP('main_sft', 'assistant', 'sft_id')}, x AS (SELECT sft_id, CASE WHEN {_INK.replace('text', 'assistant')} = 0 THEN 0.0 ELSE {_LET.replace('text', 'assistant')} / {_INK.replace('text', 'assistant')} END AS l, {_INK.replace('text', 'assistant')} AS ink FROM main_sft WHERE assistant IS NOT NULL)
+        SELECT l >= 0.6 AND CASE WHEN ink = 0 THEN 1.0 ELSE 1 - l END <= 0.24 AND coalesce(repeated, 0) <= 0.42 AS ok, count(*) AS n FROM x LEFT JOIN rp USING (sft_id) GROUP BY 1""",
+    "input_gates": """WITH a AS (SELECT 'main_bytes' AS rule, sum(strlen(text)) AS actual FROM main_raw UNION ALL SELECT 'coder_bytes', sum(strlen(text)) FROM coder_raw UNION ALL SELECT 'sft_rows', count(assistant) FROM main_sft UNION ALL SELECT 'episodes', count(DISTINCT episode_id) FROM cu07_manifest UNION ALL SELECT 'domains', count(DISTINCT domain) FROM cu07_manifest UNION ALL SELECT 'agents', 0)
+        SELECT rule, CAST(actual AS DOUBLE) AS actual, CAST(minimum AS DOUBLE) AS minimum, actual >= minimum AS ok FROM a JOIN (VALUES ('main_bytes', 1000000), ('coder_bytes', 250000), ('sft_rows', 1000), ('episodes', 100), ('domains', 30), ('agents', 1)) AS v(rule, minimum) USING (rule)""",
     "corpus_fill_budget": f"WITH {LINES}, {FIRSTS}, f AS ({_filled('firsts')}) SELECT source, doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, prev AS prev_bytes, {_WRITTEN} AS written_bytes FROM f",
     "corpus_fill_statistics": f"WITH {LINES}, {FIRSTS}, f AS ({_filled('firsts')}) SELECT source, CAST(sum({_WRITTEN}) AS BIGINT) AS n_bytes, count(*) AS documents, sum({_WRITTEN}) >= {int(BUDGET * 0.95)} AS ok FROM f GROUP BY source",
     "corpus_fill_stop_before": f"WITH {LINES}, p AS (SELECT *, {_PREV} AS prev FROM (SELECT *, strlen(line) AS n_bytes FROM lines WHERE length(line) >= 200)) SELECT source, doc_id, CAST(n_bytes AS BIGINT) AS written_bytes FROM p WHERE prev + n_bytes <= {BUDGET} OR prev = 0",

@@ -59,7 +59,16 @@ def distances(spark, d):
     return d2.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 5).alias("mean_distance"))
 
 
-QUERIES = {"token_windows": windows, "ngram_topk_exact": top_continuations, "ngram_lookup": looked_up, "rolling_fingerprint": fingerprints, "balanced_sampler": draws, "epoch_permutation": permutation, "label_distances": distances}
+def slots(spark, d):
+    rows = fingerprints(spark, d).select("l_orderkey", "l_linenumber", s.bank_slots(F.col("fp"), 1_048_576).alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", "s.a", "s.b")
+
+
+def evaluation_split(spark, d):
+    return table(spark, d, "main_sft").select("sft_id", s.is_evaluation(F.col("sft_id"), 7).alias("held_out"))
+
+
+QUERIES = {"bank_slots": slots, "evaluation_split": evaluation_split, "token_windows": windows, "ngram_topk_exact": top_continuations, "ngram_lookup": looked_up, "rolling_fingerprint": fingerprints, "balanced_sampler": draws, "epoch_permutation": permutation, "label_distances": distances}
 
 _NG = lambda src, key, n: f"t AS (SELECT {key} AS doc, {TOKENS} AS w FROM {src}), g AS (SELECT doc, w, unnest(range(1, len(w) - {n} + 1)) AS i FROM t), p AS (SELECT doc, array_to_string(w[i:i + {n} - 1], ' ') AS context, w[i + {n}] AS next FROM g)"
 
@@ -80,6 +89,7 @@ SQL = {
         {_NG('eval_items', 'item_id', 2).replace('t AS', 't2 AS').replace('FROM t)', 'FROM t2)').replace('g AS', 'g2 AS').replace('FROM g)', 'FROM g2)').replace('p AS', 'q AS')}
         SELECT doc, count(*) AS contexts, count(r.next) AS known, count(*) FILTER (r.next = q.next) AS right FROM q LEFT JOIN r USING (context) GROUP BY doc""",
     "rolling_fingerprint": f"SELECT l_orderkey, l_linenumber, CAST({_fold(s.M1, s.P1)} * {s.P2} + {_fold(s.M2, s.P2)} AS BIGINT) AS fp FROM lineitem",
+    "bank_slots": f"SELECT l_orderkey, l_linenumber, CAST(fp % 1048576 AS BIGINT) AS a, CAST(xor(fp, fp // 1048576) % 1048576 AS BIGINT) AS b FROM (SELECT l_orderkey, l_linenumber, CAST({_fold(s.M1, s.P1)} * {s.P2} + {_fold(s.M2, s.P2)} AS BIGINT) AS fp FROM lineitem)",
     "epoch_permutation": "SELECT count(*) AS n, count(*) AS places, count(*) - 1 AS last FROM main_sft",
     "label_distances": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL), x AS (SELECT label, vec_id, sqrt(sum((v - m) ** 2)) AS x FROM e JOIN m USING (label, i) GROUP BY ALL) SELECT label, count(*) AS n, round(avg(x), 5) AS mean_distance FROM x GROUP BY label",
 }

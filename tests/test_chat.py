@@ -63,3 +63,11 @@ def test_tool_calls(spark):
     df = spark.createDataFrame([(text,)], "t string").select(F.explode(c.tool_call_spans(F.col("t"))).alias("s")).select(c.tool_call(F.col("s")).alias("c")).select("c.*")
     assert [(r.name, r.arguments, r.ok) for r in df.collect()] == [("add", '{"a":1}', True), ("9x", "{}", False)]
     assert spark.range(1).select(c.format_tool_call(F.lit('a"b'), F.lit("{}"))).first()[0] == '<|tool_call|>{"name":"a\\"b","arguments":{}}<|tool_end|>'
+
+
+def test_openai_messages(spark):
+    rows = [([("assistant", "ok", [(("f", '{"a":1}'),), (("g", "oops"),)]), ("tool", "done", None), ("tool", "<|tool_result|>x", None), ("assistant", None, None)],)]
+    got = spark.createDataFrame(rows, f"m {c.OPENAI}").select(c.openai_messages(F.col("m")).alias("m")).first().m
+    assert [(m.role, m.content) for m in got] == [
+        ("assistant", 'ok\n<|tool_call|>{"name":"f","arguments":{"a":1}}<|tool_end|>\n<|tool_call|>{"name":"g","arguments":{"raw":"oops"}}<|tool_end|>'), ("tool", "<|tool_result|>done<|tool_end|>"), ("tool", "<|tool_result|>x"),
+    ]
