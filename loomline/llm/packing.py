@@ -155,11 +155,13 @@ def pack(places: DataFrame, pack_name: str, capacity: int) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("a container needs room")
+    # A number for each row: ids may repeat or be missing.
+    places = cut(places.withColumn("row", F.monotonically_increasing_id()))
     n_full = F.when(F.col("tokens") > capacity, F.floor(F.col("tokens") / capacity)).otherwise(F.lit(0))
     rest = F.col("tokens") - n_full * capacity
-    parts = places.select("doc_id", "place", "tokens", n_full.alias("full"), rest.alias("rest"))
-    whole = parts.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
-    whole = whole.select(F.concat(F.lit("full-"), F.col("doc_id"), F.lit("-"), F.col("part")).alias("container"), "doc_id", "part", (F.col("part") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("size"), F.lit(capacity).cast("long").alias("used"))
+    parts = places.select("row", "doc_id", "place", "tokens", n_full.alias("full"), rest.alias("rest"))
+    whole = parts.where("full > 0").select("row", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
+    whole = whole.select(F.concat(F.lit("full-"), F.col("row"), F.lit("-"), F.col("part")).alias("container"), "doc_id", "part", (F.col("part") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("size"), F.lit(capacity).cast("long").alias("used"))
     open_ = parts.where("full = 0 or rest > 0").select("doc_id", F.col("full").alias("part"), (F.col("full") * capacity).alias("token_start"), F.col("rest").alias("size"), "place")
     schema = "doc_id bigint, part bigint, token_start bigint, size bigint, place bigint, used bigint, container string"
     total = places.agg(F.sum("tokens")).first()[0] or 0
