@@ -129,7 +129,8 @@ class Lines:
         ends = b.among(ENDS) & prev((b.cls == LETTER) | b.among(CLOSERS)) & (nxt(space) | (np.append(b.first[1:], True)))
         self.sentences = n(ends)
         blank = space & (cp != 9)
-        self.gaps = n(blank & prev(blank) & ~prev(prev(blank)) & nxt(ink | blank))
+# wide gaps between cells, not before the first or after the last
+        self.gaps = b.sum_in(blank & prev(blank) & nxt(ink), first_at, end) if len(start) else np.zeros(0, np.int64)
         separators = b.among(BETWEEN) & (nxt(space) | (cp == 124))
         self.separators = n(separators)
         colon = (cp == 58) & (nxt(space) | nxt(b.among("\n\r")) | (np.append(b.first[1:], True)))
@@ -222,7 +223,9 @@ def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     weight = lines.ink.astype(np.float64)
     # A text whose short lines go on into each other is prose in an odd layout.
     breaks = by((short & ~entry & ~table_line) * 1.0)
-    flowing = (common >= 0.07) & (breaks * 2 > n_lines) & (by(lines.ended * 1.0) + by((w > 6) * 1.0) > 0)
+    broken = short & ~entry & ~table_line
+    spoken_breaks = ratio(by(lines.common * broken), by(w * broken))
+    flowing = (common >= 0.07) & (spoken_breaks >= 0.04) & (breaks * 2 > n_lines) & (by(lines.ended * 1.0) + by((w > 6) * 1.0) > 0)
     loose = flowing[lines.doc] & ~entry & ~record & (lines.pipes < 2)
     table_line, list_line = table_line & ~loose, list_line & ~loose
     table_share, list_share = ratio(by(weight * table_line), ink), ratio(by(weight * list_line), ink)
