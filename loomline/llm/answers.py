@@ -24,7 +24,7 @@ REFUSALS = {
 REFUSAL_CHARS = 400
 
 #: Requests for another language, and names of languages.
-ASKS_LANGUAGE = r"(?i)translat|çevir|tercüme|übersetz|traduis|tradui[rst]|traduc|tradúc|\b(?:in|into|to) (?:english|turkish|german|french|spanish)\b|auf (?:englisch|türkisch|deutsch|französisch|spanisch)|en (?:anglais|turc|allemand|français|espagnol|inglés|turco|alemán|francés|español)\b|(?:ingilizce|türkçe|almanca|fransızca|ispanyolca)"
+ASKS_LANGUAGE = r"(?iu)translat|çevir|tercüme|übersetz|traduis|tradui[rst]|traduc|tradúc|\b(?:in|into|to) (?:english|turkish|german|french|spanish)\b|auf (?:englisch|türkisch|deutsch|französisch|spanisch)|en (?:anglais|turc|allemand|français|espagnol|inglés|turco|alemán|francés|español)\b|(?:ingilizce|türkçe|almanca|fransızca|ispanyolca)"
 
 _TRIM = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 _QUOTED = r"\x22[^\x22]*(?:\x22|$)|“[^”]*(?:”|$)|«[^»]*(?:»|$)|„[^“”]*(?:[“”]|$)"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.textbatch import IGNORED, LETTER, MARK, TextBatch, slices
+from loomline.llm.textbatch import IGNORED, LETTER, MARK, NUMBER, TextBatch, slices
 from loomline.session import bounded_sample
 
 DIMENSION = 8192
@@ -234,6 +234,8 @@ class Segments:
 
 #: Least mean product with what all languages share, for a text to have words of a language at all.
 LEAST_COMMON = 0.0125
+#: Digits for each letter, at most, in a text with words of a language; logs and number tables have more.
+MOST_DIGITS = 1.2
 #: By how much the products must favour another language over the row's label, and over the other
 #: languages of a mixed row for each of its languages.
 AGAINST_LABEL, FOR_PART = 0.6, 1.0
@@ -263,7 +265,8 @@ def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
             one = np.unique(np.stack([words.doc.astype(np.uint64), words.hash]), axis=1)[0].astype(np.int64) if len(words.doc) else np.zeros(0, np.int64)
             kinds = np.bincount(one, minlength=n)
             count = np.bincount(words.doc, minlength=n)
-            real = (grams > 0) & (common >= LEAST_COMMON) & ~((kinds == 1) & (count > 3)) & (longest < 60)
+            digits = texts.count(texts.cls == NUMBER)
+            real = (grams > 0) & (digits <= MOST_DIGITS * letters.sum(1)) & (common >= LEAST_COMMON) & ~((kinds == 1) & (count > 3)) & (longest < 60)
             # A language is part of a mixed text if it has enough of the letters and of the evidence there.
             total = letters.sum(1, keepdims=True)
             gain = np.zeros((n, k))

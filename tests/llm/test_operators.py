@@ -139,7 +139,7 @@ def test_pair_defects(spark, profiles):
         1: (q_, TR, []), 2: (q_, None, ["empty"]), 3: (q_, " … ", ["empty"]), 4: (q_, "<|end|>", ["empty"]), 5: (q_, "N/A", ["empty"]), 6: (q_, TR.strip()[:-9], ["truncated"]), 7: (q_, "1. elma\n2. armut\n3.", ["truncated"]),
         8: (q_, "```\nint f() {", ["truncated"]), 9: (q_, '<|tool_call|>{"name":"a","arguments":{}}<|tool_end|>', []), 10: (q_, '{"name":"a","arg', ["truncated"]), 11: (q_, "Üzgünüm, bu konuda yardımcı olamam.", ["refusal"]),
         12: (q_, 'Şöyle yaz: "Üzgünüm, gelemem." Böylece kapıyı açık bırakırsın.', []), 13: (q_, "Cevap: " + q_.upper(), ["copy"]), 14: (q_, q_ + "\n" + q_, ["copy"]), 15: (q_, q_ + "\n\n" + TR, []), 16: (q_, EN * 2, ["other_language"]),
-        17: ("Bu cümleyi İngilizceye çevir: “" + TR + "”", EN, []), 18: (q_, "Salı günü", []), 19: (q_, "- elma\n- armut", []), 20: (None, TR, []), 21: ("", "", ["empty"]), 22: (q_, "def f(x):\n    return g(x)\n", []), 23: (q_, TR * 3000, []),
+        17: ("Bu cümleyi İngilizceye çevir: “" + TR + "”", EN, []), 18: (q_, "Salı günü", []), 19: (q_, "- elma\n- armut", []), 20: (None, TR, []), 21: ("", "", ["empty"]), 22: (q_, "def f(x):\n    return g(x)\n", []), 23: (q_, TR * 3000, []), 24: ("Übersetze diesen Satz ins Englische: „" + DE.strip() + "“", EN, []),
     }
     df = spark.createDataFrame([(k, u, a, "x") for k, (u, a, _) in cases.items()], "sft_id long, user string, assistant string, defects string")
     assert {r.sft_id: r.defects for r in pair_defects(df, profiles).collect()} == {k: v[2] for k, v in cases.items()}
