@@ -29,7 +29,7 @@ def mixed_radix(i: Column, sizes: list[int]) -> list[Column]:
 
 
 #: Parts of the self-description, in Turkish.
-OPENINGS = ("Ben FLM-Core'um", "Adım FLM-Core", "FLM-Core olarak buradayım", "Karşında FLM-Core var", "Bana FLM-Core denir", "FLM-Core benim")
+OPENINGS = ("Ben yerel bir yardımcıyım", "Burada bir yardımcı olarak varım", "Sana eşlik eden yardımcıyım", "Karşında bir yardımcı var", "Bana yardımcı denir", "Yardımcın benim")
 ABILITIES = ("soruları yanıtlarım", "metinleri düzenlerim", "kod yazarım", "bilgileri birleştiririm", "adımları planlarım", "sonuçları denetlerim")
 CLOSINGS = ("Nasıl yardımcı olayım?", "Sıradaki iş nedir?", "Başlayalım mı?", "Hazırım.", "Dinliyorum.", "Ne yapalım?")
 
