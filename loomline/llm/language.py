@@ -177,9 +177,7 @@ class Segments:
         self.start = grams.at[self.begin]
         self.letters = letters[stop] - letters[self.begin]
         self.grams = TextBatch.sum_in(grams.valid, self.begin, stop)
-        total = np.zeros((len(values) + 1, values.shape[1]), np.float64)
-        np.cumsum(values, axis=0, out=total[1:])
-        both = total[stop] - total[self.begin]
+        both = np.add.reduceat(values, self.begin, axis=0) if len(self.begin) else np.zeros((0, n_lang + 1))
         self.scores, self.generic = both[:, :n_lang], both[:, n_lang]
         self.soft = at_end[self.begin]
         self.language = self._best_path()
@@ -247,6 +245,11 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True) if len(scores) else e
 
 
+def _rows_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows of each index."""
+    return np.stack([np.bincount(index, rows[:, c], n) for c in range(rows.shape[1])], 1)
+
+
 def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles.value
@@ -254,35 +257,31 @@ def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
         for part, texts in slices(batches, text):
             s = p.score(texts)
             n, k = texts.n, len(p.languages)
-            letters, scores = np.zeros((n, k)), np.zeros((n, k))
-            np.add.at(letters, (s.doc, s.language), s.letters)
-            np.add.at(scores, s.doc, s.scores)
+            cell = s.doc.astype(np.int64) * k + s.language
+            letters = np.bincount(cell, s.letters, n * k).reshape(n, k)
+            scores = _rows_by(s.doc, s.scores, n)
             grams = np.bincount(s.doc, s.grams, n)
             common = np.bincount(s.doc, s.generic, n) / np.maximum(grams, 1)
             words = texts.words()
             longest = np.zeros(n, np.int64)
             np.maximum.at(longest, words.doc, words.length)
-            one = np.unique(np.stack([words.doc.astype(np.uint64), words.hash]), axis=1)[0].astype(np.int64) if len(words.doc) else np.zeros(0, np.int64)
-            kinds = np.bincount(one, minlength=n)
             count = np.bincount(words.doc, minlength=n)
+            other = words.hash[1:] != words.hash[:-1] if len(words.doc) else np.zeros(0, bool)
+            kinds = 1 + np.bincount(words.doc[1:][other & (words.doc[1:] == words.doc[:-1])], minlength=n) if len(words.doc) else np.zeros(n)
             digits = texts.count(texts.cls == NUMBER)
             real = (grams > 0) & (digits <= MOST_DIGITS * letters.sum(1)) & (common >= LEAST_COMMON) & ~((kinds == 1) & (count > 3)) & (longest < 60)
             # A language is part of a mixed text if it has enough of the letters and of the evidence there.
             total = letters.sum(1, keepdims=True)
-            gain = np.zeros((n, k))
             own = s.scores[np.arange(len(s.doc)), s.language] if len(s.doc) else np.zeros(0)
             main = letters.argmax(1)
             rival = s.scores[np.arange(len(s.doc)), main[s.doc]] if len(s.doc) else np.zeros(0)
-            np.add.at(gain, (s.doc, s.language), own - rival)
+            gain = np.bincount(cell, own - rival, n * k).reshape(n, k)
             has = (letters * 6 >= total) & (gain >= FOR_PART) & real[:, None] & (total > 0)
-            single = has.sum(1) == 0
-            top = np.where(single | (has.sum(1) == 0), scores.argmax(1), main)
-            has[np.arange(n), top] |= real
+            has[np.arange(n), main] |= real
             mixed = has.sum(1) > 1
-            has[np.flatnonzero(real & ~mixed), main[real & ~mixed]] = False
-            best = scores.argmax(1)
-            has[np.flatnonzero(real & ~mixed)] = False
-            has[np.flatnonzero(real & ~mixed), best[real & ~mixed]] = True
+            alone = np.flatnonzero(real & ~mixed)  # one language: the best over the whole text
+            has[alone] = False
+            has[alone, scores.argmax(1)[alone]] = True
             doc, lang = np.nonzero(has)
             share = letters[doc, lang] / np.maximum(total[doc, 0], 1)
             sure = np.where(mixed[doc], 1 / (1 + np.exp(-SHARPNESS * np.maximum(gain[doc, lang], FOR_PART))), _softmax(scores)[doc, lang]) if len(doc) else np.zeros(0)
@@ -294,8 +293,7 @@ def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
             b = np.flatnonzero(new)
             live = real[s.doc]
             group = np.cumsum(new) - 1
-            seg = np.zeros((len(b), k))
-            np.add.at(seg, group[live], s.scores[live])
+            seg = _rows_by(group[live], s.scores[live], len(b))
             sd = s.doc[b]
             start = s.start[b] - texts.starts[sd]
             last = np.append(sd[1:] != sd[:-1], True) if len(sd) else np.zeros(0, bool)
