@@ -74,8 +74,8 @@ def fill_mix(sources: Sequence[tuple[str, DataFrame, int]], ord_: str, text: str
         if seen is not None:
             rows = rows.join(seen, "__d", "left_anti")
         filled = cut(fill_budget(rows, ["source_name"], ord_, text, target, **options))
-        last = filled.agg(F.max(ord_).alias("__last"))
-        scanned = rows.crossJoin(last).where(F.col(ord_) <= F.col("__last")).select("__d").distinct()  # one row: the last ordinal
+        last = filled.agg(F.max(ord_)).first()[0]
+        scanned = rows.where(F.lit(False) if last is None else F.col(ord_) <= F.lit(last)).select("__d").distinct()
         seen = scanned if seen is None else seen.union(scanned).distinct()
         out = filled.drop("__d") if out is None else out.unionByName(filled.drop("__d"))
     return out

@@ -84,7 +84,10 @@ def _ordered(premises: Sequence[Atom]) -> list[int]:
 
 
 def body(sources: Sequence[DataFrame], premises: Sequence[Atom]) -> DataFrame:
-    """Bindings of a rule body; premise i is matched in source i. Premises that share no variable meet by product."""
+    """Bindings of a rule body; premise i is matched in source i.
+
+    Premises are joined on the variables they share, in an order that keeps them connected. Only a rule whose
+    premises fall apart into unconnected parts means a product, and then its result is one."""
     out = None
     for i in _ordered(premises):
         rows = bindings(sources[i], premises[i]).distinct()
@@ -188,8 +191,8 @@ def triples_as_facts(triples: DataFrame) -> DataFrame:
 def memory_statistics(facts: DataFrame, rules: Sequence[Rule], aliases: DataFrame | None = None) -> DataFrame:
     """Facts, rules, predicates (of facts and rule heads) and aliases, one row."""
     heads = facts.sparkSession.createDataFrame([(r.conclusion.predicate,) for r in rules] or [(None,)], "predicate string").dropna()
-    predicates = facts.select("predicate").union(heads).distinct().agg(F.count(F.lit(1)).alias("predicates"))
-    counted = facts.distinct().agg(F.count(F.lit(1)).alias("facts")).crossJoin(predicates)  # one row each
+    predicates = facts.select("predicate").union(heads).distinct().count()
+    counted = facts.distinct().agg(F.count(F.lit(1)).alias("facts")).withColumn("predicates", F.lit(predicates).cast("long"))
     return counted.withColumn("rules", F.lit(len(set(rules)))).withColumn("aliases", F.lit(aliases.count() if aliases is not None else 0))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.geometry import POINTER, WITH_PAYLOAD, action_error, bbox_centre, norm_bbox, operation_name, parsed_action, summarize_action
-from loomline.operators.corpus import row_caps
+from loomline.operators.corpus import prefix_sum, row_caps
+from loomline.session import cut
 
 
 def zip_steps(df: DataFrame, keys: Sequence[str], *arrays: str) -> DataFrame:
@@ -64,15 +65,30 @@ def valid_labels(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of one episode that a window sees at a time.
+STRETCH = 4096
+
+
+def stretches(rows: DataFrame, episode: str, order: Sequence[str], overlap: int) -> DataFrame:
+    """Rows with their place ``__n`` in the episode and a ``__stretch`` of it. Each stretch also gets the last
+    ``overlap`` rows of the one before (``__own`` false), so a window over stretches sees what it needs and no
+    task sees a long episode whole. ``__key`` is the episode, '' for a missing one."""
+    rows = rows.withColumn("__key", F.coalesce(F.col(episode), F.lit("")))
+    placed = prefix_sum(rows, ["__key"], order, F.lit(1).cast("long"), "__n")
+    own = F.floor(F.col("__n") / STRETCH)
+    late = F.col("__n") % STRETCH >= STRETCH - overlap
+    return placed.withColumn("__stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__stretch") == own)
+
+
 def histories(rows: DataFrame, episode: str, order: Sequence[str], size: int = 8) -> DataFrame:
     """Adds ``history``: summaries of up to ``size`` earlier actions of the episode, oldest first.
 
-    An episode's rows are sorted on its own key; a row needs the rows before it, so an episode is one sorted run
-    that streams through a bounded frame, however long it is. A missing episode is an episode of its own.
+    Rows without an episode form one. Long episodes are cut into stretches that overlap by ``size`` rows.
     """
     summary = summarize_action(operation_name(F.col("operation")), F.col("coord"), F.col("coord2"), F.col("payload"))
-    w = Window.partitionBy(F.coalesce(F.col(episode), F.lit(""))).orderBy(*order).rowsBetween(-size, -1)
-    return rows.withColumn("summary", summary).withColumn("history", F.collect_list("summary").over(w))
+    cut_ = stretches(rows.withColumn("summary", summary), episode, order, size)
+    w = Window.partitionBy("__key", "__stretch").orderBy("__n").rowsBetween(-size, -1)
+    return cut_.withColumn("history", F.collect_list("summary").over(w)).where("__own").drop("__key", "__n", "__stretch", "__own")
 
 
 def operation_caps(rows: DataFrame, order: Sequence[str], caps: dict[str, int], default: int | None = None) -> DataFrame:
@@ -109,16 +125,20 @@ def pointer_metrics(rows: DataFrame, side: int = 16) -> DataFrame:
 def stall_guard(rows: DataFrame, episode: str, order: Sequence[str], action: Column, delta: Column, small: float = 0.008) -> DataFrame:
     """How often in a row an action was repeated without effect, and what follows: a wait from 3, an end from 5.
 
-    Rows after an episode's first end are left out.
+    Rows after an episode's first end are left out. A run of repeats begins at the last row that is none; its
+    place comes from sums over ranges, so that a long episode spreads over tasks.
     """
-    w = Window.partitionBy(episode).orderBy(*order)
-    rows = rows.withColumn("__a", action)
-    rows = rows.withColumn("__same", (F.col("__a").eqNullSafe(F.lag("__a").over(w)) & F.lag("__a").over(w).isNotNull() & (delta < small)).cast("int"))
-    rows = rows.withColumn("__island", F.sum(1 - F.col("__same")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("stall", F.row_number().over(Window.partitionBy(episode, "__island").orderBy(*order)) - 1)
-    rows = rows.withColumn("guard", F.when(F.col("stall") >= 5, "stalled_abort").when(F.col("stall") >= 3, "stalled_repeat"))
-    ended = F.sum((F.col("stall") >= 5).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__ended", F.coalesce(ended, F.lit(0))).where("__ended = 0").drop("__a", "__same", "__island", "__ended")
+    cut_ = stretches(rows.withColumn("__a", action), episode, order, 1)
+    before = F.lag("__a").over(Window.partitionBy("__key", "__stretch").orderBy("__n"))
+    same = F.coalesce((F.col("__a") == before) & (delta < small), F.lit(False))
+    marked = cut_.withColumn("__new", (~same).cast("long")).where("__own").drop("__stretch", "__own")
+    runs = cut(prefix_sum(marked, ["__key"], ["__n"], F.col("__new"), "__sum").withColumn("__run", F.col("__sum") + F.col("__new")))
+    begins = runs.groupBy("__key", "__run").agg(F.min("__n").alias("__begin"))
+    counted = cut(runs.join(begins, ["__key", "__run"]).withColumn("stall", F.col("__n") - F.col("__begin")))
+    ends = counted.where("stall >= 5").groupBy("__key").agg(F.min("__n").alias("__end"))
+    kept = counted.join(ends, "__key", "left").where("__end is null or __n <= __end")
+    guard = F.when(F.col("stall") >= 5, "stalled_abort").when(F.col("stall") >= 3, "stalled_repeat")
+    return kept.withColumn("guard", guard).drop("__a", "__key", "__n", "__new", "__sum", "__run", "__begin", "__end")
 
 
 def latest_delivery(rows: DataFrame, keys: Sequence[str], arrived: str, id_: str) -> DataFrame:

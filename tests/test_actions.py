@@ -84,3 +84,26 @@ def test_fact_ingest_adds_only_new_facts(spark, tmp_path):
         spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(src)
         stateful.ingest_facts(spark.readStream.schema(ddl).parquet(src), f"{tmp_path}/store", f"{tmp_path}/state").awaitTermination()
     assert sorted(tuple(r.args) for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [("a",), ("b",)]
+
+
+def test_long_episodes_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(trajectories, "STRETCH", 16)
+    rows = [(i, "e" if i % 4 else None, i, ["CLICK", "CLICK", "TYPE"][i % 50 // 20], None, None, str(i // 7), 0.001 if i % 11 else 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id int, episode_id string, step int, operation string, coord array<double>, coord2 array<double>, payload string, delta double")
+    got = {r.row_id: r.history for r in trajectories.histories(df, "episode_id", ["step"]).collect()}
+    last = {}
+    for r in rows:
+        key = r[1] or ""
+        assert got[r[0]] == last.get(key, [])[-8:]
+        last.setdefault(key, []).append(f"{r[3]}:{r[6]}")
+    guard = {r.row_id: (r.stall, r.guard) for r in trajectories.stall_guard(df, "episode_id", ["step"], F.concat("operation", "payload"), F.col("delta")).collect()}
+    state, want = {}, {}
+    for r in rows:
+        key, act = r[1] or "", r[3] + r[6]
+        a, n, ended = state.get(key, (None, 0, False))
+        if ended:
+            continue
+        n = n + 1 if a == act and r[7] < 0.008 else 0
+        want[r[0]] = (n, "stalled_abort" if n >= 5 else "stalled_repeat" if n >= 3 else None)
+        state[key] = (act, n, n >= 5)
+    assert guard == want and any(g for _, g in want.values())
