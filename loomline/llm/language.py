@@ -27,6 +27,8 @@ DIMENSION = 8192
 EVIDENCE = (0.3, 0.3, 0.4)
 #: Labelled rows that take part in fitting, at most; all rows are scored.
 LABELLED_ROWS = 4000
+#: Shortest and longest text among them, in characters.
+LABELLED_CHARS = (40, 20_000)
 LETTERS = 27  # a to z, and 0 for what lies between words
 GRAM = 3
 
@@ -333,7 +335,7 @@ def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None) -> Profi
     rows = []
     if labelled is not None:
         known = sorted({k for k, _ in clean} | FREQUENT_WORDS.keys())
-        part = labelled.where(F.col("lang").isin(known) & F.col("text").isNotNull() & (F.length("text") > 40))
+        part = labelled.where(F.col("lang").isin(known) & F.col("text").isNotNull() & F.length("text").between(*LABELLED_CHARS))
         rows = [(r.lang, r.text) for r in bounded_sample(part, "id", LABELLED_ROWS).select("lang", "text").collect()]
     return Profiles.fit(clean, rows)
 
