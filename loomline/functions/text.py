@@ -57,8 +57,8 @@ def clean_text(text: Column, version: str = "v0.7", compatibility: bool = True)
 def one_line(text: Column, compatibility: bool = True) -> Column:
     """The text on one line with single spaces."""
     out = F.coalesce(text, F.lit(""))
-    out = F.replace(nfkc(out) if compatibility else out, F.lit("\x00"), F.lit(" "))
-    return strip(F.regexp_replace(F.regexp_replace(out, r"[\r\f\x0b]+", ""), rf"{WS}+", " "))
+    out = F.translate(nfkc(out) if compatibility else out, "\x00\r\f\x0b", " ")  # the first becomes a blank, the others go
+    return F.trim(F.regexp_replace(out, rf"{WS}+", " "))
 
 
 def utf8_prefix(text: Column, n: Column | int) -> Column:
