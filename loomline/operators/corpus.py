@@ -16,14 +16,15 @@ from loomline.session import cut
 
 
 def first_wins(rows: DataFrame, digest: str, order: Sequence[str]) -> DataFrame:
-    """The first row of each digest in the given order, which must be unique. Rows without a digest stay.
+    """The first row of each digest in the given order, which must be unique and without nulls. Rows without a digest stay.
 
     Only digests and ordinals are grouped, with partial minima, so a digest that a third of all rows share is
     one row per task; the rows themselves then meet their own ordinals in an even join.
     """
     keys = F.struct(*(F.col(c) for c in order))
-    firsts = rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(keys).alias("k")).select(*(F.col(f"k.{c}").alias(c) for c in order))
-    return rows.where(F.col(digest).isNotNull()).join(firsts, list(order), "left_semi").unionByName(rows.where(F.col(digest).isNull()))
+    own = F.coalesce(F.col(digest).cast("string"), F.concat_ws("|", F.lit("row"), *(F.col(c).cast("string") for c in order)))
+    firsts = rows.groupBy(own.alias("d")).agg(F.min(keys).alias("k")).select(*(F.col(f"k.{c}").alias(c) for c in order))
+    return rows.join(firsts, list(order), "left_semi")
 
 
 def prefix_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
