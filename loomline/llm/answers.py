@@ -15,13 +15,21 @@ PLACEHOLDERS = ("null", "none", "na", "nan", "nil", "undefined", "tbd", "todo",
 #: Ways of declining, in the first person, by language.
 REFUSALS = {
     "en": r"\bi(?:['’]m| am) (?:very |so |really )?sorry,? (?:but )?(?:i|this|that)|\bi (?:can(?:no|['’])t|am (?:not able|unable)|won['’]t be able|will not be able|must (?:decline|refuse)|have to (?:decline|refuse|pass)|do(?:n['’]t| not) have (?:the ability|access)|have no access|decline|refuse)\b|unfortunately,? i\b|my apologies|\bi apologi[sz]e|not (?:be )?appropriate for me|as an ai\b|i['’]m (?:unable|not able)|beyond what i can",
-    "tr": r"üzgünüm|maalesef|ne yazık ki|kusura bakma|yardımcı olam[aı]|(?:yapa|veremi|paylaşa|yanıtlaya|cevaplaya|getiremi|edemi|söyleye)(?:m[ıi]yoru)?m\b|mümkün değil|uygun olmaz|yapay zek[âa]|geri çevirmek|reddetmek zorunda",
+    "tr": r"üzgünüm|maalesef|ne yazık ki|kusura bakma|yardımcı olam[aı]|(?:yapa|vere|paylaşa|yan[ıi]tlaya|cevaplaya|getire|ede|söyleye|anlata|aç[ıi]klaya|konuşa|yaza)m(?:[ıi]yorum|[ae]m|[ıi]yoruz|[ae]y[ıi]z|ayaca[ğg][ıi]m|eyece[ğg][ıi]m)(?!\p{L})|mümkün değil|uygun olmaz|yapay zek[âa]|geri çevirmek|reddetmek zorunda",
     "de": r"tut mir (?:sehr )?leid|leider|(?:kann|darf|muss|möchte) ich .{0,60}(?:nicht|keine|ablehnen)|\bich (?:kann|darf|muss|möchte) .{0,60}(?:nicht|keine|ablehnen)|als (?:ki|sprachmodell)\b|entschuldigung",
     "fr": r"désolée?|malheureusement|je (?:ne (?:peux|puis|suis)|n['’]ai) pas|je (?:dois|préfère) (?:refuser|décliner)|impossible de (?:répondre|traiter|vous|t['’])|en tant qu['’](?:ia|intelligence|un modèle|modèle)|je (?:refuse|décline)|je ne suis pas en mesure",
     "es": r"lo siento|lamentablemente|por desgracia|no (?:puedo|me es posible|estoy en condiciones|tengo (?:acceso|permitido|la capacidad))|debo (?:rechazar|declinar)|tengo que (?:rechazar|declinar)|como (?:modelo|una? ia|inteligencia)|me temo que no|disculpa",
 }
-#: A refusal with more than so many characters around it answers as well.
-REFUSAL_CHARS = 400
+#: Sentences that may stand beside declining ones without answering: offers, thanks, sympathy and reasons, by language.
+ASIDES = {
+    "en": r"(?:another|different|other) (?:topics?|questions?|subjects?|requests?|things?)|(?:something|anything) else|(?:happy|glad) to (?:help|assist)|feel free|let me know|^\W*thank(?:s| you)|\bi (?:understand|appreciate|hope you|know (?:that )?this|realize|realise)|please (?:ask|consult|contact|reach out|understand)|my (?:guidelines|rules|polic|instructions|programming)|(?:guidelines|rules|polic\w+) (?:do not|don['’]t|prohibit|forbid)",
+    "tr": r"başka (?:bir )?(?:konu|soru|şey|istek)|soru sorabilirsin|sorabilirsin|yardımcı olmaktan|yardımcı olabilirim|çekinme|teşekkür|anl[ıi]yorum|anlayış|lütfen .{0,60}(?:danış|başvur)|(?:yönerge|kural|politika|ilke)(?:ler)?(?:im|imiz)",
+    "de": r"(?:andere[nrms]?|weitere[nrms]?) (?:thema|themen|fragen?|anliegen)|etwas ander|helfe ich|gerne? (?:helfen|behilflich|weiter)|^\W*(?:vielen )?dank|ich verstehe|verständnis|bitte wende|meine richtlinien|meinen richtlinien|meine[nr]? (?:regeln|vorgaben)",
+    "fr": r"(?:autre|d['’]autres) (?:sujets?|questions?|demandes?|choses?)|n['’]hésite|^\W*merci|je comprends|je (?:serai|serais|suis) (?:ravi|heureu)|je peux (?:vous |t['’])?aider|veuillez (?:consulter|contacter)|mes (?:consignes|règles|directives)",
+    "es": r"(?:otro|otros|otra|otras) (?:temas?|preguntas?|cosas?|solicitud(?:es)?|asuntos?)|no dudes|no dude en|^\W*(?:muchas )?gracias|entiendo|comprendo|con gusto|encantad|puedo ayudar|mis (?:normas|reglas|directrices|pautas)",
+}
+#: Where a sentence of joined text ends; not after an initial or a short form.
+_SENTENCE_END = r"(?<=[.!?…])(?<!\b(?:\p{L}|dr|mr|mrs|ms|prof|vb|örn|bkz|bzw|etc|ej|ex)\.)\s+|\n"
 
 #: Requests for another language, and names of languages.
 ASKS_LANGUAGE = r"(?iu)translat|çevir|tercüme|übersetz|traduis|tradui[rst]|traduc|tradúc|\b(?:in|into|to) (?:english|turkish|german|french|spanish)\b|auf (?:englisch|türkisch|deutsch|französisch|spanisch)|en (?:anglais|turc|allemand|français|espagnol|inglés|turco|alemán|francés|español)\b|(?:ingilizce|türkçe|almanca|fransızca|ispanyolca)"
@@ -55,7 +63,8 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     copy: the letters and digits are the question's, once or repeated, after an introduction or not.
     truncated: an open tool call, JSON value, code fence or bracket; a list marker without an entry; or prose
     that ends without a sign that ends sentences. Answers of up to three words and entries need none; never with copy.
-    refusal: unquoted, first-person words that decline open a short answer.
+    refusal: of the unquoted sentences at least one declines in the first person, and no other answers; sentences
+    go on over line breaks, but not over blank lines and into entries of lists.
     other_language: code apart, the answer has one language, the question another, and asks for none.
 
     A null user has no language and nothing to copy. Rows are judged one by one; other columns are ignored;
@@ -90,8 +99,10 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
         .otherwise(bare_item | prose_cut)
     )
     spoken = F.regexp_replace(body, _QUOTED, " ")
-    opening = F.regexp_extract(F.lower(F.replace(spoken, F.lit("I"), F.lit("i"))), r"^\W*(?:[^:\n]{1,60}:\s*)?(.{0,160})", 1)
-    refusal = (F.length(body) <= REFUSAL_CHARS) & opening.rlike(r"^[^.!?\n]*?(?:" + "|".join(REFUSALS.values()) + ")")
+    joined = F.regexp_replace(F.regexp_replace(spoken, r"\n[^\S\n]*\n\s*|\n(?=\s*(?:[-*•▪+–]|\d+[.)])\s)", "\u2028"), r"[^\S\u2028]+", " ")
+    low = F.translate(F.lower(F.replace(joined, F.lit("I"), F.lit("i"))), "\u2028", "\n")
+    sentences, declines = F.filter(F.split(low, _SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]")), "|".join(REFUSALS.values())
+    refusal = F.forall(sentences, lambda s: s.rlike(declines + "|" + "|".join(ASIDES.values()))) & F.exists(sentences, lambda s: s.rlike(declines))
     rows = rows.withColumns({"truncated": ~F.col("empty") & ~F.col("copy") & truncated, "refusal": ~F.col("empty") & ~F.col("copy") & refusal})
 
     keep = ["sft_id", "empty", "copy", "truncated", "refusal", "speech", "asks"]

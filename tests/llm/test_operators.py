@@ -146,6 +146,17 @@ def test_pair_defects(spark, profiles):
     assert pair_defects(df.limit(0), profiles).count() == 0
 
 
+def test_refusals_of_whole_answers(spark, profiles):
+    polite = "Thank you for your question. I understand that this matters to you. " + "I am unable to fulfil this request. " * 12
+    cases = {
+        1: ("Bunu yapamam. Başka bir konuda soru sorabilirsin. Ne yazık ki bu bilgiyi paylaşamıyorum.", True), 2: ("Since I\nhave no access\nto live\ndata answering\nthis is beyond what I can do.", True), 3: (polite, True),
+        4: ("Başka bir konuda soru sorabilirsin. Buna cevap veremiyorum.", True), 5: ("Thanks for asking.\n\nI cannot help with this.", True), 6: ("Bunu kimse yapamamış.", False), 7: (PROSE * 20 + "Unfortunately I cannot go on.", False),
+        8: ("I have no access to live data. The mill was built in 1953.", False), 9: ("I can't open it. You can:\n- turn the key\n- call the mill", False), 10: ('They said: "I cannot help." Then the mill closed.', False), 11: (PROSE, False), 12: ("I cannot help, Dr. Mill, with this one.", True),
+    }
+    df = spark.createDataFrame([(k, "", a) for k, (a, _) in cases.items()], "sft_id long, user string, assistant string")
+    assert {r.sft_id: "refusal" in r.defects for r in pair_defects(df, profiles).collect()} == {k: v[1] for k, v in cases.items()}
+
+
 def test_text_kinds(spark):
     cases = {
         1: (PROSE, "prose"), 2: ("\n".join(f"- item {w}" for w in "apple pear rope lamp cup rug".split()), "list"), 3: ("| a | b |\n|---|---|\n| x | 1 |\n| y | 2 |\n| z | 3 |", "table"), 4: ("k: v\nn: 12\n\nk: w\nn: 13\n\nk: z\nn: 1", "table"),
