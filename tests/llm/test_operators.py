@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,9 @@ from loomline.llm.language import Profiles, detect_languages, without_code, wron
 from loomline.llm.leaks import leaks
 from loomline.llm.mixture import mixture
 from loomline.llm.packing import curve_places, pack, pack_all
-from loomline.llm.privacy import Finder, find_personal, redacted
+from loomline.llm.privacy import LABELS, Finder, find_personal, redacted
 from loomline.llm.quality import text_statistics
+from loomline.llm.textbatch import TextBatch
 from loomline.llm.tokens import count_tokens, encode, language_label, token_totals
 from loomline.session import table
 
@@ -213,6 +216,19 @@ def test_personal_information(spark, data):
     assert find_personal(df.limit(0), "doc_id", "text", finder).count() == 0
 
 
+def test_identity_numbers_of_letters_and_digits():
+    finder = Finder.fit([r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist() if r["text"]])
+    cases = {
+        DE + "\nPersonalausweis L65H2H4G0 liegt bei.\nIm Jahr": [("national_id", "L65H2H4G0")], DE + "Ausweisnummer LZ7Z7F2T7, hat": [("national_id", "LZ7Z7F2T7")], DE + "Personalausweis: LXT7PCXZ5": [("national_id", "LXT7PCXZ5")],
+        DE.lower() + "personalausweisnummer lz7z7f2t72 liegt bei.": [("national_id", "lz7z7f2t72")], DE + "Die Prüfsumme L65H2H4G0 liegt bei.": [], EN + "The session id is 3f2a9b8c1 now.": [], "écrivez à lutin77 chez ferme point exemple aujourd’hui": [("email", "lutin77 chez ferme point exemple")],
+    }
+    text = TextBatch(pa.array(list(cases)))
+    got = [[] for _ in cases]
+    for d, label, a, b in finder.find(text):
+        got[d].append((LABELS[label], list(cases)[d][a:b]))
+    assert dict(zip(cases, got)) == cases
+
+
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_queries_run_on_the_tables(spark, data, name):
     assert q.queries()[name](spark, data).count() > 0
