@@ -25,7 +25,7 @@ QUESTIONS = (
 
 def _atom(text: Column, forms) -> Column:
     concepts = F.create_map(*(F.lit(x) for pair in CONCEPTS.items() for x in pair))
-    t = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"[.?!\s]+$", ""))
+    t = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![.?!\s])[.?!\s]+$", ""))
     term = lambda x: symbol(strip(x), concepts)
     out = F.lit(None).cast("struct<predicate:string,args:array<string>>")
     for predicate, pattern in reversed(forms):

@@ -125,7 +125,7 @@ def written_closure(spark, d):
 
 def stated(spark, d):
     """Facts and questions in the sentences of the corpus, by predicate."""
-    rows = table(spark, d, "documents").select(F.explode(F.split("text", r"(?<=[.?!])\s+|\n")).alias("s")).where(F.length("s").between(5, 120))
+    rows = table(spark, d, "documents").select(F.explode(F.split("text", r"(?<=[.?!])\s+|\n")).alias("s")).where(F.col("s").rlike(r"\S"))
     rows = rows.select(knowledge.statement_atom(F.col("s"))["predicate"].alias("states"), knowledge.question_atom(F.col("s"))["predicate"].alias("asks"))
     return rows.groupBy("states", "asks").agg(F.count(F.lit(1)).alias("n"))
 

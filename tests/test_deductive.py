@@ -2,6 +2,7 @@ import pytest
 
 from loomline.operators import deductive as d
 from loomline.operators import typed
+from loomline.plans import deductive as plans
 
 TALL = d.Rule((d.Atom("TallerThan", ("?x", "?y")), d.Atom("TallerThan", ("?y", "?z"))), d.Atom("TallerThan", ("?x", "?z")))
 
@@ -89,3 +90,11 @@ def test_statements_questions_and_plans(spark):
     assert {r.g: [tuple(s) for s in r.p] for r in got} == goals
     found = spark.createDataFrame([("x", screen)], ddl).select(k.find_elements(F.col("e"), F.array(F.lit("button")), F.array(F.lit("SAVE")))).first()[0]
     assert found == ["b1"]
+
+
+def test_stated_facts_in_sentences_of_any_length(spark, tmp_path):
+    long = "the old mill of the village " * 40
+    text = f"{long}is in the valley. Is {long}taller than the tower? {long}stays. \n \n{'.' * 50_000}x\nA is a B. Ah!"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.states, r.asks): r.n for r in plans.stated(spark, str(tmp_path)).collect()}
+    assert got == {("LocatedIn", None): 1, (None, "TallerThan"): 1, ("IsA", None): 1, (None, None): 3}
