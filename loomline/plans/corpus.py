@@ -83,15 +83,20 @@ def copies(spark, d):
     return pairs.select("sft_id", F.round(t.copy_similarity("u", "a"), 6).alias("similarity"), t.has_verbatim_overlap(F.col("u"), F.col("a")).alias("overlap"))
 
 
-def code_documents(spark, d):
+def _coder_rows(spark, d):
     rows = table(spark, d, "coder_raw").where("text is not null")
     code = t.strip(F.col("text"))
     doc = F.when(code.startswith("<source>"), code).otherwise(t.coder_document(F.lower(F.trim(F.coalesce("source", F.lit("unknown")))), F.lit(None).cast("string"), code))
-    return rows.where(F.length(code) >= 80).select("ord", F.octet_length(doc).cast("long").alias("n_bytes"))
+    return rows.where(F.length(code) >= 80).select("ord", F.octet_length(doc).cast("long").alias("n_bytes"), t.content_digest(code, None).alias("digest"))
+
+
+def code_documents(spark, d):
+    return _coder_rows(spark, d).select("ord", "n_bytes")
 
 
 def code_fill(spark, d):
-    rows = code_documents(spark, d)
+    """Code documents, each code once, to 60 % of their bytes."""
+    rows = c.first_wins(_coder_rows(spark, d), "digest", ["ord"]).select("ord", "n_bytes")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     return c.fill_skip_tail(rows, "ord", "n_bytes", int(total * 0.6)).select("ord", "n_bytes")
 

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomline.operators import corpus as c
+from loomline.plans import corpus as plans
 from loomline.sources import readers
 
 
@@ -103,3 +104,17 @@ def test_readers(spark, tmp_path):
     assert readers.probe(lambda: spark.read.parquet(f"{tmp_path}/none"), "x")["ok"] is False
     assert readers.shortest(spark.createDataFrame([("a", None), ("b", 2.0)], "n string, t double"), "t").first().n == "b"
     assert readers.stage("s", lambda: 1 / 0, required=False)["ok"] is False
+
+
+def test_code_fill_takes_each_code_once(spark, tmp_path):
+    codes = [f"def f{i}():\n" + f"    return {i}\n" * 20 for i in range(10)]
+    texts = [x for y in codes for x in (y, f"  {y}\n")] + [codes[0]] * 30 + ["a" * 9000 + "b", "a" * 9000 + "c", None, "short"]
+    spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "ord long, source string, text string").write.parquet(str(tmp_path / "coder_raw.parquet"))
+    size = {r.ord: r.n_bytes for r in plans.code_documents(spark, str(tmp_path)).collect()}
+    firsts = [*range(0, 20, 2), 50, 51]
+    target, total, want = int(sum(size[k] for k in firsts) * 0.6), 0, []
+    for k in firsts:
+        if total < target and (total < target * 0.98 or total + size[k] <= target):
+            want.append(k)
+            total += size[k]
+    assert len(size) == 52 and sorted(r.ord for r in plans.code_fill(spark, str(tmp_path)).collect()) == want
