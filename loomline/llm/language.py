@@ -12,12 +12,15 @@ running sums, and every text is scored whole, at every length, without forming i
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomline.llm.textbatch import IGNORED, LETTER, MARK, NUMBER, TextBatch, slices
 from loomline.session import bounded_sample
@@ -320,11 +323,38 @@ CODE_LINE = (
 )
 
 
+#: Where a JSON object begins, and the strings and braces in it.
+_JSON = r'\{\s*"'
+_JSON_SIGN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}]', re.DOTALL)
+
+
+def without_json_text(text: str) -> str:
+    """The text with a line end for each JSON object. An object that is not closed goes to the last closing brace
+    after it, and where there is none to the end."""
+    out, at = [], 0
+    while start := re.compile(_JSON).search(text, at):
+        out.append(text[at : start.start()])
+        depth, at = 0, 0
+        for sign in _JSON_SIGN.finditer(text, start.start()):
+            depth += {"{": 1, "}": -1}.get(sign.group(), 0)
+            if depth == 0:
+                at = sign.end()
+                break
+        at = at or text.rfind("}", start.start()) + 1 or len(text)
+        out.append("\n")
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def _without_json(texts: pd.Series) -> pd.Series:
+    return texts.map(without_json_text, na_action="ignore")
+
+
 def without_code(text: Column) -> Column:
     """The text without fenced code, tool calls, JSON values and lines of code. Texts that show none stay untouched."""
     bare = F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", "\n")
     bare = F.regexp_replace(bare, r"(?s)<\|tool_call\|>.*?(?:<\|tool_end\|>|\z)", "\n")
-    bare = F.regexp_replace(bare, r'(?s)\{\s*".*(?:\}|\z)', "\n")
+    bare = F.coalesce(_without_json(F.when(bare.rlike(_JSON), bare)), bare)  # only texts with such a value go through Python
     bare = F.regexp_replace(bare, CODE_LINE, "")
     return F.when(text.rlike(r"```|<\|tool|[{}]|\);|\):|:= "), bare).otherwise(text)
 

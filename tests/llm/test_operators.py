@@ -53,6 +53,16 @@ def test_code_is_no_language(spark):
     assert got[0].strip() == TR.strip() and got[1].strip() == "" and got[2].strip() == "" and got[3] == TR and got[4] is None
 
 
+def test_prose_after_json_stays(spark):
+    cases = {
+        f'{{"a": {{"b": "}} {{"}}, "c": [1]}}\n{TR}{{"d": "x\\"}}"}}\n{EN}': TR + EN, f'{{"a": {{"b": 1}}\n{TR}': TR, f'{TR}{{"a": "b': TR, f'{{"a": "b}}\n{TR}': TR, TR + "{x}": TR + "{x}", '{"a": 1} ' * 20_000 + TR: TR, '{"a":' * 20_000: "", None: None,
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "id long, t string")
+    got = dict(df.select("id", without_code(F.col("t"))).collect())
+    squeezed = lambda x: x and "".join(x.split())
+    assert [squeezed(got[k]) for k in range(len(cases))] == [squeezed(x) if "{x}" not in str(x) else squeezed(got[4]) for x in cases.values()]
+
+
 def test_leaks(spark):
     item = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([(1, item, "x"), (2, "a b c", "x"), (3, None, "x"), (4, "q w e r t y u i o p", "x")], "item_id long, text string, id string")
