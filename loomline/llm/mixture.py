@@ -2,11 +2,14 @@
 
 Only counts go through the arithmetic: how many records of each exact length a bucket has. A bucket's budget
 is met by whole repetitions, then by a proportional share of every length, then by a bounded-knapsack
-program for the small remainder. Records are then drawn by seeded hash, as many of each length as planned.
+program for what is left. Records are then drawn by seeded hash, as many of each length as planned.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,68 +19,75 @@ from loomline.session import cut
 
 #: Hash slices that the records of one bucket and length are cut into, so that a hot length spreads over tasks.
 SLICES = 1024
-#: The remainder that the knapsack program solves exactly is below this; above it, proportional shares have met the budget.
-EXACT_BELOW = 1 << 20
+#: Tokens that are left to the knapsack program beside one longest record; all above is met by proportional shares.
+EXACT_TOKENS = 1 << 18
 
 
-def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many of each length to take so that the sum comes as near below the budget as it can.
 
-    Counts are split into powers of two; the reachable sums are the bits of one large integer, and each
-    step's integer is kept to trace the choice back. Exact for any counts.
+    Counts are split into powers of two; the reachable sums are the bits of one large integer, and for each
+    sum the step is kept at which it was first reached, to trace the choice back. Exact for any counts; memory
+    is four bytes for each token of the budget, whatever the number of lengths.
     """
-    take = np.zeros(len(lengths), np.int64)
-    if budget <= 0:
+    take = [0] * len(lengths)
+    common = math.gcd(*(x for x, n in zip(lengths, counts) if x > 0 and n > 0)) if any(x > 0 and n > 0 for x, n in zip(lengths, counts)) else 0
+    if budget <= 0 or not common:
         return take
+    budget //= common
     mask = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
-    for k, (length, count) in enumerate(zip(lengths.tolist(), counts.tolist())):
-        left, size = min(int(count), budget // length if length > 0 else 0), 1
+    n_bytes = budget // 8 + 1
+    reach, steps, first = 1, [], np.full(8 * n_bytes, -1, np.int32)
+    for k, (length, count) in enumerate(zip(lengths, counts)):
+        length //= common
+        left, size = min(count, budget // length) if length > 0 else 0, 1
         while left > 0:
             part = min(size, left)
-            steps.append((k, part, reach))
-            reach |= reach << (length * part) & mask
+            fresh = (reach << (length * part)) & mask & ~reach
+            first[np.flatnonzero(np.unpackbits(np.frombuffer(fresh.to_bytes(n_bytes, "little"), np.uint8), bitorder="little"))] = len(steps)
+            steps.append((k, part, length * part))
+            reach |= fresh
             left -= part
             size *= 2
         if reach >> budget & 1:
             break
     at = reach.bit_length() - 1
-    for k, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += part
-            at -= int(lengths[k]) * part
+    while at:
+        k, part, tokens = steps[first[at]]
+        take[k] += part
+        at -= tokens
     return take
 
 
-def plan_bucket(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int) -> tuple[int, np.ndarray]:
-    """Repetitions of the whole bucket, and how many records of each length get one more."""
-    total = int((lengths * counts).sum())
-    extra = np.zeros(len(lengths), np.int64)
+def plan_bucket(lengths: Sequence[int], counts: Sequence[int], budget: int, max_repeats: int) -> tuple[int, list[int]]:
+    """Repetitions of the whole bucket, and how many records of each length get one more.
+
+    All arithmetic is on Python's integers, which have no largest value. The budget is met by whole repetitions;
+    then every length gives its share of the rest, rounded down, and the longest lengths one more while there is
+    room; at most EXACT_TOKENS and one longest record are left to ``bounded_knapsack``. As more than the rest is in
+    stock, the budget is missed by less than one longest record, and within the last part by the least that can be.
+    """
+    lengths, counts, budget, max_repeats = [int(x) for x in lengths], [int(x) for x in counts], int(budget), int(max_repeats)
+    total = sum(x * n for x, n in zip(lengths, counts))
+    extra = [0] * len(lengths)
     if total <= 0 or budget <= 0 or max_repeats <= 0:
         return 0, extra
     base = min(budget // total, max_repeats)
     left = budget - base * total
     if base == max_repeats or left <= 0:
-        return int(base), extra
-    use = lengths > 0
-    if left >= EXACT_BELOW:  # the proportional part leaves less than one record of each length
-        keep = EXACT_BELOW // 2
-        extra = np.where(use, counts * (left - keep) // total, 0)
-        left -= int((extra * lengths).sum())
-    room = counts - extra
-    bound = min(left, EXACT_BELOW)
-    order = np.argsort(-lengths, kind="stable")
-    more = np.zeros(len(lengths), np.int64)
-    if left > bound:  # many lengths: fill greedily down to the exact part
-        for k in order:
-            if lengths[k] > 0:
-                n = min(int(room[k]), max(0, left - bound) // int(lengths[k]))
-                more[k] = n
-                left -= n * int(lengths[k])
-    some = np.flatnonzero(use & (room > more))
-    some = some[np.argsort(lengths[some])]
-    more[some] += bounded_knapsack(lengths[some], (room - more)[some], left)
-    return int(base), extra + more
+        return base, extra
+    share = max(0, left - EXACT_TOKENS)
+    extra = [n * share // total if x > 0 else 0 for x, n in zip(lengths, counts)]
+    left -= sum(x * n for x, n in zip(lengths, extra))
+    by_length = sorted((k for k, x in enumerate(lengths) if x > 0), key=lambda k: lengths[k])
+    for k in reversed(by_length):  # what rounding down left over
+        if left - lengths[k] >= EXACT_TOKENS and extra[k] < counts[k]:
+            extra[k] += 1
+            left -= lengths[k]
+    more = bounded_knapsack([lengths[k] for k in by_length], [counts[k] - extra[k] for k in by_length], left)
+    for k, n in zip(by_length, more):
+        extra[k] += n
+    return base, extra
 
 
 def bucket_name(value: Column) -> Column:
@@ -99,16 +109,16 @@ def mixture(records: DataFrame, targets: DataFrame, total_tokens: int | None = N
     their own as long as their rows differ in nothing but are counted each.
 
     The counts by length are sums formed before the shuffle. A bucket's plan sees its distinct lengths only,
-    never its records. Records of one bucket and length are cut into SLICES by hash; whole slices are drawn
-    or not, and only a boundary slice is ranked.
+    never its records. A length that is drawn whole or not at all needs no ranks. Records of any other are cut
+    into SLICES by hash; whole slices are drawn or not, and only a boundary slice is ranked. Shares are sums over
+    the drawn rows.
     """
     targets = targets.select("axis", "bucket", "target_share", "max_repeats").distinct()
     wanted = targets.select("axis", "bucket", bucket_name(F.col("bucket")).alias("key"))
     used = records.select("axis", F.col("bucket").alias("key"), "id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).join(wanted, ["axis", "key"]).drop("key")
-    used = used.withColumn("h", F.xxhash64(F.lit(seed), "axis", "id")).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-    used = cut(used)
-    counts = cut(used.groupBy("axis", "bucket", "tokens", "slice").agg(F.count(F.lit(1)).alias("n")))
-    available = counts.groupBy("axis", "bucket").agg(F.sum(F.col("tokens") * F.col("n")).alias("available_tokens"))
+    used = cut(used.withColumn("h", F.xxhash64(F.lit(seed), "axis", "id")))
+    lengths = used.groupBy("axis", "bucket", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    available = lengths.groupBy("axis", "bucket").agg(F.sum(F.col("tokens") * F.col("n")).alias("available_tokens"))
     sized = targets.join(available, ["axis", "bucket"], "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     if total_tokens is None:
         limit = F.floor(F.col("available_tokens") * F.col("max_repeats") / F.col("target_share")).cast("long")
@@ -119,26 +129,25 @@ def mixture(records: DataFrame, targets: DataFrame, total_tokens: int | None = N
 
     def plan(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("tokens")
-        base, extra = plan_bucket(frame["tokens"].to_numpy(), frame["n"].to_numpy(), int(frame["budget_tokens"].iloc[0]), int(frame["max_repeats"].iloc[0]))
-        return pd.DataFrame({"axis": key[0], "bucket": key[1], "tokens": frame["tokens"], "base": base, "extra": extra})
-
-    lengths = counts.groupBy("axis", "bucket", "tokens").agg(F.sum("n").alias("n")).join(budgets.select("axis", "bucket", "budget_tokens", "max_repeats"), ["axis", "bucket"])
-    plans = cut(lengths.groupBy("axis", "bucket").applyInPandas(plan, "axis string, bucket string, tokens bigint, base bigint, extra bigint"))
-
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("axis", "bucket", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = counts.withColumn("before", before).join(plans, ["axis", "bucket", "tokens"])
-    quota = quota.select("axis", "bucket", "tokens", "slice", "base", "n", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))).alias("quota")).where("base > 0 or quota > 0")
-    drawn = used.join(quota, ["axis", "bucket", "tokens", "slice"])
-    clear = drawn.where("quota = 0 or quota = n").withColumn("one", (F.col("quota") > 0).cast("long"))
+        base, extra = plan_bucket(frame["tokens"], frame["n"], frame["budget_tokens"].iloc[0], frame["max_repeats"].iloc[0])
+        return pd.DataFrame({"axis": key[0], "bucket": key[1], "tokens": frame["tokens"], "n": frame["n"], "base": base, "extra": extra})
+
+    sized_lengths = lengths.join(budgets.select("axis", "bucket", "budget_tokens", "max_repeats"), ["axis", "bucket"])
+    plans = cut(sized_lengths.groupBy("axis", "bucket").applyInPandas(plan, "axis string, bucket string, tokens bigint, n bigint, base bigint, extra bigint"))
+
+    planned = used.join(plans.where("base > 0 or extra > 0"), ["axis", "bucket", "tokens"])
+    clear = planned.where("extra = 0 or extra = n").withColumn("one", (F.col("extra") > 0).cast("long"))
+    partly = planned.where("extra > 0 and extra < n").withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("axis", "bucket", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = partly.groupBy("axis", "bucket", "tokens", "extra", "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)))
+    drawn = partly.join(quota.drop("extra"), ["axis", "bucket", "tokens", "slice"])
+    sliced = drawn.where("quota = 0 or quota = m").withColumn("one", (F.col("quota") > 0).cast("long"))
     rank = F.row_number().over(Window.partitionBy("axis", "bucket", "tokens", "slice").orderBy("h", "id"))
-    edge = drawn.where("quota > 0 and quota < n").withColumn("one", (rank <= F.col("quota")).cast("long"))
-    rows = clear.unionByName(edge).select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")).where("repeats > 0")
-
-    reached = plans.join(lengths.select("axis", "bucket", "tokens", "n"), ["axis", "bucket", "tokens"]).groupBy("axis", "bucket").agg(
-        F.sum(F.col("tokens") * (F.col("base") * F.col("n") + F.col("extra"))).alias("tokens"),
-        F.sum(F.when(F.col("base") > 0, F.col("n")).otherwise(F.col("extra"))).alias("records"),
-        F.max(F.col("base") + (F.col("extra") > 0).cast("long")).alias("repeats"),
-    )
+    edge = drawn.where("quota > 0 and quota < m").withColumn("one", (rank <= F.col("quota")).cast("long"))
+    parts = [x.select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")) for x in (clear, sliced, edge)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("repeats > 0")
+
+    reached = rows.groupBy("axis", "bucket").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("repeats").alias("repeats"))
     shares = budgets.join(reached, ["axis", "bucket"], "left").na.fill(0, ["tokens", "records", "repeats"])
     whole = F.sum("tokens").over(Window.partitionBy("axis"))
     shares = shares.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0)))
