@@ -2,7 +2,8 @@
 
 A mask lays a window over consecutive words and ignores some of them, so a window of training text
 gets the hash of a window of an item also when an ignored word was replaced. Items and corpus are
-joined on these hashes; every pair of row and item with enough hits is then verified on its words.
+joined on these hashes; every pair of row and item with enough hits is then verified by ungapped alignments
+of its words around the hits, which tolerate other words up to a share.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ from loomline.session import cut
 
 #: 1: the word counts, 0: any word may stand there. All masks span the shortest passage.
 MASKS = ((1, 1, 0, 1, 1), (1, 0, 1, 1, 1))
+#: Other words that may lie between two hits of one alignment, and the largest share of other words in it.
+GAP_WORDS, MOST_MISMATCHES = 3, 0.4
+#: Items that a seed may occur in without being common. Common seeds pair rows only with items that could match by them alone.
+COMMON_ITEMS = 64
+#: Words of pairs that are verified at a time.
+PAIR_WORDS = 1 << 20
 #: Seeds of the items up to this number are sent to every task (8 bytes each) to drop other windows at once.
 BROADCAST_SEEDS = 2_000_000
 
@@ -46,86 +54,185 @@ def _lists(doc: np.ndarray, values: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[keep]))
 
 
-def _seeded(column: str, ids: Sequence[str], schema: pa.Schema, known=None, masks=MASKS):
-    """Rows with their word hashes and window hashes; with known hashes only rows and hashes among them."""
+def _item_seeds(masks: Sequence[Sequence[int]]):
+    """Items with their words, and with the place and hash of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if known is None else known.value
-        for part, text in slices(batches, column):
+        for part, text in slices(batches, "text"):
             words = text.words()
+            begin = np.searchsorted(words.doc, np.arange(text.n))
             found = [seeds(words.hash, words.doc, m, k) for k, m in enumerate(masks)]
-            doc = np.concatenate([words.doc[at] for at, _ in found])
-            value = np.concatenate([v for _, v in found])
-            if wanted is not None:
+            at, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            order = np.argsort(at, kind="stable")
+            at, value = at[order], value[order]
+            every = np.arange(text.n)
+            doc = words.doc[at]
+            place = pa.StructArray.from_arrays([pa.array(at - begin[doc], pa.int32()), pa.array(value)], ["place", "seed"])
+            windows = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(doc, every), len(doc)), pa.int32()), place)
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), _lists(words.doc, words.hash.view(np.int64), every), windows], ["item_id", "words", "windows"])
+
+    return run
+
+
+def _hit_rows(schema: pa.Schema, masks: Sequence[Sequence[int]], reach: int, known):
+    """Rows with hits: their distinct seeds, and their words up to ``reach`` around the hits. Words left out between
+    are one 0. With known seeds only those count, and only rows with enough of them to match any item that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text in slices(batches, "text"):
+            words = text.words()
+            n = len(words.doc)
+            found = [seeds(words.hash, words.doc, m, k) for k, m in enumerate(masks)]
+            at, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            if known is not None:
+                wanted, places, least = known.value
                 hit = within(value, wanted)
-                doc, value = doc[hit], value[hit]
-            pair = np.unique(np.rec.fromarrays([doc, value])) if len(doc) else np.rec.fromarrays([doc, value])
-            rows = np.unique(pair["f0"])
-            if len(rows):
-                cols = [part.column(c).take(pa.array(rows)) for c in ids]
-                yield pa.RecordBatch.from_arrays([*cols, _lists(words.doc, words.hash.view(np.int64), rows), _lists(pair["f0"], pair["f1"], rows)], schema=schema)
+                at, value = at[hit], value[hit]
+            pair = np.unique(np.rec.fromarrays([words.doc[at], value])) if len(at) else np.rec.fromarrays([at, value])
+            rows, first = np.unique(pair["f0"], return_index=True)
+            if known is not None and len(rows):
+                index = np.searchsorted(wanted, pair["f1"])
+                rows = rows[np.add.reduceat(places[index], first) >= np.minimum.reduceat(least[index], first)]
+            if not len(rows):
+                continue
+            begin, end = np.searchsorted(words.doc, rows), np.searchsorted(words.doc, rows, "right")
+            mark = np.zeros(n + 1, np.int64)
+            at = at[np.isin(words.doc[at], rows)]
+            lo, hi = begin[np.searchsorted(rows, words.doc[at])], end[np.searchsorted(rows, words.doc[at])]
+            np.add.at(mark, np.maximum(at - reach, lo), 1)
+            np.add.at(mark, np.minimum(at + reach + len(masks[0]), hi), -1)
+            near = np.cumsum(mark[:n]) > 0
+            gap = ~near & np.append(False, near[:-1])
+            value_of = np.where(near, words.hash.view(np.int64), 0)
+            keep = near | gap
+            cols = [part.column(c).take(pa.array(rows)) for c in ("tbl", "id")]
+            chosen = np.isin(pair["f0"], rows)
+            yield pa.RecordBatch.from_arrays([*cols, _lists(words.doc[keep], value_of[keep], rows), _lists(pair["f0"][chosen], pair["f1"][chosen], rows)], schema=schema)
 
     return run
 
 
-def covered(row: np.ndarray, item: np.ndarray, run: int) -> int:
-    """Words of the item that lie in stretches of at least ``run`` consecutive words found in the row."""
-    zeros = np.zeros(len(row), np.int8), np.zeros(len(item), np.int8)
-    (_, a), (at, b) = (seeds(w.view(np.uint64), z, (1,) * run, 0) for w, z in zip((row, item), zeros))
-    start = at[np.isin(b, a)]
-    mark = np.zeros(len(item) + run, np.int64)
-    np.add.at(mark, start, 1)
-    np.add.at(mark, start + run, -1)
-    return int((np.cumsum(mark)[: len(item)] > 0).sum())
+def _matches(a: np.ndarray, b: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of all equal pairs of two arrays, some at a time."""
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+    total = np.append(0, np.cumsum(hi - lo))
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + most, "right")) - 1)
+        n = (hi - lo)[start:stop]
+        i = np.repeat(np.arange(start, stop), n)
+        j = order[np.arange(n.sum()) - np.repeat(total[start:stop] - total[start], n) + np.repeat(lo[start:stop], n)]
+        yield i, j
+        start = stop
 
 
-def leaks(corpus: DataFrame, items: DataFrame, min_run: int = 5, min_share: float = 0.5, masks=MASKS) -> DataFrame:
-    """Pairs of corpus rows and evaluation items that the row holds whole or in good part.
+def aligned(row: np.ndarray, row_pair: np.ndarray, item: np.ndarray, item_pair: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.ndarray]:
+    """Which item words of each pair are found in its row: in alignments, and in runs of as many equal words as masks span.
+
+    The words of all pairs lie end to end, with the pair's number. Hits of a pair on one diagonal with at most
+    GAP_WORDS words between are one alignment, from its first to its last window; it counts if at most
+    MOST_MISMATCHES of its words differ. All hits of all places take part, also where a text repeats itself.
+    """
+    span = len(masks[0])
+    found, exact = np.zeros(len(item), bool), np.zeros(len(item), bool)
+    row_begin, item_begin = np.searchsorted(row_pair, item_pair), np.searchsorted(item_pair, item_pair)
+    for number, mask in enumerate((*masks, (1,) * span)):
+        a, x = seeds(row, row_pair, mask, number)
+        b, y = seeds(item, item_pair, mask, number)
+        with np.errstate(over="ignore"):
+            x, y = mix(x.view(np.uint64) + row_pair[a].astype(np.uint64)), mix(y.view(np.uint64) + item_pair[b].astype(np.uint64))
+        if number == len(masks):
+            at = b[np.isin(y, x)]
+            for k in range(span):
+                exact[at + k] = True
+        for i, j in _matches(x, y):
+            place = b[j]
+            shift = (a[i] - row_begin[place]) - (place - item_begin[place])
+            code = np.rec.fromarrays([item_pair[place], shift, place])
+            code = code[np.argsort(code, order=("f0", "f1", "f2"))] if len(code) else code
+            p, d, w = code["f0"], code["f1"], code["f2"]
+            if not len(p):
+                continue
+            new = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]) | (w[1:] - w[:-1] > span + GAP_WORDS))
+            begin = w[new]
+            size = w[np.append(np.flatnonzero(new)[1:] - 1, len(w) - 1)] + span - begin
+            group = np.repeat(np.arange(len(begin)), size)
+            offset = np.arange(size.sum()) - np.repeat(np.append(0, np.cumsum(size)[:-1]), size)
+            word = begin[group] + offset
+            same = item[word] == row[row_begin[word] + d[new][group] + word - item_begin[word]]
+            good = np.bincount(group, ~same, len(begin)) <= MOST_MISMATCHES * size
+            found[word[same & good[group]]] = True
+    return found, exact
+
+
+def _verify(schema: pa.Schema, masks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            size = np.cumsum(np.asarray(pc.list_value_length(whole.column("words"))))
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIR_WORDS, "right")))
+                batch = whole.slice(at, to - at)
+                at = to
+                (row, row_pair), (item, item_pair) = ((np.asarray(c.flatten()).view(np.uint64), np.repeat(np.arange(len(c)), np.asarray(pc.list_value_length(c)))) for c in (batch.column("words"), batch.column("item_words")))
+                found, exact = aligned(row, row_pair, item, item_pair, masks)
+                n = [np.bincount(item_pair, w, batch.num_rows) for w in (np.ones(len(item)), found, exact)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tbl", "id", "item_id")] + [pa.array(x.astype(np.int32)) for x in n], schema=schema)
+
+    return run
 
-    corpus: ``tbl STRING, id BIGINT, text STRING``; items: ``item_id BIGINT, text STRING``; other columns
-    are ignored. Result: ``tbl, id, item_id, item_words, matched_words``, one row for each pair where
-    stretches of at least ``min_run`` consecutive item words hold at least ``min_share`` of the item's
-    words. Words are compared without case, accents, punctuation, spacing and invisible characters.
 
-    Null, empty and blank texts hold nothing and match nothing. An item of fewer than ``min_run`` words
-    has no passage. Rows repeated under one id give one pair. Empty tables give an empty result.
+def leaks(corpus: DataFrame, items: DataFrame, min_share: float = 0.5, masks=MASKS) -> DataFrame:
+    """Pairs of corpus rows and evaluation items that the row holds whole or in good part, also with words replaced.
 
-    The seeds of the items are counted; up to BROADCAST_SEEDS of them go to all tasks, which then emit
-    only rows with a hit. Above that all windows of the corpus are shuffled to the join. There is no
-    cap on hits, partners or candidates.
+    corpus: ``tbl STRING, id BIGINT, text STRING``; items: ``item_id BIGINT, text STRING``; other columns
+    are ignored. Result: ``tbl, id, item_id, item_words, matched_words, run_words``, one row for each pair whose
+    alignments hold at least ``min_share`` of the item's words; ``run_words`` counts those in stretches of at
+    least as many equal words as the masks span. Words are compared without case, accents, punctuation,
+    spacing and invisible characters.
+
+    Null, empty and blank texts hold nothing and match nothing. An item of fewer words than a mask spans (five)
+    has no passage and is never found. Rows repeated under one id give one pair. Empty tables give an empty result.
+
+    The seeds of the items are counted; up to BROADCAST_SEEDS of them go to all tasks, which then emit only rows
+    with enough hits, and the join with the items' windows is a broadcast too. Above that both are shuffled. A
+    seed of more than COMMON_ITEMS items makes no pairs, except with items that have so many common windows
+    that these alone could match; any other item that matches has a window that is not common. There is no cap
+    on hits, partners or candidates.
     """
     span = len(masks[0])
-    if any(len(m) != span for m in masks) or span > min_run:
-        raise ValueError("each mask must span at most the shortest passage")
-    int_list = pa.list_(pa.int64())
-    one = pa.schema([("item_id", pa.int64()), ("words", int_list), ("seeds", int_list)])
-    two = pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("words", int_list), ("seeds", int_list)])
-    item = cut(items.select("item_id", "text").mapInArrow(_seeded("text", ["item_id"], one, masks=masks), "item_id bigint, words array<bigint>, seeds array<bigint>"))
-    item_seeds = item.select("item_id", F.explode("seeds").alias("seed"), F.size("words").alias("n")).distinct()
+    if any(len(m) != span for m in masks):
+        raise ValueError("masks must span equally many words")
+    spark = corpus.sparkSession
+    item = cut(items.select("item_id", "text").mapInArrow(_item_seeds(masks), "item_id bigint, words array<bigint>, windows array<struct<place:int,seed:bigint>>"))
+    # A window's alignment holds at most span + GAP_WORDS further words, so a pair that passes has hits at this many places.
+    least = F.ceil(F.size("words") * F.lit(min_share) / (span + GAP_WORDS)).cast("int")
+    places = item.select("item_id", least.alias("least"), F.explode("windows").alias("w")).select("item_id", "least", "w.seed", "w.place")
+    spread = places.groupBy("seed").agg(F.count_distinct("item_id").alias("n_items"))
+    places = places.join(spread, "seed").withColumn("common", F.col("n_items") > COMMON_ITEMS)
+    many = places.groupBy("item_id").agg(F.count_distinct(F.when(F.col("common"), F.col("place"))).alias("n_common"))
+    places = places.join(many, "item_id").where("not common or n_common >= least")
+    needed = F.when(F.col("n_common") >= F.col("least"), F.col("least")).otherwise(F.col("least") - F.col("n_common"))
+    places = cut(places.select("item_id", "seed", "place", F.greatest(F.lit(1), needed).alias("least")))
+    longest = item.agg(F.max(F.size("words"))).first()[0] or 0
+
     known = None
-    if item_seeds.count() <= BROADCAST_SEEDS:
-        values = np.unique(np.array([r.seed for r in item_seeds.select("seed").distinct().collect()], np.int64))
-        known = corpus.sparkSession.sparkContext.broadcast(values)
-    hits = corpus.select("tbl", "id", "text").mapInArrow(_seeded("text", ["tbl", "id"], two, known, masks), "tbl string, id bigint, words array<bigint>, seeds array<bigint>")
-    hits = cut(hits)
-    # A window covers span words, so a pair that passes has at least this many windows under any one mask.
-    least = F.ceil(F.col("n") * F.lit(min_share) / span)
+    one_item = places.groupBy("seed", "item_id", "least").agg(F.count_distinct("place").cast("int").alias("n"))
+    if places.count() <= BROADCAST_SEEDS:
+        rows = one_item.groupBy("seed").agg(F.max("n").alias("n"), F.min("least").alias("least")).orderBy("seed").toPandas()
+        known = spark.sparkContext.broadcast((rows["seed"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["least"].to_numpy(np.int64)))
+        places = F.broadcast(places)
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("words", lists), ("seeds", lists)])
+    hits = cut(corpus.select("tbl", "id", "text").mapInArrow(_hit_rows(schema, masks, longest, known), "tbl string, id bigint, words array<bigint>, seeds array<bigint>"))
     pairs = (
-        hits.select("tbl", "id", F.explode("seeds").alias("seed"))
-        .join(item_seeds, "seed")
-        .groupBy("tbl", "id", "item_id", "n")
-        .agg(F.count_distinct("seed").alias("windows"))
-        .where(F.col("windows") >= least)
-    )
-    pairs = pairs.join(hits.select("tbl", "id", "words").distinct(), ["tbl", "id"]).join(item.select("item_id", F.col("words").alias("item_words")), "item_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, words = batch.column("words"), batch.column("item_words")
-            n = [len(words[k].values) for k in range(batch.num_rows)]
-            m = [covered(np.asarray(row[k].values), np.asarray(words[k].values), min_run) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tbl", "id", "item_id")] + [pa.array(n, pa.int32()), pa.array(m, pa.int32())], ["tbl", "id", "item_id", "item_words", "matched_words"])
-
-    checked = pairs.select("tbl", "id", "item_id", "words", "item_words").mapInArrow(verify, "tbl string, id bigint, item_id bigint, item_words int, matched_words int")
-    passed = checked.where(F.col("matched_words") >= F.col("item_words") * F.lit(min_share))
-    return passed.groupBy("tbl", "id", "item_id", "item_words").agg(F.max("matched_words").alias("matched_words"))
+        hits.select("tbl", "id", F.explode("seeds").alias("seed")).join(places, "seed").groupBy("tbl", "id", "item_id", "least").agg(F.count_distinct("place").alias("hits"))
+        .where(F.col("hits") >= F.col("least")).select("tbl", "id", "item_id")
+    )
+    texts = hits.select("tbl", "id", "words").distinct()
+    pairs = pairs.join(texts, ["tbl", "id"]).join(item.select("item_id", F.col("words").alias("item_words")), "item_id").select("tbl", "id", "item_id", "words", "item_words")
+    out = pa.schema([("tbl", pa.string()), ("id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("matched_words", pa.int32()), ("run_words", pa.int32())])
+    checked = pairs.mapInArrow(_verify(out, masks), "tbl string, id bigint, item_id bigint, item_words int, matched_words int, run_words int")
+    passed = checked.where((F.col("item_words") >= span) & (F.col("matched_words") >= F.col("item_words") * F.lit(min_share)))
+    return passed.groupBy("tbl", "id", "item_id", "item_words").agg(F.max("matched_words").alias("matched_words"), F.max("run_words").alias("run_words"))

@@ -46,9 +46,15 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and items of ``p2_overlaps`` where runs of five equal words hold half of the item."""
+    return p2_overlaps(spark, d).where("run_words * 2 >= item_words").select("tbl", "id", "item_id")
+
+
+def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with an item that it holds in good part, also with words replaced."""
     from loomline.llm.leaks import leaks
 
-    return leaks(_texts(spark, d, sft="user"), table(spark, d, "eval_items")).select("tbl", "id", "item_id")
+    return leaks(_texts(spark, d, sft="user"), table(spark, d, "eval_items"))
 
 
 def _token_rows(spark: SparkSession, d: str) -> DataFrame:

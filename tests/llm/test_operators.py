@@ -7,8 +7,8 @@ from loomline.llm import queries as q
 from loomline.llm.answers import pair_defects
 from loomline.llm.formatting import formatting_classes, formatting_copies, formatting_records
 from loomline.llm.language import Profiles, detect_languages, without_code, wrong_labels
-from loomline.llm.leaks import leaks
-from loomline.llm.mixture import mixture
+from loomline.llm.leaks import MASKS, leaks
+from loomline.llm.mixture import mixture, plan_bucket
 from loomline.llm.packing import curve_places, pack, pack_all
 from loomline.llm.privacy import LABELS, Finder, find_personal, redacted
 from loomline.llm.quality import text_statistics
@@ -71,15 +71,53 @@ def test_leaks(spark):
         ("t", 6, "öne two thrée four fi​ve six"), ("t", 7, "one two three four five x seven eight nine ten"), ("t", 8, "w " * 50_000 + item), ("t", 9, "one two x four five six x eight nine ten"),
     ]
     df = spark.createDataFrame(rows, "tbl string, id long, text string")
-    got = {(r.id, r.item_id): (r.item_words, r.matched_words) for r in leaks(df, items).collect()}
-    assert got == {(1, 1): (10, 10), (2, 1): (10, 5), (6, 1): (10, 6), (7, 1): (10, 5), (8, 1): (10, 10)}
+    got = {(r.id, r.item_id): (r.item_words, r.matched_words, r.run_words) for r in leaks(df, items).collect()}
+    assert got == {(1, 1): (10, 10, 10), (2, 1): (10, 5, 5), (6, 1): (10, 6, 6), (7, 1): (10, 8, 5), (8, 1): (10, 10, 10), (9, 1): (10, 8, 0)}
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
 
 
 def test_leaks_without_broadcast_are_the_same(spark, data, monkeypatch):
-    want = {tuple(r) for r in q.p2_found(spark, data).collect()}
+    want = {tuple(r) for r in q.p2_overlaps(spark, data).collect()}
     monkeypatch.setattr("loomline.llm.leaks.BROADCAST_SEEDS", 0)
-    assert {tuple(r) for r in q.p2_found(spark, data).collect()} == want and want
+    assert {tuple(r) for r in q.p2_overlaps(spark, data).collect()} == want and want
+    monkeypatch.setattr("loomline.llm.leaks.COMMON_ITEMS", 1)
+    assert {tuple(r) for r in q.p2_overlaps(spark, data).collect()} == want
+
+
+def _brute_overlap(row, item):
+    """Matched words of an item over all alignments of two texts, by trying each one."""
+    found = set()
+    for shift in range(-len(item), len(row)):
+        same = [0 <= w + shift < len(row) and row[w + shift] == item[w] for w in range(len(item))]
+        hit = [p for p in range(len(item) - 4) if any(all(same[p + k] for k in range(5) if m[k]) for m in MASKS)]
+        while hit:
+            run = [hit.pop(0)]
+            while hit and hit[0] - run[-1] <= 8:
+                run.append(hit.pop(0))
+            words = range(run[0], run[-1] + 5)
+            if sum(not same[w] for w in words) <= 0.4 * len(words):
+                found |= {w for w in words if same[w]}
+    return len(found)
+
+
+def test_leaks_with_words_replaced(spark):
+    import random
+
+    rng = random.Random(3)
+    items = [(k, [f"w{rng.randrange(4000)}" for _ in range(rng.choice((16, 24, 40)))]) for k in range(60)]
+    items += [(60, ["lap"] * 60), (61, ["go", "on"] * 20), (62, items[0][1][:12] + items[1][1][:12])]
+    rows = []
+    for k, words in items:
+        for step in (3, 4, 5, 6):
+            rows.append((k * 10 + step, ["a"] * rng.randrange(4) + [f"x{i}" if i % step == step - 1 else w for i, w in enumerate(words)]))
+        rows.append((k * 10, [f"f{rng.randrange(9)}" for _ in range(3000)] + words[: len(words) * 2 // 3] + ["gap", "gap"] + words[len(words) * 2 // 3 :]))
+        rows.append((k * 10 + 1, [f"x{i}" if i % 2 else w for i, w in enumerate(words)]))
+    spark_items = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    df = spark.createDataFrame([("t", i, " ".join(w)) for i, w in rows], "tbl string, id long, text string")
+    got = {(r.id, r.item_id): r.matched_words for r in leaks(df, spark_items).collect()}
+    want = {(i, k): n for i, row in rows for k, words in items if len(row) < 200 and len(set(row) & set(words)) > 2 and (n := _brute_overlap(row, words)) * 2 >= len(words)}
+    assert {k: n for k, n in got.items() if k[0] % 10} == want
+    assert all((k * 10 + x, k) in got for k, w in items for x in (0, 3, 4, 5, 6))
 
 
 def test_leaks_against_brute_force(spark, data):
@@ -132,6 +170,31 @@ def test_mixture(spark):
     assert empty.count() == 0 and {r.tokens for r in none.collect()} == {0}
 
 
+def test_plans_of_any_size():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(150):
+        top = rng.choice((1, 3, 50, 2_000, 200_000))
+        lengths = sorted(rng.sample(range(1, top + 1), min(rng.choice((1, 2, 5, 300)), top)))
+        counts = [rng.choice((0, 1, 1_000, 10**10, 10**15 // x)) for x in lengths]
+        total, repeats = sum(x * n for x, n in zip(lengths, counts)), rng.choice((0, 1, 3))
+        budget = rng.randrange(0, 2 * total + 2)
+        base, extra = plan_bucket(lengths, counts, budget, repeats)
+        reached = base * total + sum(x * n for x, n in zip(lengths, extra))
+        assert all(0 <= n <= have for n, have in zip(extra, counts)) and reached <= budget and base + any(extra) <= repeats
+        assert base == repeats or not total or budget - reached < max(x for x, n in zip(lengths, counts) if n)
+
+
+def test_shares_are_sums_over_the_drawn_rows(spark, data):
+    import duckdb
+
+    drawn, shares = q.p4_mixture(spark, data).toPandas(), q.p4_shares(spark, data).toPandas()
+    got = duckdb.sql("SELECT axis, bucket, CAST(sum(tokens * repeats) AS BIGINT) AS t, count(*) AS n, max(repeats) AS r FROM drawn GROUP BY ALL").fetchall()
+    assert {(r.axis, r.bucket): (r.tokens, r.records, r.repeats) for r in shares.itertuples() if r.tokens} == {g[:2]: g[2:] for g in got}
+    assert (shares.tokens <= shares.budget_tokens).all() and abs(shares.groupby("axis").actual_share.sum() - 1).max() < 1e-9
+
+
 def test_formatting_copies(spark):
     rows = [
         (5, "Işık İçin, tek-deftere!", 0), (3, "ışık için tek deftere", 0), (9, "IŞIK İÇİN TEK DEFTERE", 0), (4, "isik icin tek deftere", 0), (7, None, 0), (8, " ​ ", 0), (1, '{"b":1,"a":"x y"}', 0), (2, '{ "a": "X-Y", "b": 1 }', 0),
