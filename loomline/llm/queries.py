@@ -104,11 +104,11 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _formatting_groups(spark: SparkSession, d: str) -> DataFrame:
-    from loomline.llm.formatting import formatting_records
+    from loomline.llm.formatting import encoded, formatting_records
 
     raw = formatting_records(table(spark, d, "main_raw"), "main_raw", "ord", ["text"], "text")
     sft = formatting_records(table(spark, d, "main_sft"), "main_sft", "sft_id", ["user", "assistant"], "user")
-    return raw.unionByName(sft)
+    return encoded([raw, sft])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import queries as q
 from loomline.llm.answers import pair_defects
-from loomline.llm.formatting import formatting_classes, formatting_copies, formatting_records
+from loomline.llm.formatting import encoded, formatting_classes, formatting_copies, formatting_records
 from loomline.llm.language import Profiles, detect_languages, without_code, wrong_labels
 from loomline.llm.leaks import MASKS, leaks
 from loomline.llm.mixture import mixture, plan_bucket
@@ -195,18 +195,30 @@ def test_shares_are_sums_over_the_drawn_rows(spark, data):
     assert (shares.tokens <= shares.budget_tokens).all() and abs(shares.groupby("axis").actual_share.sum() - 1).max() < 1e-9
 
 
-def test_formatting_copies(spark):
+def test_formatting_copies(spark, monkeypatch):
     rows = [
         (5, "Işık İçin, tek-deftere!", 0), (3, "ışık için tek deftere", 0), (9, "IŞIK İÇİN TEK DEFTERE", 0), (4, "isik icin tek deftere", 0), (7, None, 0), (8, " ​ ", 0), (1, '{"b":1,"a":"x y"}', 0), (2, '{ "a": "X-Y", "b": 1 }', 0),
-        (10, "Straße 12", 0), (11, "STRASSE 12.", 0), (12, "Straße 13", 0), (13, "e\u0301te\u0301", 0), (14, "été", 0), (15, "ete", 0), (14, "été", 0), (16, "z" * 300_000, 0), (17, "Z" * 300_000 + ".", 0),
+        (10, "Straße 12", 0), (11, "STRASSE 12.", 0), (12, "Straße 13", 0), (13, "e\u0301te\u0301", 0), (14, "été", 0), (15, "ete", 0), (14, "été", 0), (16, "z" * 300_000, 0), (17, "Z" * 300_000 + ".", 0), (18, "i\u0307p", 0), (19, "İP", 0), (20, "at 1.5", 0), (21, "At 15", 0),
     ]
     df = spark.createDataFrame(rows, "id long, text string, record int")
-    records = formatting_records(df, "t", "id", ["text"], "text")
-    assert {(r.keep_id, r.dup_id) for r in formatting_copies(records).collect()} == {(3, 5), (3, 9), (1, 2), (10, 11), (13, 14), (16, 17)}
-    assert {r.keep_id: r.copies for r in formatting_classes(records).collect()}[13] == 3
-    pairs = formatting_records(spark.createDataFrame([(1, "q", None), (2, "Q!", ""), (3, None, "a"), (4, "q", "a")], "id long, user string, assistant string"), "s", "id", ["user", "assistant"], "user")
-    assert {(r.keep_id, r.dup_id) for r in formatting_copies(pairs).collect()} == {(1, 2)}
-    assert formatting_copies(records.limit(0)).count() == 0
+    plain = formatting_records(df, "t", "id", ["text"], "text")
+    want = {(3, 5), (3, 9), (1, 2), (10, 11), (13, 14), (16, 17), (18, 19), (20, 21)}
+    records = encoded([plain])
+    assert {(r.keep_id, r.dup_id) for r in formatting_copies(records).collect()} == want
+    copies = {r.keep_id: r.copies for r in formatting_classes(records).collect()}
+    assert copies == {3: 3, 4: 1, 1: 2, 10: 2, 12: 1, 13: 3, 15: 1, 16: 2, 18: 2, 20: 2}
+    pairs = formatting_records(spark.createDataFrame([(1, "q", None), (2, "Q!", ""), (3, None, "a"), (4, "q", "a"), (5, "a", "q"), (6, "A.", "q q")], "id long, user string, assistant string"), "s", "id", ["user", "assistant"], "user")
+    assert {(r.tbl, r.keep_id, r.dup_id) for r in formatting_copies(encoded([pairs, plain])).collect()} == {("s", 1, 2)} | {("t", *x) for x in want}
+    assert formatting_copies(encoded([plain.limit(0)])).count() == 0 and formatting_classes(encoded([plain.limit(0)])).count() == 0
+    monkeypatch.setattr("loomline.llm.formatting._split", lambda counted, count, total: (counted.where("value % 2 = 0" if "value" in counted.columns else "keep_id % 2 = 0").drop(count), counted.where("value % 2 = 1" if "value" in counted.columns else "keep_id % 2 = 1").drop(count)))
+    assert {(r.keep_id, r.dup_id) for r in formatting_copies(encoded([plain])).collect()} == want
+
+
+def test_copies_are_counted_over_the_found_pairs(spark, data):
+    import duckdb
+
+    found, copies = q.p5_found(spark, data).toPandas(), q.p5_copies(spark, data).toPandas()
+    assert set(duckdb.sql("SELECT tbl, keep_id, count(*) + 1 AS copies FROM found GROUP BY ALL").fetchall()) == {tuple(r) for r in copies[copies.copies > 1][["tbl", "keep_id", "copies"]].itertuples(index=False)}
 
 
 def test_pair_defects(spark, profiles):
