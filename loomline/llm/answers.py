@@ -60,7 +60,7 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     """``sft_id, user, assistant`` to ``sft_id, defects ARRAY<STRING>``, in the order of the rules.
 
     empty: null, blank, or only punctuation, an end marker or a placeholder word; then no other rule applies.
-    copy: the letters and digits are the question's, once or repeated, after an introduction or not.
+    copy: the letters and digits are the question's, once or repeated, after an introduction of any length or not.
     truncated: an open tool call, JSON value, code fence or bracket; a list marker without an entry; or prose
     that ends without a sign that ends sentences. Answers of up to three words and entries need none; never with copy.
     refusal: of the unquoted sentences at least one declines in the first person, and no other answers; sentences
@@ -74,7 +74,7 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     rows = rows.withColumn("body", F.regexp_replace(F.regexp_replace(F.coalesce("assistant", F.lit("")), END_MARKERS, ""), _TRIM, ""))
     rows = rows.withColumns({"a": letters(F.col("body")), "q": letters(F.coalesce("user", F.lit("")))})
     rows = rows.withColumn("empty", (F.col("a") == "") | F.col("a").isin(*PLACEHOLDERS))
-    told = letters(F.regexp_replace("body", r"^[^:\n]{1,40}[:\n]\s*", ""))
+    told = letters(F.regexp_replace("body", r"^[^:\n]+[:\n]\s*", ""))
     rows = rows.withColumn("copy", ~F.col("empty") & (_repeats(F.col("a"), F.col("q")) | _repeats(told, F.col("q"))))
 
     body = F.col("body")
@@ -90,7 +90,7 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     ended = last.rlike(r"[.!?…。؟][\s\x22'”’»“)\]}*_~]*$")
     item = last.rlike(_ITEM)
     bare_item = last.rlike(r"^\s*(?:[-*•▪+]|\d+[.)])\s*$")
-    prose_cut = ~ended & ~item & ~((words <= 3) & (F.length(body) < 40))
+    prose_cut = ~ended & ~item & (words > 3)
     truncated = (
         F.when(is_call, broken_call)
         .when(is_json, F.try_parse_json(body).isNull())
@@ -103,7 +103,7 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     low = F.translate(F.lower(F.replace(joined, F.lit("I"), F.lit("i"))), "\u2028", "\n")
     sentences, declines = F.filter(F.split(low, _SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]")), "|".join(REFUSALS.values())
     refusal = F.forall(sentences, lambda s: s.rlike(declines + "|" + "|".join(ASIDES.values()))) & F.exists(sentences, lambda s: s.rlike(declines))
-    rows = rows.withColumns({"truncated": ~F.col("empty") & ~F.col("copy") & truncated, "refusal": ~F.col("empty") & ~F.col("copy") & refusal})
+    rows = rows.withColumns({"truncated": ~F.col("empty") & ~F.col("copy") & truncated, "refusal": ~F.col("empty") & refusal})
 
     keep = ["sft_id", "empty", "copy", "truncated", "refusal", "speech", "asks"]
     rows = rows.withColumns({"speech": F.when(~F.col("empty"), F.col("plain")), "asks": F.coalesce(F.col("user").rlike(ASKS_LANGUAGE), F.lit(False))})
@@ -113,6 +113,6 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     question, answer = F.col("asked")[0]["lang"], F.col("languages")[0]["lang"]
     favour = F.array_max("scores") - F.col("scores")[(F.array_position(known, question) - 1).cast("int")]
     other = ~F.col("asks") & (F.size("asked") == 1) & (F.size("languages") == 1) & (question != answer) & (favour >= AGAINST_LABEL)
-    both = both.withColumn("other_language", ~F.col("empty") & ~F.col("copy") & F.coalesce(other, F.lit(False)))
+    both = both.withColumn("other_language", ~F.col("empty") & F.coalesce(other, F.lit(False)))
     kinds = ("empty", "copy", "truncated", "refusal", "other_language")
     return both.select("sft_id", F.array_compact(F.array(*(F.when(F.col(k), k) for k in kinds))).alias("defects"))

@@ -4,9 +4,10 @@ Every letter has a random vector of +1 and -1. An n-gram's vector binds (multipl
 letters, each permuted by its place; a text's vector bundles (adds) those of its n-grams, and so does a
 language's prototype. A text has the language whose prototype has the largest cosine with it.
 
-Bundling is linear, so a text's product with a prototype is the sum of its n-grams' products with it.
-Those are computed once for all n-grams over the alphabet; a segment's products are then differences of
-running sums, and every text is scored whole, at every length, without forming its vector.
+Bundling is linear, so a text's product with a prototype is the sum of its n-grams' products with it, which
+are computed once for all n-grams over the alphabet. Vectors of different n-grams are all but orthogonal, so
+the length of a text's vector is the root of its n-grams' squared counts. Both give the cosine of a text, a
+part or a segment of any length without forming its vector.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomline.llm.textbatch import IGNORED, LETTER, MARK, NUMBER, TextBatch, slices
+from loomline.llm.textbatch import IGNORED, LETTER, MARK, SPACE, TextBatch, slices
 from loomline.session import bounded_sample
 
 DIMENSION = 8192
@@ -143,8 +144,6 @@ class Profiles:
 CHUNK_LETTERS = 32
 #: Products that a change of language must gain: where a sentence or line ends, and elsewhere.
 CHANGE_AT_END, CHANGE_INSIDE = 0.7, 2.5
-#: Quotations up to so many characters are no running text, unless they hold most of it.
-QUOTED_CHARS = 400
 #: Quotation marks.
 QUOTES = '"“”„«»'
 #: Signs that end a sentence or clause.
@@ -186,10 +185,22 @@ class Segments:
         self.scores, self.generic = both[:, :n_lang], both[:, n_lang]
         self.soft = at_end[self.begin]
         self.language = self._best_path()
+        chunk = np.repeat(np.arange(len(self.begin)), stop - self.begin)
+        first = int(self.begin[0]) if len(self.begin) else len(grams.at)
+        use = grams.valid[first:]
+        self.gram, self.gram_chunk = grams.gram[first:][use], chunk[use]
+
+    def norms(self, part: np.ndarray, n: int) -> np.ndarray:
+        """Length of the bundle of each of n parts, given the part of every chunk (negative: of none)."""
+        part = part[self.gram_chunk]
+        use = part >= 0
+        key, count = np.unique(part[use].astype(np.int64) * LETTERS**GRAM + self.gram[use], return_counts=True)
+        return np.sqrt(np.bincount(key // LETTERS**GRAM, count.astype(np.float64) ** 2, n))
 
     @staticmethod
     def _quoted(text: TextBatch) -> np.ndarray:
-        """Code points between two quotation marks of a text, the marks taken in pairs."""
+        """Code points of quotations of one sentence: between two quotation marks of a text, the marks taken in pairs,
+        with no sentence after another in them. They are no running text, unless they hold most of its letters."""
         marks = np.flatnonzero(text.among(QUOTES))
         out = np.zeros(len(text.cp) + 1, np.int64)
         if len(marks):
@@ -197,7 +208,11 @@ class Segments:
             place = np.arange(len(marks)) - np.searchsorted(doc, doc)
             opens = np.flatnonzero((place % 2 == 0) & np.append(doc[1:] == doc[:-1], False))
             a, b = marks[opens], marks[opens + 1]
-            short = b - a <= QUOTED_CHARS
+            stop = text.among(".!?…\n")
+            stop[:-1] &= (text.cls[1:] == SPACE) | (text.cp[:-1] == 10)
+            stops = np.append(0, np.cumsum(stop))
+            last = np.maximum(b - 2, a)  # the sign that ends the quoted sentence is no break
+            short = stops[last] == stops[a]
             np.add.at(out, a[short], 1)
             np.add.at(out, b[short], -1)
         inside = np.cumsum(out[:-1]) > 0
@@ -235,19 +250,29 @@ class Segments:
         return out
 
 
-#: Least mean product with what all languages share, for a text to have words of a language at all.
-LEAST_COMMON = 0.0125
-#: Digits for each letter, at most, in a text with words of a language; logs and number tables have more.
-MOST_DIGITS = 1.2
-#: By how much the products must favour another language over the row's label, and over the other
-#: languages of a mixed row for each of its languages.
-AGAINST_LABEL, FOR_PART = 0.6, 1.0
-SHARPNESS = 3.0
+#: Least cosine that a text's main language has with its part of the text, for the text to have words of a language
+#: at all; or, for short texts, a lower one that makes up a sum with the cosine with what all languages share. Logs,
+#: encoded data and other noise stay below both at every length.
+LEAST_COSINE, LEAST_OWN, LEAST_SUM = 0.12, 0.04, 0.185
+#: By how much the cosines must favour another language over the row's label, and over the main language
+#: of a mixed row for each of its other languages.
+AGAINST_LABEL, FOR_PART = 0.05, 0.12
+#: Logarithm of the odds that the best language is right, by how much its cosine exceeds the next best: measured
+#: on held-out labelled texts and pieces of them.
+ODDS_SLOPE = 69.0
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(SHARPNESS * (scores - scores.max(1, keepdims=True))) if len(scores) else scores
-    return e / e.sum(1, keepdims=True) if len(scores) else e
+def _sure(margin: np.ndarray) -> np.ndarray:
+    """Probability that a language is right whose cosine exceeds all others by the margin."""
+    return 1 / (1 + np.exp(-ODDS_SLOPE * np.maximum(margin, 0)))
+
+
+def _margin(cosines: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By how much the cosine of one language of each row exceeds the best of the others."""
+    rows = np.arange(len(cosines))
+    others = cosines.copy()
+    others[rows, at] = -np.inf
+    return cosines[rows, at] - others.max(1) if len(cosines) else np.zeros(0)
 
 
 def _rows_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -264,32 +289,29 @@ def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
             n, k = texts.n, len(p.languages)
             cell = s.doc.astype(np.int64) * k + s.language
             letters = np.bincount(cell, s.letters, n * k).reshape(n, k)
-            scores = _rows_by(s.doc, s.scores, n)
-            grams = np.bincount(s.doc, s.grams, n)
-            common = np.bincount(s.doc, s.generic, n) / np.maximum(grams, 1)
-            words = texts.words()
-            longest = np.zeros(n, np.int64)
-            np.maximum.at(longest, words.doc, words.length)
-            count = np.bincount(words.doc, minlength=n)
-            other = words.hash[1:] != words.hash[:-1] if len(words.doc) else np.zeros(0, bool)
-            kinds = 1 + np.bincount(words.doc[1:][other & (words.doc[1:] == words.doc[:-1])], minlength=n) if len(words.doc) else np.zeros(n)
-            digits = texts.count(texts.cls == NUMBER)
-            real = (grams > 0) & (digits <= MOST_DIGITS * letters.sum(1)) & (common >= LEAST_COMMON) & ~((kinds == 1) & (count > 3)) & (longest < 60)
+            norm_of_text = np.maximum(s.norms(s.doc, n), 1e-9)
+            cosines = _rows_by(s.doc, s.scores, n) / norm_of_text[:, None]
+            # Products of each part, the chunks of one language, with its own language and with the main one.
+            main = letters.argmax(1)
+            norm = np.maximum(s.norms(cell, n * k), 1e-9)
+            chunk = np.arange(len(s.doc))
+            own = np.bincount(cell, s.scores[chunk, s.language], n * k) / norm if len(chunk) else np.zeros(n * k)
+            rival = np.bincount(cell, s.scores[chunk, main[s.doc]], n * k) / norm if len(chunk) else np.zeros(n * k)
+            own, gain = own.reshape(n, k), (own - rival).reshape(n, k)
+            common = np.bincount(s.doc, s.generic, n) / norm_of_text
+            own_main = own[np.arange(n), main]
+            real = (own_main >= LEAST_COSINE) | (own_main >= LEAST_OWN) & (own_main + common >= LEAST_SUM)
             # A language is part of a mixed text if it has enough of the letters and of the evidence there.
             total = letters.sum(1, keepdims=True)
-            own = s.scores[np.arange(len(s.doc)), s.language] if len(s.doc) else np.zeros(0)
-            main = letters.argmax(1)
-            rival = s.scores[np.arange(len(s.doc)), main[s.doc]] if len(s.doc) else np.zeros(0)
-            gain = np.bincount(cell, own - rival, n * k).reshape(n, k)
             has = (letters * 6 >= total) & (gain >= FOR_PART) & real[:, None] & (total > 0)
             has[np.arange(n), main] |= real
             mixed = has.sum(1) > 1
             alone = np.flatnonzero(real & ~mixed)  # one language: the best over the whole text
             has[alone] = False
-            has[alone, scores.argmax(1)[alone]] = True
+            has[alone, cosines.argmax(1)[alone]] = True
             doc, lang = np.nonzero(has)
             share = letters[doc, lang] / np.maximum(total[doc, 0], 1)
-            sure = np.where(mixed[doc], 1 / (1 + np.exp(-SHARPNESS * np.maximum(gain[doc, lang], FOR_PART))), _softmax(scores)[doc, lang]) if len(doc) else np.zeros(0)
+            sure = _sure(np.where(mixed[doc], np.where(lang == main[doc], own[doc, lang], gain[doc, lang]), _margin(cosines[doc], lang)))
             at = pa.array(np.append(0, np.cumsum(has.sum(1))), pa.int32())
             found = pa.StructArray.from_arrays([names.take(pa.array(lang)), pa.array(share), pa.array(sure)], ["lang", "share", "confidence"])
             # Neighbouring chunks of one language are one segment.
@@ -298,17 +320,17 @@ def _detector(profiles, schema: pa.Schema, keep: Sequence[str], text: str):
             b = np.flatnonzero(new)
             live = real[s.doc]
             group = np.cumsum(new) - 1
-            seg = _rows_by(group[live], s.scores[live], len(b))
             sd = s.doc[b]
+            seg = _rows_by(group[live], s.scores[live], len(b)) / np.maximum(s.norms(np.where(live, group, -1), len(b)), 1e-9)[:, None]
             start = s.start[b] - texts.starts[sd]
             last = np.append(sd[1:] != sd[:-1], True) if len(sd) else np.zeros(0, bool)
             end = np.where(last, np.diff(texts.starts)[sd], np.append(start[1:], 0)) if len(sd) else start
             seg_at = pa.array(np.append(0, np.cumsum(np.bincount(sd, minlength=n))), pa.int32())
             segments = pa.StructArray.from_arrays(
-                [pa.array(start, pa.int32()), pa.array(end, pa.int32()), names.take(pa.array(s.language[b])), pa.array(_softmax(seg)[np.arange(len(b)), s.language[b]] if len(b) else np.zeros(0))],
+                [pa.array(start, pa.int32()), pa.array(end, pa.int32()), names.take(pa.array(s.language[b])), pa.array(_sure(_margin(seg, s.language[b])))],
                 ["start", "end", "lang", "confidence"],
             )
-            flat = pa.array(np.where(real[:, None], scores, 0.0).reshape(-1))
+            flat = pa.array(np.where(real[:, None], cosines, 0.0).reshape(-1))
             columns = [part.column(c) for c in keep]
             columns += [pa.ListArray.from_arrays(at, found), pa.ListArray.from_arrays(seg_at, segments), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), flat)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -375,8 +397,9 @@ def detect_languages(df: DataFrame, keep: Sequence[str], text: str, profiles: Pr
 
     ``languages ARRAY<STRUCT<lang, share, confidence>>``: one entry for a text in one language; one per
     language for running text in several, each with a sixth of the letters or more. ``segments``: stretches
-    of the text (code point offsets) with their language and confidence. ``scores``: products with each
-    prototype, in order of ``profiles.languages``.
+    of the text (code point offsets) with their language and confidence. ``scores``: cosines with each
+    prototype, in order of ``profiles.languages``. A confidence is the probability that the language is right,
+    by how far its cosine is above the others'.
 
     Quoted sentences are no running text. Null, empty and blank texts, and texts without words of a
     language, have empty arrays and zero scores. Each row is scored on its own and whole.
@@ -395,7 +418,7 @@ def detect_languages(df: DataFrame, keep: Sequence[str], text: str, profiles: Pr
 def wrong_labels(detected: DataFrame, label: Column, profiles: Profiles) -> DataFrame:
     """Rows of ``detected`` whose label is missing, wrong or too few, one per true language, as ``lang, confidence``.
 
-    A label that names another language than the text's is wrong if the products favour the text's
+    A label that names another language than the text's is wrong if the cosines favour the text's
     language clearly; a text in several languages is always listed.
     """
     known = F.array(*map(F.lit, profiles.languages))
