@@ -1,4 +1,4 @@
-"""Text statistics of documents and fixed-threshold rules that tell prose from lists, tables and junk."""
+"""Text statistics of documents, published fixed-threshold rules, and the kind of text that follows from the failed ones."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loomline.llm.language import FREQUENT_WORDS
-from loomline.llm.textbatch import LETTER, NUMBER, OTHER, SPACE, TextBatch, mix, slices, within
+from loomline.llm.textbatch import IGNORED, LETTER, NUMBER, OTHER, SPACE, TextBatch, hash_spans, mix, slices, within
 
 #: Phrases of site menus, by language.
 MENU = {
@@ -27,23 +27,42 @@ MENU = {
 #: Signs that end a sentence, quotes and brackets that may follow, and marks of entries.
 ENDS, CLOSERS, BULLETS, BETWEEN = ".!?…", "\"'”’»)]}*_~“", "-*•▪+●◦‣·–—", ",;/|•·»>"
 
-#: Thresholds. LEAST: part of the text that is no prose for the text to be none.
+#: Part of a text that is no prose for the text to be none.
 LEAST = 0.5
-RULES = {
-    "few_words": "fewer than 5 words",
-    "mean_word_length": "mean word length outside 3 to 12",
-    "symbols": "more than a tenth of the signs are symbols",
-    "bullets": "more than 0.9 of the lines are entries",
-    "unended_lines": "fewer than 0.3 of the lines end in punctuation",
-    "few_common_words": "fewer than two common words",
-    "few_alphabetic_words": "fewer than 0.8 of the words have a letter",
-    "repetition": "fewer than 0.5 of the word triples are distinct",
+#: Rules of published filters of web text with their thresholds. A text that fails none of them is prose.
+#: Gopher: Rae et al. 2021, table A1; C4: Raffel et al. 2020, section 2.2; FineWeb: Penedo et al. 2024, section 3.6.
+PUBLISHED = {
+    "few_words": "C4: fewer than 5 words",
+    "mean_word_length": "Gopher: mean word length outside 3 to 10",
+    "symbols": "Gopher: more than 0.1 symbols (# and ellipses) for each word",
+    "bullets": "Gopher: more than 0.9 of the lines begin with a bullet",
+    "ellipses": "Gopher: more than 0.3 of the lines end with an ellipsis",
+    "few_alphabetic_words": "Gopher: fewer than 0.8 of the words have a letter",
+    "few_common_words": "Gopher: fewer than two common words",
+    "duplicate_lines": "Gopher: more than 0.3 of the lines repeat another",
+    "duplicate_ngrams": "Gopher: more than 0.15 of the runs of five words repeat an earlier one",
+    "dropped_lines": "C4: more than half of the signs are on lines that do not end in punctuation, which that filter drops",
+    "unended_lines": "FineWeb: at most 0.12 of the lines end in punctuation",
+    "short_lines": "FineWeb: at least 0.67 of the lines are shorter than 30 characters",
 }
+#: Measures that say what kind a text is that fails a published rule. All but the last two mean junk.
+KINDS = {
+    "repeated_words": "fewer than half of the word triples are distinct",
+    "encoded_data": "more than half of the signs are in unbroken stretches of more than 60 that are hardly parted into words",
+    "mostly_symbols": "more than 0.45 of the signs are symbols",
+    "unreadable_words": "more than 0.4 of the letters are in words with hardly a vowel",
+    "log_lines": "more than half of the signs are on lines that begin with a time",
+    "menu_phrases": "at least half of the words are in phrases of site menus",
+    "no_letters": "no letter, and no rows of cells",
+    "table_lines": "more than half of the signs are in rows of cells and fields, or in those and entries, and more in rows",
+    "list_lines": "more than half of the signs are in entries, or in those and rows, and more in entries",
+}
+RULES = PUBLISHED | KINDS
 
 SCHEMA = (
     "n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_ratio double, digit_ratio double, "
     "ended_line_share double, bullet_line_share double, common_word_share double, distinct_triple_share double, "
-    "prose_share double, list_share double, table_share double, kind string, failures array<string>"
+    "short_line_share double, duplicate_line_share double, prose_share double, list_share double, table_share double, kind string, failures array<string>"
 )
 
 
@@ -113,6 +132,9 @@ class Lines:
         last_at = np.where(has, solid_at[np.maximum(upto[end] - 1, 0)] if len(solid_at) else 0, first_at)
         dot = cp == 46
         self.ended = b.among(ENDS)[last_at] if len(start) else np.zeros(0, bool)
+        self.ellipsis = (cp[last_at] == 0x2026) | (dot & prev(dot) & prev(prev(dot)))[last_at] if len(start) else np.zeros(0, bool)
+        self.chars = end - start
+        self.hash = hash_spans(b.fold, ink, start, end)
         self.leader = n(dot & prev(dot) & prev(prev(dot)) & prev(prev(prev(dot)))) > 0
         bullet = b.among(BULLETS)
         follows_space = space | (np.arange(len(cp)) == len(cp) - 1)
@@ -164,6 +186,22 @@ def _menu_share(text: TextBatch, words) -> np.ndarray:
     return np.bincount(words.doc, hit, text.n) / np.maximum(np.bincount(words.doc, alpha, text.n), 1)
 
 
+def _distinct_runs(words, n: int, size: int, of: np.ndarray) -> np.ndarray:
+    """Share of distinct runs among all runs of so many words, in the texts marked by ``of``; 1 for the others."""
+    out = np.ones(n)
+    at = np.arange(max(len(words.doc) - size + 1, 0))
+    at = at[(words.doc[at + size - 1] == words.doc[at]) & of[words.doc[at]]]
+    if len(at):
+        doc, value = words.doc[at].astype(np.int64), np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                value = mix(value) + words.hash[at + k]
+        _, first = np.unique(mix(value) ^ mix(doc.astype(np.uint64)), return_index=True)
+        all_ = np.bincount(doc, minlength=n)
+        out = np.where(all_ > 0, np.bincount(doc[first], minlength=n) / np.maximum(all_, 1), 1.0)
+    return out
+
+
 @functools.lru_cache(1)
 def _vowel_of() -> np.ndarray:
     table = np.zeros(0x110000, bool)
@@ -171,6 +209,15 @@ def _vowel_of() -> np.ndarray:
     return table
 
 
+def kind_of(fails: np.ndarray) -> np.ndarray:
+    """Kind of each text from the rules it fails (texts x RULES): prose if it fails no published rule or no measure of
+    a kind, else junk if it fails a measure of junk, else table or list."""
+    n = len(PUBLISHED)
+    suspect = fails[:, :n].any(1)
+    junk, table, list_ = fails[:, n:-2].any(1), fails[:, -2], fails[:, -1]
+    return np.where(suspect & junk, "junk", np.where(suspect & table, "table", np.where(suspect & list_, "list", "prose"))).astype(object)
+
+
 def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     """All statistics and the kind of each text of a batch."""
     n, lines = text.n, Lines(text)
@@ -181,21 +228,19 @@ def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     ink, letters, digits = by(lines.ink), by(lines.letters), by(lines.digits)
     symbols = text.count(text.cls == OTHER)
     plain = text.count(text.among("|.,;:!?'\"“”’«»()-–—…¿¡"))
-    longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, words.doc, words.length)
+    # Unbroken stretches of more than 60 signs with few words in them.
+    solid_start, solid_end = text.runs((text.cls != SPACE) & (text.cls != IGNORED))
+    word_start = np.zeros(len(text.cp) + 1, bool)
+    word_start[words.start] = True
+    long_ = solid_end - solid_start > 60
+    solid_start, solid_end = solid_start[long_], solid_end[long_]
+    dense = solid_end - solid_start > 12 * text.sum_in(word_start[:-1], solid_start, solid_end)
+    blob = np.bincount(text.doc[solid_start[dense]], (solid_end - solid_start)[dense], n) if dense.any() else np.zeros(n)
     length = ratio(np.bincount(words.doc, words.length, n), n_words)
     common = ratio(by(lines.common), n_words)
 
-    triple = np.zeros(0, np.uint64)
-    tdoc = np.zeros(0, np.int64)
-    if len(words.doc) > 2:
-        ok = words.doc[2:] == words.doc[:-2]
-        with np.errstate(over="ignore"):
-            h = mix(mix(words.hash[:-2]) + words.hash[1:-1]) + words.hash[2:]
-            tdoc = words.doc[:-2][ok].astype(np.int64)
-            triple = mix(h[ok]) ^ mix(tdoc.astype(np.uint64))
-    _, at = np.unique(triple, return_index=True)
-    distinct = np.where(n_words > 2, ratio(np.bincount(tdoc[at], minlength=n), np.bincount(tdoc, minlength=n)), 1.0)
+    distinct = _distinct_runs(words, n, 3, np.ones(n, bool))
+    fives = _distinct_runs(words, n, 5, distinct < 0.9)  # other texts cannot fail that rule
 
     # Words of four letters or more in which vowels are rare.
     vowel = _vowel_of()[text.fold] & (text.cls == LETTER)
@@ -231,36 +276,54 @@ def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     table_share, list_share = ratio(by(weight * table_line), ink), ratio(by(weight * list_line), ink)
 
     stamped = ratio(by(lines.ink * lines.stamped), ink)
-    repeated = (n_words >= 12) & (distinct < 0.5)
-    junk = repeated | (longest > 60) | (ratio(symbols - plain, ink) > 0.45) | (hard_share > 0.4) | (stamped > LEAST) | (_menu_share(text, words) >= LEAST) & (n_words > 3)
-    junk |= (letters == 0) & (ink > 0) & (table_share < LEAST)
-    none = table_share + list_share > LEAST
-    kind = np.where(ink == 0, "", np.where(junk, "junk", np.where(none, np.where(table_share >= list_share, "table", "list"), "prose")))
-
+    line_of = np.unique(np.rec.fromarrays([lines.doc, lines.hash])) if len(lines.doc) else np.rec.fromarrays([lines.doc, lines.hash])
+    same_lines = 1 - ratio(np.bincount(line_of["f0"], minlength=n), n_lines)
+    short_lines = ratio(by((lines.chars < 30) * 1.0), n_lines)
+    symbol_ratio = ratio(symbols - plain, ink)
     bullets = ratio(by((lines.bullet | lines.numbered) * 1.0), n_lines)
     ended = ratio(by(lines.ended * 1.0), n_lines)
     alphabetic = ratio(np.bincount(words.doc, text.sum_in(text.cls == LETTER, words.start, words.end) > 0, n), n_words)
-    symbol_ratio = ratio(symbols - plain, ink)
+    hashes_ = text.count(text.among("#…")) + text.count((text.cp == 46) & np.append(text.cp[1:] == 46, False) & np.append(text.cp[2:] == 46, [False, False])[: len(text.cp)])
+    share = table_share + list_share
     failed = {
         "few_words": n_words < 5,
-        "mean_word_length": (length < 3) | (length > 12),
-        "symbols": symbol_ratio > 0.1,
+        "mean_word_length": (length < 3) | (length > 10),
+        "symbols": hashes_ > 0.1 * n_words,
         "bullets": bullets > 0.9,
-        "unended_lines": ended < 0.3,
-        "few_common_words": by(lines.common) < 2,
+        "ellipses": ratio(by(lines.ellipsis * 1.0), n_lines) > 0.3,
         "few_alphabetic_words": alphabetic < 0.8,
-        "repetition": repeated,
+        "few_common_words": by(lines.common) < 2,
+        "duplicate_lines": same_lines > 0.3,
+        "duplicate_ngrams": fives < 0.85,
+        "dropped_lines": by(lines.ink * ~lines.ended) > LEAST * ink,
+        "unended_lines": ended <= 0.12,
+        "short_lines": short_lines >= 0.67,
+        "repeated_words": (n_words >= 12) & (distinct < 0.5),
+        "encoded_data": blob > LEAST * ink,
+        "mostly_symbols": symbol_ratio > 0.45,
+        "unreadable_words": hard_share > 0.4,
+        "log_lines": ratio(by(lines.ink * lines.stamped), ink) > LEAST,
+        "menu_phrases": (_menu_share(text, words) >= LEAST) & (n_words > 3),
+        "no_letters": (letters == 0) & (ink > 0) & (table_share < LEAST),
+        "table_lines": (share > LEAST) & (table_share >= list_share),
+        "list_lines": (share > LEAST) & (table_share < list_share),
     }
+    fails = np.stack([failed[k] & (ink > 0) for k in RULES], 1)
+    kind = kind_of(fails)
+    kind[ink == 0] = ""
+
     return {
         "n_chars": np.diff(text.starts), "n_words": n_words, "n_lines": n_lines, "mean_word_length": length, "symbol_ratio": symbol_ratio,
         "digit_ratio": ratio(digits, ink), "ended_line_share": ended, "bullet_line_share": bullets, "common_word_share": common,
-        "distinct_triple_share": distinct, "prose_share": np.where(ink > 0, 1 - table_share - list_share, 0.0), "list_share": list_share,
-        "table_share": table_share, "kind": kind, "failures": np.stack([v & (ink > 0) for v in failed.values()], 1),
+        "distinct_triple_share": distinct, "short_line_share": short_lines, "duplicate_line_share": same_lines, "prose_share": np.where(ink > 0, 1 - table_share - list_share, 0.0), "list_share": list_share,
+        "table_share": table_share, "kind": kind, "failures": fails,
     }
 
 
 def text_statistics(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Statistics of each text, its ``kind`` (prose, list, table or junk) and the fixed-threshold rules it fails.
+    """Statistics of each text, the rules of ``RULES`` it fails, and its ``kind``: prose, list, table or junk.
+
+    The kind is a function of the failed rules alone (``kind_of``), so ``failures`` has the reasons of every kind.
 
     Null, empty and blank texts have zero counts, a null kind and no failures. Each row is measured on its own and
     whole; there is no shuffle. Other columns are ignored. Repeated rows give repeated results.

@@ -131,6 +131,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that fail a published rule and are mostly entries, cells or nothing to read; ``p7_statistics`` has the reasons."""
     from loomline.llm.quality import text_statistics
 
     measured = text_statistics(table(spark, d, "main_raw"), "ord", "text")

@@ -254,7 +254,7 @@ def test_text_kinds(spark):
     df = spark.createDataFrame([(k, t, "x") for k, (t, _) in cases.items()], "ord long, text string, kind string")
     got = {r.ord: r for r in text_statistics(df, "ord", "text").collect()}
     assert {k: r.kind for k, r in got.items()} == {k: v[1] for k, v in cases.items()}
-    assert got[9].n_words == 0 and got[9].failures == [] and "bullets" in got[2].failures and "repetition" in got[5].failures
+    assert got[9].n_words == 0 and got[9].failures == [] and "bullets" in got[2].failures and "repeated_words" in got[5].failures
     assert text_statistics(df.limit(0), "ord", "text").count() == 0
 
 
