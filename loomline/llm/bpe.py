@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from loomline.llm.textbatch import LETTER, NUMBER, TextBatch, char_classes
 
 #: Pieces whose ids a Python worker remembers; beyond that it starts anew. Only speed depends on it.
 REMEMBERED_PIECES = 200_000
+#: Pieces of more symbols than this are merged rank by rank and not round by round, which gives the same ids.
+LONG_PIECE = 512
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -143,6 +146,8 @@ class Vocabulary:
         order = np.argsort(key)
         self.key = key[order]
         self.rank, self.merged = (np.array([v[k] for v in pairs.values()], np.int32)[order] for k in (0, 1))
+        ranks, first = np.unique(self.rank, return_index=True)
+        self.ids_of_ranks = ranks, self.merged[first]
         self.known: dict[bytes, np.ndarray] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +189,54 @@ class Vocabulary:
         done_sizes = np.bincount(owner, minlength=len(sizes)) if len(sizes) else done_sizes
         return values[order], done_sizes
 
+    def merge_long(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ``merge`` gives, with work in proportion to the symbols: pairs wait by rank, the lowest rank is applied
+        wherever it stands, and only the pairs beside a merge get new ranks. A merge of a symbol always has a higher
+        rank than the merge that made the symbol, so ranks are met in order."""
+        n = len(symbols)
+        symbols, alive = symbols.astype(np.int64), np.ones(n, bool)
+        ends = np.cumsum(sizes)
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[ends - 1], left[ends - sizes] = -1, -1
+        rank = np.full(n, NO_RANK, np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """New ranks of the pairs that begin at these places."""
+            rank[at] = NO_RANK
+            at = at[right[at] >= 0]
+            rank[at] = self.pair_ranks(symbols[at], symbols[right[at]])[0]
+            at = at[rank[at] < NO_RANK]
+            at = at[np.argsort(rank[at], kind="stable")]
+            value, first = np.unique(rank[at], return_index=True)
+            for r, places in zip(value.tolist(), np.split(at, first[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            number = np.arange(len(at))  # of overlapping pairs (a a a) every second one counts, from the left
+            alone = np.append(True, right[at[:-1]] != at[1:])
+            at = at[(number - np.maximum.accumulate(np.where(alone, number, 0))) % 2 == 0]
+            gone = right[at]
+            symbols[at] = self.ids_of_ranks[1][np.searchsorted(self.ids_of_ranks[0], r)]
+            alive[gone] = False
+            right[at] = right[gone]
+            follows = right[at] >= 0
+            left[right[at][follows]] = at[follows]
+            before = left[at]
+            note(np.unique(np.concatenate([at, before[before >= 0]])))
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        return symbols[alive].astype(np.int32), np.bincount(piece[alive], minlength=len(sizes))
+
     def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces laid end to end, and how many each has. Known pieces come from memory."""
         spelled = pieces.cast(pa.large_binary()).to_pylist()
@@ -192,10 +245,12 @@ class Vocabulary:
             if len(self.known) + len(missing) > REMEMBERED_PIECES:
                 self.known.clear()
                 missing = spelled
-            sizes = np.fromiter(map(len, missing), np.int64, len(missing))
-            ids, counts = self.merge(self.byte_id[np.frombuffer(b"".join(missing), np.uint8)], sizes)
-            for p, part in zip(missing, np.split(ids, np.cumsum(counts)[:-1])):
-                self.known[p] = part
+            for long_, merge in ((False, self.merge), (True, self.merge_long)):
+                some = [p for p in missing if (len(p) > LONG_PIECE) == long_]
+                if some:
+                    sizes = np.fromiter(map(len, some), np.int64, len(some))
+                    ids, counts = merge(self.byte_id[np.frombuffer(b"".join(some), np.uint8)], sizes)
+                    self.known.update(zip(some, np.split(ids, np.cumsum(counts)[:-1])))
         parts = [self.known[p] for p in spelled]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes

@@ -30,6 +30,7 @@ def bounded_knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int)
     sum the step is kept at which it was first reached, to trace the choice back. Exact for any counts; memory
     is four bytes for each token of the budget, whatever the number of lengths.
     """
+    lengths, counts, budget = [int(x) for x in lengths], [int(x) for x in counts], int(budget)
     take = [0] * len(lengths)
     common = math.gcd(*(x for x, n in zip(lengths, counts) if x > 0 and n > 0)) if any(x > 0 and n > 0 for x, n in zip(lengths, counts)) else 0
     if budget <= 0 or not common:

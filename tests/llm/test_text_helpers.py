@@ -60,6 +60,17 @@ def test_encoding_equals_the_public_library(name):
     assert vocab.count(textbatch.TextBatch(pa.array(texts))).tolist() == list(map(len, want))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+def test_long_pieces_merge_as_short_ones(name):
+    rng, vocab = random.Random(2), bpe.vocabulary(bpe.default_path(name))
+    for _ in range(30):
+        pieces = [bytes(rng.choice(rng.choice([b"etaoinshrdlu", b"aaab", bytes(range(256)), b"a"])) for _ in range(rng.choice([1, 5, 300, 2000]))) for _ in range(4)]
+        symbols, sizes = vocab.byte_id[np.frombuffer(b"".join(pieces), np.uint8)], np.array([len(p) for p in pieces])
+        for a, b in zip(vocab.merge(symbols, sizes), vocab.merge_long(symbols, sizes)):
+            assert a.tolist() == b.tolist()
+    assert vocab.decode(vocab.encode(textbatch.TextBatch(pa.array(["etaoin" * 100_000]))).to_pylist()[0]) == "etaoin" * 100_000
+
+
 def test_transition_scan_equals_a_loop():
     rng = np.random.default_rng(2)
     symbols, first = rng.integers(0, 7, 3000).astype(np.uint8), rng.random(3000) < 0.05
