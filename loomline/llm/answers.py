@@ -44,6 +44,11 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(F.translate(text, "İIı", "iii")), F.lit("i̇"), F.lit("i")), r"[^\p{L}\p{N}\p{M}]+", "")
 
 
+def _at_words(forms: dict[str, str]) -> str:
+    """One pattern of all forms; each begins where a word does, so other places need no try."""
+    return r"(?<!\p{L})(?:" + "|".join(forms.values()) + ")"
+
+
 def _repeats(answer: Column, question: Column) -> Column:
     """The answer is the question once or several times and nothing else."""
     n = F.length(question)
@@ -101,8 +106,8 @@ def pair_defects(pairs: DataFrame, profiles: Profiles) -> DataFrame:
     spoken = F.regexp_replace(body, _QUOTED, " ")
     joined = F.regexp_replace(F.regexp_replace(spoken, r"\n[^\S\n]*\n\s*|\n(?=\s*(?:[-*•▪+–]|\d+[.)])\s)", "\u2028"), r"[^\S\u2028]+", " ")
     low = F.translate(F.lower(F.replace(joined, F.lit("I"), F.lit("i"))), "\u2028", "\n")
-    sentences, declines = F.filter(F.split(low, _SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]")), "|".join(REFUSALS.values())
-    refusal = F.forall(sentences, lambda s: s.rlike(declines + "|" + "|".join(ASIDES.values()))) & F.exists(sentences, lambda s: s.rlike(declines))
+    sentences, declines = F.filter(F.split(low, _SENTENCE_END), lambda s: s.rlike(r"[\p{L}\p{N}]")), _at_words(REFUSALS)
+    refusal = F.forall(sentences, lambda s: s.rlike(_at_words(REFUSALS | {f"{k} aside": v for k, v in ASIDES.items()}))) & F.exists(sentences, lambda s: s.rlike(declines))
     rows = rows.withColumns({"truncated": ~F.col("empty") & ~F.col("copy") & truncated, "refusal": ~F.col("empty") & refusal})
 
     keep = ["sft_id", "empty", "copy", "truncated", "refusal", "speech", "asks"]
