@@ -276,8 +276,8 @@ def statistics(text: TextBatch) -> dict[str, np.ndarray]:
     table_share, list_share = ratio(by(weight * table_line), ink), ratio(by(weight * list_line), ink)
 
     stamped = ratio(by(lines.ink * lines.stamped), ink)
-    line_of = np.unique(np.rec.fromarrays([lines.doc, lines.hash])) if len(lines.doc) else np.rec.fromarrays([lines.doc, lines.hash])
-    same_lines = 1 - ratio(np.bincount(line_of["f0"], minlength=n), n_lines)
+    _, kept = np.unique(lines.hash ^ mix(lines.doc.astype(np.uint64)), return_index=True)
+    same_lines = 1 - ratio(np.bincount(lines.doc[kept], minlength=n), n_lines)
     short_lines = ratio(by((lines.chars < 30) * 1.0), n_lines)
     symbol_ratio = ratio(symbols - plain, ink)
     bullets = ratio(by((lines.bullet | lines.numbered) * 1.0), n_lines)
