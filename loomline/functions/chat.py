@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.text import strip
+from loomline.functions.text import clean_text, strip, strip_wrapped
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Markers of roles and of parts of an answer.
@@ -19,9 +19,10 @@ def message(role: Column | str, content: Column, train: Column | None = None) ->
     return F.struct(role.alias("role"), content.alias("content"), (train if train is not None else F.lit(None).cast("boolean")).alias("train"))
 
 
-def clean_messages(messages: Column, max_chars: int = 24_000) -> Column:
-    """Known roles in lower case, contents stripped and cut, empty ones dropped."""
-    tidy = F.transform(messages, lambda m: message(F.lower(F.trim(m["role"])), F.substring(strip(F.coalesce(m["content"], F.lit(""))), 1, max_chars), m["train"]))
+def clean_messages(messages: Column, max_chars: int | None = None) -> Column:
+    """Known roles in lower case, contents stripped and whole (or cut to so many characters), empty ones dropped."""
+    short = lambda c: F.substring(c, 1, max_chars) if max_chars else c
+    tidy = F.transform(messages, lambda m: message(F.lower(F.trim(m["role"])), short(strip(F.coalesce(m["content"], F.lit("")))), m["train"]))
     return F.filter(tidy, lambda m: m["role"].isin(*ROLES) & (m["content"] != ""))
 
 
@@ -63,13 +64,18 @@ def with_tool_system(messages: Column, tools: Column) -> Column:
 
 
 def agentic_messages(messages: Column, max_chars: int = 16_000) -> Column:
-    """Traces with roles of their own: reasoning becomes a plan, tool calls and outputs get markers, answers are final."""
+    """Traces with roles of their own: reasoning becomes a plan, tool calls and outputs get markers, answers are final.
+    Wrappers in angle brackets give way to the markers. Empty contents and other roles are dropped."""
 
     def one(m: Column) -> Column:
-        role, content = F.lower(m["role"]), F.substring(strip(F.coalesce(m["content"], F.lit(""))), 1, max_chars)
+        role = F.lower(strip(F.coalesce(m["role"], F.lit(""))))
+        content = F.substring(clean_text(m["content"], compatibility=False), 1, max_chars)
+        call = F.replace(F.replace(content, F.lit("<tool_call>"), F.lit(CALL)), F.lit("</tool_call>"), F.lit(CALL_END))
+        call = F.when(call.contains(CALL), call).otherwise(F.concat(F.lit(CALL), call, F.lit(CALL_END)))
+        output = strip(F.replace(F.replace(content, F.lit("<tool_response>"), F.lit("")), F.lit("</tool_response>"), F.lit("")))
         marked = (
-            F.when(role == "reasoning", F.concat(F.lit(PLAN), content)).when(role == "tool_call", F.concat(F.lit(CALL), content, F.lit(CALL_END)))
-            .when(role == "tool_output", F.concat(F.lit(RESULT), content)).when(role == "answer", F.concat(F.lit(FINAL), content)).otherwise(content)
+            F.when(role == "reasoning", F.concat(F.lit(PLAN + "\n"), strip_wrapped(content, "<think>", "</think>"), F.lit("\n<|plan_end|>"))).when(role == "tool_call", call)
+            .when(role == "tool_output", F.concat(F.lit(RESULT), output, F.lit(CALL_END))).when(role == "answer", F.concat(F.lit(FINAL + "\n"), strip_wrapped(content, "<answer>", "</answer>"))).otherwise(content)
         )
         to = F.when(role.isin("reasoning", "tool_call", "answer"), "assistant").when(role == "tool_output", "tool").otherwise(role)
         return message(to, F.when(content == "", content).otherwise(marked))
@@ -77,6 +83,16 @@ def agentic_messages(messages: Column, max_chars: int = 16_000) -> Column:
     return F.filter(F.transform(messages, one), lambda m: m["role"].isin(*ROLES) & (m["content"] != ""))
 
 
+#: Traces as JSON text.
+TRACE = "array<struct<role:string,content:string>>"
+
+
+def agentic_json(text: Column, max_chars: int = 16_000) -> Column:
+    """``agentic_messages`` of a trace given as JSON text; an empty array if it is no list."""
+    parsed = F.from_json(text, TRACE)
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*\["), agentic_messages(F.coalesce(parsed, F.array().cast(TRACE)), max_chars)).otherwise(F.array().cast(MESSAGE))
+
+
 def compact_messages(messages: Column, max_chars: int = 12_000) -> Column:
     """Conversation cut to a context: two leading system or user messages, then what fits, then the last final answer."""
     lead = F.slice(F.filter(messages, lambda m: m["role"].isin("system", "user")), 1, 2)
@@ -143,27 +159,40 @@ def pairs_as_messages(system: Column, user: Column, assistant: Column, train: Co
     return clean_messages(raw)
 
 
-OPENAI = "array<struct<role:string,content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
+OPENAI = "array<struct<role:string,content:string,name:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
+
+
+def json_text(value: Column) -> Column:
+    """A text as a JSON string."""
+    pair = F.to_json(F.struct(value.alias("v")))
+    return pair.substr(F.lit(6), F.length(pair) - 6)
 
 
 def openai_messages(messages: Column) -> Column:
-    """Messages with ``tool_calls``: calls become marked lines after the content, tool answers get their marker once.
+    """Messages with ``tool_calls``: calls become marked lines after the content, tool answers are wrapped with the tool's
+    name, unless they have their marker. Fields are in order of their names; arguments are kept as they are written.
 
-    Arguments that are no JSON object are kept under ``raw``.
+    Arguments that are no JSON are kept under ``raw``. Calls without a name, or with arguments that are JSON but no
+    object, are left out.
     """
 
     def one(m: Column) -> Column:
-        calls = F.transform(
-            F.coalesce(m["tool_calls"], F.array().cast("array<struct<function:struct<name:string,arguments:string>>>")),
-            lambda c: format_tool_call(
-                F.coalesce(c["function"]["name"], F.lit("")),
-                F.when(F.try_parse_json(c["function"]["arguments"]).isNotNull() & c["function"]["arguments"].rlike(r"^\s*\{"), c["function"]["arguments"]).otherwise(F.to_json(F.struct(F.coalesce(c["function"]["arguments"], F.lit("")).alias("raw")))),
-            ),
+        role = F.lower(strip(F.coalesce(m["role"], F.lit(""))))
+        content = clean_text(m["content"], compatibility=False)
+        calls = F.filter(F.coalesce(m["tool_calls"], F.array().cast("array<struct<function:struct<name:string,arguments:string>>>")), lambda c: F.coalesce(c["function"]["name"], F.lit("")) != "")
+
+        def line(c: Column) -> Column:
+            a = F.coalesce(c["function"]["arguments"], F.lit("{}"))
+            parsed = F.try_parse_json(a).isNotNull()
+            value = F.when(parsed & a.rlike(r"^\s*\{"), strip(a)).when(~parsed, F.concat(F.lit('{"raw":'), json_text(a), F.lit("}")))
+            return F.concat(F.lit(CALL + '{"arguments":'), value, F.lit(',"name":'), json_text(c["function"]["name"]), F.lit("}" + CALL_END))
+
+        lines = F.array_join(F.array_compact(F.transform(calls, line)), "\n")
+        told = F.when((content == "") | content.startswith(RESULT), content).otherwise(
+            F.concat(F.lit(RESULT + '{"name":'), json_text(F.coalesce(F.nullif(m["name"], F.lit("")), F.lit("tool"))), F.lit(',"result":'), json_text(content), F.lit("}" + CALL_END))
         )
-        content = strip(F.coalesce(m["content"], F.lit("")))
-        told = F.when(content.startswith(RESULT) | (content == ""), content).otherwise(F.concat(F.lit(RESULT), content, F.lit(CALL_END)))
-        body = F.when(m["role"] == "tool", told).when(F.size(calls) > 0, F.array_join(F.filter(F.concat(F.array(content), calls), lambda x: x != ""), "\n")).otherwise(content)
-        return message(F.lower(F.trim(m["role"])), body)
+        called = (role == "assistant") & (F.size(F.coalesce(m["tool_calls"], F.array().cast("array<struct<function:struct<name:string,arguments:string>>>"))) > 0)
+        return message(role, F.when(called, strip(F.concat(content, F.lit("\n"), lines))).when(role == "tool", told).otherwise(content))
 
     return F.filter(F.transform(messages, one), lambda m: m["role"].isin(*ROLES) & (m["content"] != ""))
 

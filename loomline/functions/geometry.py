@@ -1,14 +1,11 @@
-"""Coordinates, boxes and interface actions as column expressions; Python syntax is parsed in an Arrow UDF."""
+"""Coordinates, boxes and interface actions as column expressions, all of them in the JVM."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+from loomline.functions.text import strip
 
 POINTER = ("CLICK", "DOUBLE_CLICK", "RIGHT_CLICK", "DRAG", "MOVE")
 WITH_PAYLOAD = ("TYPE", "KEY", "SCROLL", "WAIT", "KEY_DOWN", "KEY_UP")
@@ -40,19 +37,25 @@ def norm_point(point: Column, width: Column, height: Column, limit: float = 1.5)
 
 
 def action_point(action: Column, width: Column, height: Column) -> Column:
-    """The first two numbers of an action as a point."""
-    number = r"(-?\d+(?:\.\d+)?)"
-    x, y = (F.regexp_extract(action, rf"{number}[^\d-]+{number}", g).try_cast("double") for g in (1, 2))
+    """Point of the first click or move in an action's text, in parts of the screen; null if it has none."""
+    call = r"(?:click|doubleClick|moveTo)\s*\(\s*([0-9.]+)\s*,\s*([0-9.]+)"
+    x, y = (F.regexp_extract(action, call, g).try_cast("double") for g in (1, 2))
     return norm_point(F.when(x.isNotNull() & y.isNotNull(), F.array(x, y)), width, height, 1.0)
 
 
+#: Calls that tell an action's operation, the first that occurs in the text without blanks counts.
+CALLS = (("CLICK", ("click(", "doubleclick(")), ("TYPE", ("write(", "typewrite(")), ("KEY", ("hotkey(", "press(", "keydown(", "keyup(")), ("SCROLL", ("scroll(", "hscroll(")), ("DRAG", ("dragto(", "dragrel(")), ("MOVE", ("moveto(", "move(")))
+
+
 def classify_action(action: Column, drag: bool = True) -> Column:
-    """Operation named in an action's text, by the first rule that holds."""
+    """Operation that an action's text calls. Without ``drag`` drags count as moves."""
     a = F.replace(F.lower(F.coalesce(action, F.lit(""))), F.lit(" "), F.lit(""))
-    rules = [("doubleclick|double_click", "DOUBLE_CLICK"), ("rightclick|right_click", "RIGHT_CLICK"), *([("drag", "DRAG")] if drag else []), ("click|tap", "CLICK"), ("scroll|wheel", "SCROLL"), ("type|write|input", "TYPE"), ("hotkey|press|key", "KEY"), ("move|hover" + ("" if drag else "|drag"), "MOVE"), ("wait|sleep", "WAIT"), ("done|finish|terminate", "DONE")]
     out = F.lit("OTHER")
-    for pattern, name in reversed(rules):
-        out = F.when(a.rlike(pattern), name).otherwise(out)
+    for name, calls in reversed(CALLS):
+        hit = F.lit(False)
+        for call in calls:
+            hit |= a.contains(call)
+        out = F.when(hit, name if drag or name != "DRAG" else "MOVE").otherwise(out)
     return out
 
 
@@ -78,13 +81,16 @@ def fit_side(width: Column, height: Column, most: int = 1280) -> Column:
 
 
 def summarize_action(operation: Column, coord: Column, coord2: Column, payload: Column) -> Column:
-    """Short text of an action: operation, points to three digits, payload to 64 characters."""
-    ok = lambda c: (F.size(c) >= 2) & c[0].isNotNull() & c[1].isNotNull()
+    """Short text of an action: operation with its point to three digits if it points, both points of a drag, else the
+    payload on one line, cut to 64 characters."""
+    ok = lambda c: F.coalesce((F.size(c) >= 2) & c[0].isNotNull() & c[1].isNotNull(), F.lit(False))
     at = lambda c: F.concat(F.call_function("format_number", c[0], F.lit("0.000")), F.lit(","), F.call_function("format_number", c[1], F.lit("0.000")))
-    text = F.coalesce(payload, F.lit(""))
+    text = strip(F.replace(F.coalesce(payload, F.lit("")), F.lit("\n"), F.lit(" ")))
     text = F.when(F.length(text) > 64, F.concat(F.substring(text, 1, 61), F.lit("..."))).otherwise(text)
-    out = F.when((operation == "DRAG") & ok(coord) & ok(coord2), F.concat(operation, F.lit("@"), at(coord), F.lit("->"), at(coord2)))
-    return out.when(ok(coord), F.concat(operation, F.lit("@"), at(coord))).when(text != "", F.concat(operation, F.lit(":"), text)).otherwise(operation)
+    pointed = operation.isin("MOVE", "CLICK", "DOUBLE_CLICK", "RIGHT_CLICK")
+    out = F.when(pointed & ok(coord), F.concat(operation, F.lit("@"), at(coord)))
+    out = out.when((operation == "DRAG") & ok(coord) & ok(coord2), F.concat(operation, F.lit("@"), at(coord), F.lit("->"), at(coord2)))
+    return out.when(text != "", F.concat(operation, F.lit(":"), text)).otherwise(operation)
 
 
 def action_error(operation: Column, coord: Column, coord2: Column, payload: Column) -> Column:
@@ -99,70 +105,126 @@ def action_error(operation: Column, coord: Column, coord2: Column, payload: Colu
     )
 
 
-ACTION = StructType([StructField("operation", StringType()), StructField("coord", ArrayType(DoubleType())), StructField("coord2", ArrayType(DoubleType())), StructField("payload", StringType())])
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\x22(?:[^\x22\\]|\\.)*\x22"
+#: A call of the automation library: its name and its arguments.
+CALL = rf"pyautogui\.(\w+)\(((?:{_QUOTED}|[^()'\x22])*)\)"
+_NUMBER = r"-?\d+(?:\.\d*)?"
+
+
+def _number(arguments: Column, place: int, name: str) -> Column:
+    """A number that a call has at a place or under a name; null if there is none."""
+    first = F.regexp_extract(arguments, rf"^\s*{r'[^,=]*,' * place}\s*({_NUMBER})\s*(?:,|$)", 1)
+    named = F.regexp_extract(arguments, rf"(?:^|,)\s*{name}\s*=\s*({_NUMBER})\s*(?:,|$)", 1)
+    return F.coalesce(F.nullif(first, F.lit("")), F.nullif(named, F.lit(""))).try_cast("double")
 
 
-def parse_action(source: str | None, width: float, height: float) -> dict | None:
-    """Operation, points and payload of a line of automation code; null if it is none.
+def _text(quoted: Column) -> Column:
+    """Text of a quoted string, with its escapes resolved."""
+    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    inner = F.replace(F.replace(F.replace(inner, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+    return F.replace(F.regexp_replace(inner, r"\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
 
-    A move followed at once by a drag is a drag between both points; otherwise the last call decides.
+
+def parsed_action(source: Column, width: Column, height: Column) -> Column:
+    """``struct<operation, coord, coord2, payload>`` of recorded automation code; null if it calls nothing known.
+
+    A move followed by a drag, both with points, is a drag; otherwise the last call decides. Points are parts of the
+    screen. A click of two or more clicks is a double click. Keys of a hotkey are joined, of a press the first counts;
+    scrolls have whole amounts. Everything stays in the JVM.
+    """
+    names, arguments = (F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(CALL), g) for g in (1, 2))
+    part = lambda v, d: clamp01(v / F.greatest(d - 1, F.lit(1)))
+    point = lambda a: F.when(_number(a, 0, "x").isNotNull() & _number(a, 1, "y").isNotNull(), F.array(part(_number(a, 0, "x"), width), part(_number(a, 1, "y"), height)))
+    none = F.lit(None).cast("array<double>")
+    row = lambda op, coord=none, coord2=none, payload=F.lit(""): F.struct((F.lit(op) if isinstance(op, str) else op).alias("operation"), coord.alias("coord"), coord2.alias("coord2"), payload.alias("payload"))
+    calls = F.arrays_zip(names.alias("n"), arguments.alias("a"))
+    pairs = F.zip_with(calls, F.slice(F.concat(calls, F.array(F.lit(None))), 2, F.size(calls)), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    drags = F.filter(pairs, lambda p: (p["x"]["n"] == "moveTo") & (p["y"]["n"] == "dragTo") & point(p["x"]["a"]).isNotNull() & point(p["y"]["a"]).isNotNull())
+    drag = F.transform(F.slice(drags, 1, 1), lambda p: row("DRAG", point(p["x"]["a"]), point(p["y"]["a"])))
+
+    def one(c: Column) -> Column:
+        name, a = c["n"], c["a"]
+        at = point(a)
+        right = (name == "rightClick") | (F.lower(F.regexp_extract(a, r"button\s*=\s*['\x22](\w+)", 1)) == "right")
+        twice = (name == "doubleClick") | (F.coalesce(_number(a, 9, "clicks"), F.lit(1.0)) >= 2)
+        click = F.when(name == "moveTo", "MOVE").when(twice, "DOUBLE_CLICK").when(right, "RIGHT_CLICK").otherwise("CLICK")
+        first = _text(F.regexp_extract(a, rf"^\s*(?:message\s*=\s*)?({_QUOTED})", 1))
+        keys = F.transform(F.regexp_extract_all(a, F.lit(rf"(?:^|,)\s*({_QUOTED}|-?\d+)\s*(?=,|$)"), 1), lambda k: F.when(k.rlike(r"^['\x22]"), _text(k)).otherwise(k))
+        keys = F.when(name == "press", F.slice(keys, 1, 1)).otherwise(keys)
+        amount = _number(a, 0, "clicks").cast("long").cast("string")
+        return (
+            F.when(name.isin("click", "doubleClick", "rightClick", "moveTo") & at.isNotNull(), row(click, at))
+            .when(name.isin("write", "typewrite") & (first != ""), row("TYPE", payload=first))
+            .when(name.isin("hotkey", "press") & (F.size(keys) > 0), row("KEY", payload=F.array_join(keys, "+")))
+            .when(name.isin("keyDown", "keyUp") & a.rlike(rf"^\s*(?:{_QUOTED})"), row(F.when(name == "keyDown", "KEY_DOWN").otherwise("KEY_UP"), payload=first))
+            .when(name.isin("scroll", "hscroll") & amount.isNotNull(), row("SCROLL", payload=F.when(name == "hscroll", F.concat(amount, F.lit(",0"))).otherwise(F.concat(F.lit("0,"), amount))))
+        )
+
+    last = F.transform(F.slice(F.reverse(calls), 1, 1), one)
+    return F.coalesce(F.try_element_at(drag, F.lit(1)), F.try_element_at(last, F.lit(1)))
+
+
+def key_names(payload: Column) -> Column:
+    """Keys of a payload, parted by plus signs and commas."""
+    return F.filter(F.transform(F.split(payload, "[+,]"), strip), lambda k: k != "")
+
+
+def runtime_action(operation: Column, coord: Column, coord2: Column, payload: Column) -> Column:
+    """``struct<type, x, y, x2, y2, text, keys, scroll_x, scroll_y, seconds>`` that an operation runs as.
+
+    Texts and keys without a payload wait 0.15 seconds; a wait has the first number of its payload, 0.25 without
+    one, between 0.05 and 5; a scroll has the last two of its payload's first numbers; unknown operations end.
     """
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-    calls = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and isinstance(n.func.value, ast.Name) and n.func.value.id == "pyautogui"]
-    if not calls:
-        return None
-
-    def value(node):
-        try:
-            return ast.literal_eval(node)
-        except (ValueError, TypeError, SyntaxError):
-            return None
-
-    def arguments(call):
-        return [value(a) for a in call.args], {k.arg: value(k.value) for k in call.keywords}
-
-    def point(call):
-        args, named = arguments(call)
-        x, y = ((args + [None, None])[:2] if len(args) >= 2 else (named.get("x"), named.get("y")))
-        if not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (x, y)):
-            return None
-        part = lambda v, d: min(1.0, max(0.0, float(v) / max(1.0, d - 1)))
-        return [part(x, width), part(y, height)]
-
-    row = lambda op, c=None, d=None, p="": {"operation": op, "coord": c, "coord2": d, "payload": p}
-    for a, b in zip(calls, calls[1:]):
-        if a.func.attr == "moveTo" and b.func.attr == "dragTo":
-            p, q = point(a), point(b)
-            return row("DRAG", p, q) if p and q else None
-    call = calls[-1]
-    name, (args, named) = call.func.attr, arguments(call)
-    if name in ("click", "doubleClick", "rightClick", "moveTo"):
-        p = point(call)
-        if p is None:
-            return None
-        if name == "moveTo":
-            return row("MOVE", p)
-        if name == "doubleClick" or (isinstance(named.get("clicks"), int) and named["clicks"] >= 2):
-            return row("DOUBLE_CLICK", p)
-        return row("RIGHT_CLICK" if name == "rightClick" or named.get("button") == "right" else "CLICK", p)
-    first = args[0] if args else next(iter(named.values()), None)
-    if name in ("write", "typewrite"):
-        return row("TYPE", p=first) if isinstance(first, str) and first else None
-    if name in ("hotkey", "press"):
-        keys = [k for k in (args[0] if args and isinstance(args[0], list) else args) if isinstance(k, str)]
-        return row("KEY", p="+".join(keys if name == "hotkey" else keys[:1])) if keys else None
-    if name in ("keyDown", "keyUp"):
-        return row("KEY_DOWN" if name == "keyDown" else "KEY_UP", p=first) if isinstance(first, str) else None
-    if name in ("scroll", "hscroll"):
-        return row("SCROLL", p=f"0,{first}" if name == "scroll" else f"{first},0") if isinstance(first, (int, float)) else None
-    return None
-
-
-@F.pandas_udf(ACTION)
-def parsed_action(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for source, width, height in parts:
-        rows = [parse_action(s, w, h) or {} for s, w, h in zip(source, width, height)]
-        yield pd.DataFrame([{f.name: r.get(f.name) for f in ACTION} for r in rows], columns=[f.name for f in ACTION])
+    pay = F.coalesce(payload, F.lit(""))
+    keys, text = key_names(pay), strip(pay)
+    typed = operation == "TYPE"
+    pressed = operation.isin("KEY", "KEY_DOWN", "KEY_UP")
+    idle = typed & (text == "") | pressed & (F.size(keys) == 0)
+    whole = F.regexp_extract_all(pay, F.lit(r"(-?\d+)"), 1)
+    number = lambda i: F.try_element_at(whole, F.lit(i)).try_cast("int")
+    sx = F.when(F.size(whole) >= 2, number(1)).otherwise(F.lit(0))
+    sy = F.when(F.size(whole) >= 2, number(2)).when(F.size(whole) == 1, number(1)).otherwise(F.lit(0))
+    seconds = F.least(F.lit(5.0), F.greatest(F.lit(0.05), F.coalesce(F.nullif(F.regexp_extract(pay, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double"), F.lit(0.25))))
+    points, drags, scrolls = operation.isin(*POINTER), operation == "DRAG", operation == "SCROLL"
+    kind = F.when(idle, "WAIT").when(points | typed | pressed | scrolls | (operation == "WAIT"), operation).otherwise("DONE")
+    return F.struct(
+        kind.alias("type"), *(F.when(when, F.try_element_at(c, F.lit(i))).alias(n) for when, c, i, n in ((points, coord, 1, "x"), (points, coord, 2, "y"), (drags, coord2, 1, "x2"), (drags, coord2, 2, "y2"))),
+        F.when(typed & ~idle, text).alias("text"), F.when(pressed & ~idle, keys).alias("keys"), F.when(scrolls, sx).alias("scroll_x"), F.when(scrolls, sy).alias("scroll_y"),
+        F.when(idle, F.lit(0.15)).when(operation == "WAIT", seconds).alias("seconds"),
+    )
+
+
+#: Names that recorded plans have for operations.
+PLAN_OPERATIONS = {"left_click": "CLICK", "double_click": "DOUBLE_CLICK", "right_click": "RIGHT_CLICK", "left_click_drag": "DRAG", "scroll": "SCROLL", "type": "TYPE", "key": "KEY", "mouse_move": "MOVE", "wait": "WAIT", "terminate": "DONE"}
+
+
+def plan_operation(name: Column) -> Column:
+    """Operation of a plan's action name; null if it is unknown."""
+    table = F.create_map(*(F.lit(x) for pair in PLAN_OPERATIONS.items() for x in pair))
+    return F.try_element_at(table, F.lower(F.coalesce(name, F.lit(""))))
+
+
+def plan_action(operation: Column, coordinate: Column, start: Column, text: Column, keys: Column, scroll_x: Column, scroll_y: Column, direction: Column, seconds: Column, status: Column) -> Column:
+    """``struct<operation, coord, coord2, payload>`` of a plan's arguments; null where a needed one is missing.
+
+    Points above 1.5 are in thousandths (0 to 999). A scroll without an amount goes three steps in its direction.
+    """
+
+    def point(c: Column) -> Column:
+        large = (F.abs(c[0]) > 1.5) | (F.abs(c[1]) > 1.5)
+        part = lambda v: clamp01(F.when(large, v / 999.0).otherwise(v))
+        return F.when((F.size(c) >= 2) & c[0].isNotNull() & c[1].isNotNull(), F.array(part(c[0]), part(c[1])))
+
+    none = F.lit(None).cast("array<double>")
+    row = lambda coord=none, coord2=none, payload=F.lit(""): F.struct(operation.alias("operation"), coord.alias("coord"), coord2.alias("coord2"), payload.alias("payload"))
+    to = F.lower(F.coalesce(direction, F.lit("")))
+    dx, dy = F.coalesce(scroll_x, F.lit(0)), F.coalesce(scroll_y, F.lit(0))
+    dy = F.when((dy == 0) & to.isin("up", "north"), 3).when((dy == 0) & to.isin("down", "south"), -3).otherwise(dy)
+    dx = F.when((dx == 0) & to.isin("left", "west"), -3).when((dx == 0) & to.isin("right", "east"), 3).otherwise(dx)
+    return (
+        F.when(operation.isin("CLICK", "DOUBLE_CLICK", "RIGHT_CLICK", "MOVE") & point(coordinate).isNotNull(), row(point(coordinate)))
+        .when((operation == "DRAG") & point(start).isNotNull() & point(coordinate).isNotNull(), row(point(start), point(coordinate)))
+        .when((operation == "TYPE") & (text != ""), row(payload=text)).when((operation == "KEY") & (keys != ""), row(payload=keys))
+        .when(operation == "SCROLL", row(payload=F.concat(dx.cast("string"), F.lit(","), dy.cast("string"))))
+        .when(operation == "WAIT", row(payload=F.coalesce(seconds, F.lit("1")))).when(operation == "DONE", row(payload=F.coalesce(F.nullif(status, F.lit("")), F.lit("success"))))
+    )

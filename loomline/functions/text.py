@@ -67,8 +67,8 @@ def utf8_prefix(text: Column, n: Column | int) -> Column:
     return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
 
 
-def content_digest(text: Column, prefix: int | None = 8192) -> Column:
-    """Digest by which equal texts are told, of at most so many first characters."""
+def content_digest(text: Column, prefix: int | None = None) -> Column:
+    """Digest by which equal texts are told: of the whole text or of so many first characters."""
     return F.md5((F.substring(text, 1, prefix) if prefix else text).cast("binary"))
 
 
@@ -135,13 +135,15 @@ def punctuation_ratio(text: Column) -> Column:
     return F.when(ink == 0, 1.0).otherwise(1 - F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) / ink)
 
 
-def natural_text(text: Column, min_chars: int = 40) -> Column:
-    """Long enough, mostly letters, no control characters, at least four words, and not one word over and over."""
+def natural_text(text: Column, min_chars: int = 20) -> Column:
+    """Long enough, mostly letters, no control characters but line ends and tabs, at least four words of two letters and
+    more, and not a few words over and over."""
     t = strip(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    varied = (F.size(words) < 12) | (F.size(F.array_distinct(words)) / F.size(words) >= 0.30)
-    plain = ~t.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f�]")
-    return (F.length(t) >= min_chars) & (F.regexp_count(t, F.lit(r"\p{L}")) / F.greatest(F.length(t), F.lit(1)) > 0.45) & plain & (F.size(words) >= 4) & varied
+    words = F.regexp_extract_all(t, F.lit(r"([A-Za-zÇĞİÖŞÜçğıöşü]{2,})"), 1)
+    low = F.transform(words, lambda w: F.lower(w))
+    varied = (F.size(low) < 12) | (F.size(F.array_distinct(low)) / F.size(low) >= 0.30)
+    plain = ~t.rlike(r"[\x00-\x08\x0b-\x1f\x{fffd}]")
+    return (F.length(t) >= min_chars) & (F.regexp_count(t, F.lit(r"\p{L}")) / F.greatest(F.length(t), F.lit(1)) > 0.45) & plain & (F.size(low) >= 4) & varied
 
 
 def lexical_diversity(text: Column) -> Column:
@@ -165,36 +167,63 @@ def repeated_token_ratio(text: Column) -> Column:
     return let(tokens, share)
 
 
+#: Parts of words that tell Turkish, beside its own letters.
+TURKISH_PARTS = (" mı", " mi", " mu", " mü", " bir ", "hesapla", "kodu", "kodunu", "analiz", "sıcakkanlı", "kaydet", "dosya", "nedir", "kaç", "işlemi", "memeli", "bilgisayar", "hayvan", "araç", "sen ", "kimsin", "kendini tanıt", "kendini tanit", "nesin")
+
+
 def is_turkish(text: Column) -> Column:
-    return text.rlike(r"[çğıöşüÇĞİÖŞÜ]|(?i)\b(?:bir|ve|nedir|mi|mı|kimsin|hangi|nasıl)\b")
+    """A letter or a part of a word that only Turkish has. İ counts as a letter of its own, I as i."""
+    low = F.lower(F.replace(text, F.lit("İ"), F.lit("i̇")))
+    return low.rlike("[çğıöşü]|" + "|".join(TURKISH_PARTS))
 
 
 def turkish_ablative(word: Column) -> Column:
-    """The word with its ablative ending by vowel harmony; numbers by how their last digit is read."""
-    digit = F.regexp_extract(word, r"(\d)$", 1)
-    vowel = F.regexp_extract(F.lower(word), r"([aıoueiöü])[^aıoueiöü]*$", 1)
-    hard = F.lower(word).rlike("[çfhkpsşt]$")
-    by_digit = F.when(digit.isin("1", "2", "7", "8"), "'den").when(digit.isin("3", "4", "5"), "'ten").when(digit == "6", "'dan").when(digit == "9", "'dan").when(digit == "0", "'dan")
-    by_vowel = F.when(vowel.isin("a", "ı", "o", "u"), F.when(hard, "'tan").otherwise("'dan")).otherwise(F.when(hard, "'ten").otherwise("'den"))
-    return F.concat(word, F.when(digit != "", by_digit).otherwise(by_vowel))
+    """The word with its ablative ending after an apostrophe: by how the last digit is read, else by the last vowel."""
+    last = F.substring(word, -1, 1)
+    vowel = F.regexp_extract(F.lower(F.replace(word, F.lit("İ"), F.lit("i̇"))), "([aeıioöuü])[^aeıioöuü]*$", 1)
+    digit = F.when(last.isin("0", "6", "9"), "dan").when(last.isin("1", "2", "7", "8"), "den").when(last.isin("3", "4", "5"), "ten")
+    return F.concat(word, F.lit("'"), F.coalesce(digit, F.when(vowel.isin("a", "ı", "o", "u"), "dan").otherwise("den")))
 
 
 def symbol(term: Column, aliases: Column | None = None) -> Column:
-    """Identifier of a name: alias if it has one, else its words joined by underscores; null if nothing is left."""
-    t = F.regexp_replace(term, r"^[ .?!]+|[ .?!]+$", "")
-    ident = F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_]+", "_"), "^_+|_+$", "")
-    ident = F.when(ident.rlike(r"^\d"), F.concat(F.lit("N_"), ident)).otherwise(F.nullif(ident, F.lit("")))
-    return F.coalesce(F.try_element_at(aliases, F.lower(t)), ident) if aliases is not None else ident
+    """Identifier of a name: its alias if it has one, else its words joined by underscores; null if nothing is left.
+
+    Letters are the Latin ones with those of Turkish. Aliases are found without regard to case; the term is expected
+    in composed form (see ``clean_text``).
+    """
+    t = F.regexp_replace(F.regexp_replace(strip(term), rf"{WS}+", " "), r"^[ .?!]+|[ .?!]+$", "")
+    ident = F.regexp_replace(F.regexp_replace(t, r"[^0-9A-Za-zÇĞİÖŞÜçğıöşü_]+", "_"), "^_+|_+$", "")
+    ident = F.when(ident.rlike("^[0-9]"), F.concat(F.lit("N_"), ident)).otherwise(F.nullif(ident, F.lit("")))
+    return F.coalesce(F.try_element_at(aliases, F.lower(F.replace(t, F.lit("İ"), F.lit("i̇")))), ident) if aliases is not None else ident
 
 
 def display_label(identifier: Column, label: Column) -> Column:
     return F.coalesce(label, F.replace(identifier, F.lit("_"), F.lit(" ")))
 
 
-def alpaca_prompt(instruction: Column, context: Column) -> Column:
-    """Instruction with its context in a block of its own, if it has one; null without an instruction."""
-    i, c = strip(F.coalesce(instruction, F.lit(""))), strip(F.coalesce(context, F.lit("")))
-    return F.when(i != "", F.when(c == "", i).otherwise(F.concat(i, F.lit("\n\nBağlam:\n"), c)))
+def alpaca_prompt(instruction: Column, context: Column, answer: Column) -> Column:
+    """Instruction with its context in a block of its own, if it has one; null without an instruction or an answer."""
+    i, c, a = (clean_text(x, compatibility=False) for x in (instruction, context, answer))
+    return F.when((i != "") & (a != ""), F.when(c == "", i).otherwise(F.concat(i, F.lit("\n\nBağlam:\n"), c)))
+
+
+def image_digest(content: Column) -> Column:
+    """First 16 hexadecimal digits of the SHA-1 of a content, by which images are named."""
+    return F.substring(F.sha1(content), 1, 16)
+
+
+def provenance(text: Column) -> Column:
+    """SHA-256 of a raw text; '' if there is none."""
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.sha2(text, 256))
+
+
+#: Phrases that ask for a text word for word.
+VERBATIM = ("aynen yaz", "aynen kopyala", "birebir", "alıntıla", "alintila", "verbatim", "exact quote", "quote exactly", "copy exactly")
+
+
+def asks_verbatim(prompt: Column) -> Column:
+    """The prompt asks for a text word for word."""
+    return F.lower(F.coalesce(prompt, F.lit(""))).rlike("|".join(VERBATIM))
 
 
 def compact_json(*fields: tuple[str, Column]) -> Column:

@@ -20,6 +20,8 @@ from loomline.session import cut
 
 FACT = "predicate string, args array<string>"
 MAX_ROUNDS = 32
+#: Rounds after which the facts of all rounds are written together.
+COMPACT_ROUNDS = 8
 _VARIABLE = re.compile(r"\?[A-Za-z_][A-Za-z0-9_]*")
 
 
@@ -113,7 +115,7 @@ def infer(facts: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS)
     """
     usable = [r for r in rules if r.safe]
     known = cut(facts.select("predicate", "args").distinct().withColumn("round", F.lit(0)))
-    delta, rounds = known, 0
+    delta, rounds, derived = known, 0, 0
     for number in range(1, max_rounds + 1):
         rounds = number
         found = []
@@ -130,11 +132,12 @@ def infer(facts: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS)
         delta = cut(new.select("predicate", "args", F.lit(number).alias("round")))
         n = delta.count()
         if n == 0:
-            break
-        known = cut(known.unionByName(delta))
-    else:
-        return Closure(known, rounds, False, known.where("round > 0").count())
-    return Closure(known, rounds, True, known.where("round > 0").count())
+            return Closure(known, rounds, True, derived)
+        derived += n
+        known = known.unionByName(delta)
+        if number % COMPACT_ROUNDS == 0:  # only what a round adds is written, and all of it once in a while
+            known = cut(known)
+    return Closure(known, rounds, False, derived)
 
 
 def derivations(closure: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -230,6 +233,31 @@ def proof(derived: DataFrame, atom: Atom, depth: int = 64) -> dict:
     return tree((atom.predicate, tuple(atom.args)))
 
 
+def executed(programs: DataFrame) -> DataFrame:
+    """Answers to compiled programs (``program`` as ``functions.knowledge.compiled`` has it) over the facts and rules among them.
+
+    One row per distinct program: ``kind, predicate, args, numbers, ok, answer, values, error``. Questions are answered
+    over the facts and what the rules add to them; a comparison has its relation, a sorting its ``values``, a
+    description the given facts about its entity; facts and rules are recorded. A program that is none, or of a kind
+    that is not run here, is a row with its error and no exception.
+    """
+    p = cut(programs.select("program.*").distinct())
+    facts = p.where("kind = 'FACT'").select("predicate", "args")
+    rules = p.where("kind = 'RULE'").select(F.col("predicate").alias("head"), F.col("args")[0].alias("class"))
+    members = facts.where("predicate = 'IsA'").select(F.col("args")[0].alias("x"), F.col("args")[1].alias("class"))
+    derived = members.join(rules, "class").select(F.col("head").alias("predicate"), F.array("x").alias("args"))
+    known = facts.unionByName(derived).distinct().withColumn("__yes", F.lit(True))
+    about = facts.groupBy(F.col("args")[0].alias("__entity")).agg(F.array_sort(F.collect_set(F.concat(F.col("predicate"), F.lit("("), F.array_join("args", ","), F.lit(")")))).alias("__facts"))
+    rows = p.join(known, ["predicate", "args"], "left").withColumn("__entity", F.when(F.col("kind") == "DESCRIBE_ENTITY", F.col("args")[0])).join(about, "__entity", "left")
+    kind, a, b = F.col("kind"), F.try_element_at("numbers", F.lit(1)), F.try_element_at("numbers", F.lit(2))
+    relation = F.when(a > b, "greater").when(a < b, "less").otherwise("equal")
+    answer = F.when(kind == "QUERY", F.coalesce("__yes", F.lit(False)).cast("string")).when(kind == "COMPARE_VALUES", relation).when(kind == "DESCRIBE_ENTITY", F.coalesce(F.array_join("__facts", ";"), F.lit(""))).when(kind.isin("FACT", "RULE"), "recorded")
+    values = F.when(kind == "SORT_VALUES", F.sort_array("numbers", asc=True)).otherwise(F.lit(None))
+    values = F.when((kind == "SORT_VALUES") & F.col("descending"), F.sort_array("numbers", asc=False)).otherwise(values)
+    error = F.when(kind == "ERROR", "outside the grammar").when(~kind.isin("FACT", "RULE", "QUERY", "COMPARE_VALUES", "SORT_VALUES", "DESCRIBE_ENTITY", "IDENTITY"), "not run here")
+    return rows.select("kind", "predicate", "args", "numbers", error.isNull().alias("ok"), answer.alias("answer"), values.alias("values"), error.alias("error"))
+
+
 class Session:
     """Facts and rules that programs add to and ask. Queries see all rules; derived facts are never stored."""
 

@@ -47,10 +47,13 @@ def curriculum_mode(i: Column, modes: int = 24) -> tuple[Column, Column, Column]
     return (i % modes).cast("int"), F.when(block % 2 == 0, "tr").otherwise("en"), F.floor(block / 2) % 2 == 0
 
 
+DEBUG_CASES = ("off_by_one", "null_check", "wrong_sign", "bad_import", "shadowed_name", "missing_return", "bad_index", "stale_cache")
+
+
 def debug_steps(i: Column) -> Column:
     """A debugging trajectory: plan, look, edit, test and final answer, varied by the row's number."""
     case, tool, style, depth = mixed_radix(i, [8, 4, 4, 6])
-    names = F.array(*(F.lit(x) for x in ("off_by_one", "null_check", "wrong_sign", "bad_import", "shadowed_name", "missing_return", "bad_index", "stale_cache")))
+    names = F.array(*map(F.lit, DEBUG_CASES))
     tools = F.array(*(F.lit(x) for x in ("read_file", "search", "run_tests", "apply_patch")))
     body = F.transform(F.sequence(F.lit(0), depth), lambda k: message("assistant", F.concat(F.lit("<|plan|>"), F.format_string("step %d: use %s on %s", k, tools[(tool + k) % 4], names[case]))))
     return F.concat(F.array(message("user", F.format_string("Fix %s (style %d).", names[case], style))), body, F.array(message("assistant", F.concat(F.lit(FINAL), F.format_string("%s is fixed.", names[case])))))

@@ -84,19 +84,47 @@ def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return prefix_sum(hashed, ["__all"], ["__h", key], F.lit(1), "draw").drop("__h", "__all")
 
 
+def draw_of(*parts: Column | str | int) -> Column:
+    """A number below 2**32 from a digest of the parts, the same wherever it is computed."""
+    text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def balanced_draws(rows: DataFrame, label: str, key: str, draws: int, seed: int) -> DataFrame:
     """Draws with replacement: a class uniformly, then one of its rows. Ranks and draws are joined, never collected."""
     from loomline.operators.corpus import prefix_sum
 
-    ranked = prefix_sum(rows.withColumn("__h", F.xxhash64(F.lit(seed), key)), [label], ["__h", key], F.lit(1), "rank").drop("__h")
+    ranked = prefix_sum(rows.withColumn("__h", draw_of(seed, F.col(key))), [label], ["__h", key], F.lit(1), "rank").drop("__h")
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
     classes = sizes.withColumn("class_no", F.row_number().over(Window.orderBy(label)) - 1)  # one row per class
     n = classes.count()
-    drawn = rows.sparkSession.range(draws).withColumn("class_no", F.pmod(F.xxhash64(F.lit(seed), F.lit("class"), "id"), F.lit(max(n, 1))).cast("int"))
-    drawn = drawn.join(classes, "class_no").withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("row"), "id"), F.col("size")))
+    drawn = rows.sparkSession.range(draws).withColumn("class_no", (draw_of(seed, "class", F.col("id")) % max(n, 1)).cast("int"))
+    drawn = drawn.join(classes, "class_no").withColumn("rank", draw_of(seed, "row", F.col("id")) % F.col("size"))
     return drawn.join(ranked, [label, "rank"]).drop("class_no", "size")
 
 
+def block_split(n: Column, seq: int, share: float = 0.99) -> Column:
+    """Tokens of the training part of a stream, whole blocks only, and how many blocks it has with their successor."""
+    train = (F.floor(F.floor(n * share) / seq) * seq).cast("long")
+    return F.struct(train.alias("train"), F.greatest(F.lit(0).cast("long"), F.floor((train - 1) / seq)).alias("blocks"))
+
+
+def supervised_blocks(masks: DataFrame, keys: Sequence[str], mask: str, seq: int) -> DataFrame:
+    """Blocks of seq tokens, one after the other, with any supervised target, and how many they have."""
+    rows = masks.select(*keys, F.size(mask).alias("n"), F.posexplode(mask).alias("pos", "m")).where(F.col("pos") >= 1)
+    rows = rows.where(F.floor((F.col("pos") - 1) / seq) < F.floor((F.col("n") - 1) / seq))
+    out = rows.groupBy(*keys, F.floor((F.col("pos") - 1) / seq).alias("block")).agg(F.sum("m").alias("supervised"))
+    return out.where("supervised > 0")
+
+
+def random_windows(masks: DataFrame, key: str, mask: str, seq: int, draws: int, seed: int, least: int = 8) -> DataFrame:
+    """Windows with random starts of each stream, without those of fewer than ``least`` supervised targets."""
+    high = F.size(mask) - seq - 2
+    rows = masks.where(high > 0).select(key, mask, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("start", draw_of(seed, F.col(key), F.col("draw")) % high)
+    targets = F.slice(F.col(mask), (F.col("start") + 2).cast("int"), seq)
+    return rows.withColumn("supervised", F.aggregate(targets, F.lit(0), lambda a, m: a + m)).where(F.col("supervised") >= least).drop(mask)
+
+
 def lane(number: Column) -> Column:
     """Lane of a step when three lanes take three, one and one of five steps."""
     return F.when(number % 5 < 3, "main").when(number % 5 == 3, "coder").otherwise("agent")
@@ -108,5 +136,5 @@ def bank_slots(fp: Column, slots: int) -> Column:
 
 
 def is_evaluation(key: Column, seed: int, percent: int = 2) -> Column:
-    """True for about so many of a hundred rows, by a hash of seed and key."""
-    return F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), key.cast("string")).cast("binary")), F.lit(100)) < percent
+    """True for about so many of a hundred rows, by a digest of seed and key."""
+    return draw_of(seed, key) % 100 < percent

@@ -27,7 +27,7 @@ def prepare_steps(trajectories: DataFrame) -> DataFrame:
     steps = zip_steps(good, ["task_id", "instruction", "domain", "exe_statuses"], "actions", "screenshots")
     status = F.lower(F.coalesce(F.try_element_at("exe_statuses", F.col("pos") + 1), F.lit("")))
     steps = steps.where(status.isin("", "success", "none"))
-    parsed = steps.withColumn("a", parsed_action("actions", F.col("screenshots.width").cast("double"), F.col("screenshots.height").cast("double")))
+    parsed = steps.withColumn("a", parsed_action(F.col("actions"), F.col("screenshots.width").cast("double"), F.col("screenshots.height").cast("double")))
     return parsed.where("a.operation is not null").select("task_id", "instruction", "domain", "pos", "a.*", F.substring("actions", 1, 2000).alias("action_source"))
 
 
@@ -44,15 +44,6 @@ def usable_steps(steps: DataFrame) -> DataFrame:
     return steps.where(no("is_delete") & no("is_mock") & F.coalesce("task_completed", F.lit(True)) & ~F.col("is_use").eqNullSafe(False))
 
 
-#: Names that recorded plans use for operations.
-PLAN_OPERATIONS = {"click": "CLICK", "tap": "CLICK", "left_click": "CLICK", "double_click": "DOUBLE_CLICK", "right_click": "RIGHT_CLICK", "drag": "DRAG", "swipe": "DRAG", "move": "MOVE", "hover": "MOVE", "type": "TYPE", "input": "TYPE", "write": "TYPE", "key": "KEY", "press": "KEY", "hotkey": "KEY", "scroll": "SCROLL", "wait": "WAIT", "sleep": "WAIT", "done": "DONE", "finish": "DONE", "terminate": "DONE"}
-
-
-def plan_operation(name: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in PLAN_OPERATIONS.items() for x in pair))
-    return F.try_element_at(table, F.lower(F.trim(name)))
-
-
 def valid_labels(rows: DataFrame) -> DataFrame:
     """Which labels of an action count: the point for pointer operations, the second only for drags, the payload for the rest."""
     has = lambda c: F.coalesce((F.size(c) >= 2) & F.col(c)[0].isNotNull() & F.col(c)[1].isNotNull(), F.lit(False))
@@ -97,6 +88,12 @@ def operation_caps(rows: DataFrame, order: Sequence[str], caps: dict[str, int],
     return row_caps(rows, ["op"], order, F.coalesce(F.try_element_at(table, F.col("op")), F.lit(default)))
 
 
+def holdout_key(episode: Column, task: Column, archive: Column, image: Column) -> Column:
+    """What is held out together: an episode, else a task, else one image of an archive."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(episode), some(task), F.concat(F.coalesce(archive, F.lit("")), F.lit("|"), F.coalesce(image, F.lit(""))))
+
+
 def group_holdout(key: Column, parts: int = 10) -> Column:
     """True for one of so many parts of the groups, by the digest of their key: a group is never split."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int") % parts == 0
@@ -148,3 +145,26 @@ def latest_delivery(rows: DataFrame, keys: Sequence[str], arrived: str, id_: str
         complete &= F.col(k).isNotNull()
     firsts = rows.where(complete).groupBy(*keys).agg(F.min(F.struct(arrived, id_)).alias("k")).select(F.col(f"k.{id_}").alias(id_))
     return rows.where(complete).join(firsts, id_, "left_semi").unionByName(rows.where(~complete))
+
+
+def name_ids(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their number in order, from 1. Values are few (domains, labels); nulls have none."""
+    return rows.select(column).dropna().distinct().withColumn("id", F.dense_rank().over(Window.orderBy(column)))
+
+
+def in_preference(rows: DataFrame, column: str, preferred: Sequence[str]) -> DataFrame:
+    """The rows of preferred values with their place in the order of preference, from 0."""
+    wanted = rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(preferred)], f"`{column}` string, place int")
+    return rows.join(wanted, column)
+
+
+def allocation(counts: DataFrame, column: str, n: str, parts: dict[str, float], slack: int = 800, least: int = 1200) -> DataFrame:
+    """Parts of the sum of all counts, rounded down, against the counts. A value that is short by some has a fallback
+    target: what is short and ``slack`` more, at least ``least``, but no more than its target."""
+    whole = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("__whole"))
+    wanted = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in parts.items()], f"`{column}` string, __part double")
+    out = wanted.join(counts, column, "left").join(whole)  # one row
+    out = out.withColumn("target", F.floor(F.col("__whole") * F.col("__part"))).withColumn(n, F.coalesce(F.col(n), F.lit(0)).cast("long"))
+    short = F.greatest(F.lit(0).cast("long"), F.col("target") - F.col(n))
+    fallback = F.when(short > 0, F.least(F.col("target"), F.greatest(F.lit(least).cast("long"), short + slack)))
+    return out.withColumns({"short": short, "fallback_target": fallback}).drop("__part", "__whole")

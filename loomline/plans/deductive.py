@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from loomline.functions import knowledge
+from loomline.functions.text import strip
 from loomline.operators import deductive as r
 from loomline.operators import typed
+from loomline.plans.corpus import WS
 from loomline.session import table
 
 LOCATED = r.Rule((r.Atom("LocatedIn", ("?x", "?y")), r.Atom("LocatedIn", ("?y", "?z"))), r.Atom("LocatedIn", ("?x", "?z")), "transitive")
@@ -123,15 +125,31 @@ def written_closure(spark, d):
     return flat(r.infer(rows, [TALLER, WARM, REACH]).facts.select("predicate", "args"))
 
 
+def sentences(spark, d):
+    return table(spark, d, "documents").select(F.explode(F.split("text", r"(?<=[.?!])[ \t\n]+|\n")).alias("s")).where(strip(F.col("s")) != "")
+
+
 def stated(spark, d):
     """Facts and questions in the sentences of the corpus, by predicate."""
-    rows = table(spark, d, "documents").select(F.explode(F.split("text", r"(?<=[.?!])\s+|\n")).alias("s")).where(F.col("s").rlike(r"\S"))
-    rows = rows.select(knowledge.statement_atom(F.col("s"))["predicate"].alias("states"), knowledge.question_atom(F.col("s"))["predicate"].alias("asks"))
+    rows = sentences(spark, d).select(knowledge.statement_atom(F.col("s"))["predicate"].alias("states"), knowledge.question_atom(F.col("s"))["predicate"].alias("asks"))
     return rows.groupBy("states", "asks").agg(F.count(F.lit(1)).alias("n"))
 
 
+def compiled(spark, d):
+    """What the sentences of the corpus mean, with how often each meaning is given."""
+    rows = sentences(spark, d).select(knowledge.compiled(F.col("s")).alias("p"))
+    numbers = F.array_join(F.transform("p.numbers", lambda v: F.round(v, 4).cast("string")), ",")
+    return rows.groupBy("p.kind", "p.predicate", F.array_join("p.args", "|").alias("args"), "p.expression", numbers.alias("numbers"), "p.descending").agg(F.count(F.lit(1)).alias("n"))
+
+
+def executed(spark, d):
+    """Facts and rules in the sentences of the corpus recorded, its questions answered over them."""
+    out = r.executed(sentences(spark, d).select(knowledge.compiled(F.col("s")).alias("program")).where("program.kind <> 'ERROR'"))
+    return out.where("kind in ('FACT', 'RULE', 'QUERY', 'DESCRIBE_ENTITY')").select("kind", "predicate", F.array_join("args", "|").alias("args"), "ok", "answer")
+
+
 QUERIES = {
-    "written_facts": written, "written_closure": written_closure, "stated_facts": stated,
+    "written_facts": written, "written_closure": written_closure, "stated_facts": stated, "compiled_sentences": compiled, "executed_sentences": executed,
     "facts_from_tables": facts_from_tables, "deductive_closure": closure, "ground_queries": queries_, "rule_derivations": derivations, "describe_entity": described, "memory_stats": statistics, "alias_resolution": resolved,
     "triple_counts": triples, "lexicon_edges": lexicon, "arithmetic_ops": arithmetic, "compare_sort_ops": compare_sort, "verify_ops": verified, "code_analysis": code,
 }
@@ -144,7 +162,49 @@ _SERVES = "s AS (SELECT DISTINCT x.a FROM l x JOIN f k ON k.p = 'Kind' AND k.a =
 _WRITTEN = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][A-Za-z]*\([A-Za-z_][A-Za-z0-9_]*(?:, [A-Za-z_][A-Za-z0-9_]*)*\))', 1)) AS s FROM documents),
     f AS (SELECT doc_id, split_part(s, '(', 1) AS p, replace(regexp_extract(s, '\((.*)\)', 1), ', ', '|') AS a FROM w)"""
 
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _symbol_sql(x: str) -> str:
+    t = rf"regexp_replace(regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '^ +| +$', '', 'g'), '^[ .?!]+|[ .?!]+$', '', 'g')"
+    ident = rf"regexp_replace(regexp_replace({t}, '[^0-9A-Za-zÇĞİÖŞÜçğıöşü_]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in knowledge.CONCEPTS.items())
+    return f"coalesce(CASE lower(replace({t}, 'İ', 'i̇')) {known} END, CASE WHEN regexp_matches({ident}, '^[0-9]') THEN 'N_' || {ident} ELSE nullif({ident}, '') END)"
+
+
+def _forms_sql(name: str, text: str, forms) -> str:
+    """Columns of the first form that matches: its number, predicate and groups."""
+    quoted = [_sql_text("(?i)" + p) for _, p in forms]
+    number = "CASE " + " ".join(f"WHEN regexp_matches({text}, {q}) THEN {i}" for i, q in enumerate(quoted)) + " END"
+    group = lambda g: "CASE " + " ".join(f"WHEN regexp_matches({text}, {q}) THEN " + (f"regexp_extract({text}, {q}, {g})" if g == 1 or p.count("(") - p.count("(?:") > 1 else "'-'") for q, (_, p) in zip(quoted, forms)) + " END"
+    predicate = "CASE " + " ".join(f"WHEN regexp_matches({text}, {q}) THEN '{n}'" for q, (n, _) in zip(quoted, forms)) + " END"
+    return f"{number} AS {name}_n, {predicate} AS {name}_p, {group(1)} AS {name}_1, {group(2)} AS {name}_2"
+
+
+_TWO = {"f": "true", "r": "true", "q": "q_n > 1", "e": "false"}
+_PARTS = (("e", "un", knowledge.DESCRIBE_FORMS), ("q", "un", knowledge.QUERY_FORMS), ("r", "one", knowledge.RULE_FORMS), ("f", "one", knowledge.FACT_FORMS))
+_IDENTITY = _sql_text("(?i)^(?:" + "|".join(knowledge.IDENTITY) + ")$")
+_COMPILED = rf"""s AS (SELECT unnest(string_split(regexp_replace(text, '([.?!])[ \t\n]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM documents), n AS (SELECT regexp_replace(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g') AS one FROM s),
+    u AS (SELECT one, regexp_replace(one, '[?.!]+$', '') AS un FROM n WHERE one <> ''), m AS (SELECT *, {', '.join(_forms_sql(*p) for p in _PARTS)} FROM u),
+    y AS (SELECT *, {', '.join(f"{_symbol_sql(f'{k}_{g}')} AS {k}_s{g}" for k, _, _ in _PARTS for g in (1, 2))} FROM m),
+    ok AS (SELECT *, {', '.join(f"{k}_n IS NOT NULL AND {k}_s1 IS NOT NULL AND (NOT ({_TWO[k]}) OR {k}_s2 IS NOT NULL) AS {k}_ok" for k, _, _ in _PARTS)} FROM y)"""
+_FIRST = lambda forms, g: "coalesce(" + ", ".join(f"nullif(regexp_extract(one, {_sql_text('(?i)' + p)}, {g}), '')" for p in forms) + ")"
+_ANY = lambda forms: "(" + " OR ".join(f"regexp_matches(one, {_sql_text('(?i)' + p)})" for p in forms) + ")"
+_MEANT = f"""g AS (SELECT *, starts_with(one, '{{') AND json_valid(one) AS j, regexp_matches(lower(un), {_IDENTITY}) AS i, trim({_FIRST(knowledge.ARITHMETIC_FORMS, 1)}) AS sum, {_ANY(knowledge.COMPARE_FORMS)} AS cmp, {_FIRST(knowledge.COMPARE_FORMS, 1)} AS c1, {_FIRST(knowledge.COMPARE_FORMS, 2)} AS c2, regexp_extract_all({_FIRST(knowledge.SORT_FORMS, 2)}, '-?[0-9]+(?:[.][0-9]+)?') AS v, {_FIRST(knowledge.SORT_FORMS, 1)} AS dir FROM ok),
+    h AS (SELECT *, CASE WHEN j THEN 'PROGRAM' WHEN i THEN 'IDENTITY' WHEN e_ok THEN 'DESCRIBE_ENTITY' WHEN q_ok THEN 'QUERY' WHEN r_ok THEN 'RULE' WHEN f_ok THEN 'FACT' WHEN sum <> '' THEN 'ARITHMETIC' WHEN cmp THEN 'COMPARE_VALUES' WHEN len(v) >= 2 THEN 'SORT_VALUES' ELSE 'ERROR' END AS kind FROM g),
+    meant AS (SELECT kind, CASE kind WHEN 'QUERY' THEN q_p WHEN 'RULE' THEN r_s2 WHEN 'FACT' THEN f_p END AS predicate, CASE kind WHEN 'DESCRIBE_ENTITY' THEN e_s1 WHEN 'QUERY' THEN q_s1 || CASE WHEN q_n > 1 THEN '|' || q_s2 ELSE '' END WHEN 'RULE' THEN r_s1 WHEN 'FACT' THEN f_s1 || '|' || f_s2 END AS args,
+    CASE kind WHEN 'ARITHMETIC' THEN replace(sum, '^', '**') END AS expression, CASE kind WHEN 'COMPARE_VALUES' THEN CAST(c1::DOUBLE AS VARCHAR) || ',' || CAST(c2::DOUBLE AS VARCHAR) WHEN 'SORT_VALUES' THEN array_to_string(list_transform(v, lambda x: CAST(x::DOUBLE AS VARCHAR)), ',') END AS numbers, CASE kind WHEN 'SORT_VALUES' THEN coalesce(lower(dir) IN ('büyükten küçüğe', 'descending'), false) END AS descending FROM h)"""
+
 SQL = {
+    "stated_facts": f"WITH {_COMPILED} SELECT CASE WHEN f_ok THEN f_p END AS states, CASE WHEN q_ok THEN q_p END AS asks, count(*) AS n FROM ok GROUP BY ALL",
+    "compiled_sentences": f"WITH {_COMPILED}, {_MEANT} SELECT kind, predicate, args, expression, numbers, descending, count(*) AS n FROM meant GROUP BY ALL",
+    "executed_sentences": f"""WITH {_COMPILED}, {_MEANT}, p AS (SELECT DISTINCT kind, predicate, args FROM meant), k AS (SELECT predicate, args FROM p WHERE kind = 'FACT' UNION SELECT u.predicate, split_part(m.args, '|', 1) FROM p u JOIN p m ON u.kind = 'RULE' AND m.kind = 'FACT' AND m.predicate = 'IsA' AND split_part(m.args, '|', 2) = u.args),
+        about AS (SELECT split_part(args, '|', 1) AS e, string_agg(predicate || '(' || replace(args, '|', ',') || ')', ';' ORDER BY predicate, args) AS facts FROM p WHERE kind = 'FACT' GROUP BY 1)
+        SELECT kind, predicate, args, true AS ok, CASE kind WHEN 'QUERY' THEN CAST(EXISTS (SELECT 1 FROM k WHERE k.predicate = p.predicate AND k.args = p.args) AS VARCHAR) WHEN 'DESCRIBE_ENTITY' THEN coalesce((SELECT facts FROM about WHERE e = p.args), '') ELSE 'recorded' END AS answer
+        FROM p WHERE kind IN ('FACT', 'RULE', 'QUERY', 'DESCRIBE_ENTITY')""",
     "written_facts": f"WITH {_WRITTEN} SELECT p AS predicate, a AS args, count(DISTINCT doc_id) AS documents FROM f GROUP BY ALL",
     "written_closure": f"""WITH RECURSIVE {_WRITTEN}, g AS (SELECT DISTINCT p, a, split_part(a, '|', 1) AS x, split_part(a, '|', 2) AS y, len(string_split(a, '|')) AS n FROM f),
         t AS (SELECT x, y FROM g WHERE p = 'TallerThan' AND n = 2 UNION SELECT t.x, g.y FROM t JOIN g ON g.p = 'TallerThan' AND g.n = 2 AND t.y = g.x)

@@ -68,7 +68,13 @@ def evaluation_split(spark, d):
     return table(spark, d, "main_sft").select("sft_id", s.is_evaluation(F.col("sft_id"), 7).alias("held_out"))
 
 
-QUERIES = {"bank_slots": slots, "evaluation_split": evaluation_split, "token_windows": windows, "ngram_topk_exact": top_continuations, "ngram_lookup": looked_up, "rolling_fingerprint": fingerprints, "balanced_sampler": draws, "epoch_permutation": permutation, "label_distances": distances}
+def blocks(spark, d):
+    """Training part and blocks of each document's tokens."""
+    b = s.block_split(F.size("w"), 32)
+    return tokens(spark, d).select("doc", b["train"].alias("train"), b["blocks"].cast("long").alias("blocks"))
+
+
+QUERIES = {"token_blocks": blocks, "bank_slots": slots, "evaluation_split": evaluation_split, "token_windows": windows, "ngram_topk_exact": top_continuations, "ngram_lookup": looked_up, "rolling_fingerprint": fingerprints, "balanced_sampler": draws, "epoch_permutation": permutation, "label_distances": distances}
 
 _NG = lambda src, key, n: f"t AS (SELECT {key} AS doc, {TOKENS} AS w FROM {src}), g AS (SELECT doc, w, unnest(range(1, len(w) - {n} + 1)) AS i FROM t), p AS (SELECT doc, array_to_string(w[i:i + {n} - 1], ' ') AS context, w[i + {n}] AS next FROM g)"
 
@@ -80,7 +86,13 @@ def _fold(m: int, p: int) -> str:
     return out
 
 
+_DRAW = lambda x: f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+
 SQL = {
+    "token_blocks": f"WITH t AS (SELECT doc_id AS doc, CAST(floor(floor(len({TOKENS}) * 0.99) / 32) * 32 AS BIGINT) AS train FROM documents) SELECT doc, train, greatest(0, CAST(floor((train - 1) / 32) AS BIGINT)) AS blocks FROM t",
+    "evaluation_split": f"SELECT sft_id, {_DRAW("'7:' || sft_id")} % 100 < 2 AS held_out FROM main_sft",
+    "balanced_sampler": f"""WITH o AS (SELECT coalesce(nullif(upper(trim(operation)), ''), 'OTHER') AS op FROM cu07_manifest), k AS (SELECT op, row_number() OVER (ORDER BY op) - 1 AS k FROM (SELECT DISTINCT op FROM o)),
+        w AS (SELECT {_DRAW("'11:class:' || i")} % (SELECT count(*) FROM k) AS k FROM (SELECT unnest(range((SELECT count(*) FROM o))) AS i)) SELECT op, count(*) AS n FROM w JOIN k USING (k) GROUP BY op""",
     "token_windows": f"""WITH t AS (SELECT doc_id AS doc, len({TOKENS}) AS n FROM documents) SELECT doc, n AS tokens, CAST(CASE WHEN n - 66 >= 0 THEN (n - 66) // 65 + 1 ELSE 0 END AS BIGINT) AS windows,
         CAST(CASE WHEN n >= 384 THEN least(greatest(128, floor(n * 0.02)), floor(n / 5)) END AS BIGINT) AS held_out FROM t""",
     "ngram_topk_exact": f"""WITH {_NG('documents', 'doc_id', 3)}, c AS (SELECT context, next, count(*) AS n FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next) AS rank FROM c)

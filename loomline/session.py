@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,15 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, for checkpoints: the cluster's ``spark.checkpoint.dir``. Only where that is
-    unset, as in local tests, a folder of this process is set."""
+    unset in a local session, as in tests, a folder of this process is set; a cluster without one is an error."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isDefined():
         return context.getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return context.getCheckpointDir().get()
 
@@ -30,9 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of their ids, and never more than twice as many."""
+def bounded_sample(df: DataFrame, id_column: str, rows: int, keep: Column | None = None) -> DataFrame:
+    """At most ``rows`` rows, chosen by a hash of their ids, of which those that ``keep`` takes.
+
+    The number of all rows comes from the files' footers, so the data are scanned once.
+    """
     total = max(df.count(), 1)
-    if total <= rows:
-        return df.limit(rows)
-    return df.where(F.pmod(F.xxhash64(id_column), F.lit(total)) < rows).limit(2 * rows)
+    if total > rows:
+        df = df.where(F.pmod(F.xxhash64(id_column), F.lit(total)) < int(rows * 0.95))
+    return (df if keep is None else df.where(keep)).limit(rows)

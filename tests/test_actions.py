@@ -5,16 +5,28 @@ from loomline.operators import gates, generators, streams, trajectories
 from loomline.streaming import runs, stateful
 
 
-def test_parsing_rules():
-    p = lambda s: g.parse_action(s, 101, 101)
-    assert p("pyautogui.click(50, 100)") == {"operation": "CLICK", "coord": [0.5, 1.0], "coord2": None, "payload": ""}
-    assert p("pyautogui.click(x=1, y=2, clicks=2)")["operation"] == "DOUBLE_CLICK"
-    assert p("pyautogui.click(1, 2, button='right')")["operation"] == "RIGHT_CLICK"
-    assert p("pyautogui.moveTo(0, 0); pyautogui.dragTo(100, 50)") == {"operation": "DRAG", "coord": [0.0, 0.0], "coord2": [1.0, 0.5], "payload": ""}
-    assert p("pyautogui.dragTo(1, 1)") is None
-    assert p("pyautogui.hotkey('ctrl', 'c')")["payload"] == "ctrl+c" and p("pyautogui.press('a', 'b')")["payload"] == "a"
-    assert p("pyautogui.scroll(-3)")["payload"] == "0,-3" and p("pyautogui.hscroll(2)")["payload"] == "2,0"
-    assert p("pyautogui.write('')") is None and p("not python (") is None and p(None) is None and p("print(1)") is None
+def test_parsing_rules(spark):
+    cases = {
+        "pyautogui.click(50, 100)": ("CLICK", [0.5, 1.0], None, ""), "pyautogui.click(x=1, y=2, clicks=2)": ("DOUBLE_CLICK", [0.01, 0.02], None, ""), "pyautogui.click(1, 2, button='right')": ("RIGHT_CLICK", [0.01, 0.02], None, ""),
+        "pyautogui.moveTo(0, 0); pyautogui.dragTo(100, 50)": ("DRAG", [0.0, 0.0], [1.0, 0.5], ""), "pyautogui.dragTo(1, 1)": None, "pyautogui.moveTo(z, 0); pyautogui.dragTo(q, 50); pyautogui.press('a', 'b')": ("KEY", None, None, "a"),
+        "pyautogui.hotkey('ctrl', 'c')": ("KEY", None, None, "ctrl+c"), "pyautogui.scroll(-3.7)": ("SCROLL", None, None, "0,-3"), "pyautogui.hscroll(2)": ("SCROLL", None, None, "2,0"), "pyautogui.scroll(clicks=4)": ("SCROLL", None, None, "0,4"), "pyautogui.write('')": None, "not python (": None, None: None, "print(1)": None,
+        "pyautogui.write('it\\'s (1)\\n')": ("TYPE", None, None, "it's (1)\n"), "pyautogui.typewrite(message=\"a, b\")": ("TYPE", None, None, "a, b"), "pyautogui.keyDown('shift')": ("KEY_DOWN", None, None, "shift"), "pyautogui.moveTo(200, 0)": ("MOVE", [1.0, 0.0], None, ""), "import x\npyautogui.doubleClick(5, 5)": ("DOUBLE_CLICK", [0.05, 0.05], None, ""),
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "k int, x string")
+    got = {r.k: r.a and (r.a.operation, r.a.coord, r.a.coord2, r.a.payload) for r in df.select("k", g.parsed_action(F.col("x"), F.lit(101.0), F.lit(101.0)).alias("a")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_runtime_actions_and_plans(spark):
+    val = lambda c: spark.range(1).select(c).first()[0]
+    none, at = F.lit(None).cast("array<double>"), lambda *v: F.array(*map(F.lit, v))
+    run = lambda op, payload=None, c=none, d=none: val(g.runtime_action(F.lit(op), c, d, F.lit(payload)))
+    assert run("KEY", "ctrl + c,").keys == ["ctrl", "c"] and run("TYPE", "  ").seconds == 0.15 and run("SCROLL", "3,-4").scroll_y == -4 and run("SCROLL", "-4").scroll_x == 0
+    assert run("WAIT", "9 s").seconds == 5.0 and run("WAIT", "").seconds == 0.25 and run("ODD").type == "DONE" and run("DRAG", None, at(0.1, 0.2), at(0.3, 0.4)).x2 == 0.3 and run("CLICK", None, at(0.1)).y is None
+    assert val(g.plan_operation(F.lit("Left_Click_Drag"))) == "DRAG" and val(g.plan_operation(F.lit("hover"))) is None and val(g.plan_operation(F.lit(None).cast("string"))) is None
+    plan = lambda op, **k: val(g.plan_action(F.lit(op), k.get("c", none), k.get("s", none), F.lit(k.get("text", "")), F.lit(k.get("keys", "")), F.lit(k.get("x", 0)), F.lit(k.get("y", 0)), F.lit(k.get("to")), F.lit(k.get("sec")), F.lit(k.get("status"))))
+    assert plan("CLICK", c=at(999.0, 0.0)).coord == [1.0, 0.0] and plan("CLICK", c=at(0.5, 0.25)).coord == [0.5, 0.25] and plan("CLICK") is None and plan("DRAG", c=at(0.1, 0.1)) is None
+    assert plan("SCROLL", to="North").payload == "0,3" and plan("SCROLL", to="left", y=2).payload == "-3,2" and plan("WAIT").payload == "1" and plan("DONE").payload == "success" and plan("TYPE") is None
 
 
 def test_geometry(spark):
@@ -24,11 +36,12 @@ def test_geometry(spark):
     assert val(g.norm_bbox(box(200.0, 50.0, 100.0, 150.0), F.lit(200.0), F.lit(100.0))) == [0.5, 0.5, 1.0, 1.0]
     assert val(g.norm_bbox(box(0.1, 0.2, 0.3, 0.4), F.lit(200.0), F.lit(100.0))) == [0.1, 0.2, 0.3, 0.4]
     assert val(g.norm_bbox(box(1.0, 2.0), F.lit(2.0), F.lit(1.0))) is None
-    assert val(g.action_point(F.lit("tap 50, 25"), F.lit(100.0), F.lit(100.0))) == [0.5, 0.25]
+    assert val(g.action_point(F.lit("pyautogui.click( 50, 25)"), F.lit(100.0), F.lit(100.0))) == [0.5, 0.25] and val(g.action_point(F.lit("tap 50, 25"), F.lit(100.0), F.lit(100.0))) is None
     assert val(g.pixel(F.lit(0.5), F.lit(2))) == 0 and val(g.pixel(F.lit(0.5), F.lit(4))) == 2
     assert val(g.patch_index(box(1.0, 1.0), 16)) == 255
-    assert [val(g.classify_action(F.lit(x))) for x in ("Double click", "dragTo", "hotkey", "")] == ["DOUBLE_CLICK", "DRAG", "KEY", "OTHER"]
-    assert val(g.classify_action(F.lit("dragTo"), drag=False)) == "MOVE"
+    assert [val(g.classify_action(F.lit(x))) for x in ("double Click (1)", "dragTo(1)", "hotkey('a')", "click", "")] == ["CLICK", "DRAG", "KEY", "OTHER", "OTHER"]
+    assert val(g.classify_action(F.lit("dragTo(1)"), drag=False)) == "MOVE"
+    assert val(g.summarize_action(F.lit("TYPE"), box(0.5, 0.5), F.lit(None).cast("array<double>"), F.lit(" a\nb "))) == "TYPE:a b" and val(g.summarize_action(F.lit("DRAG"), box(0.5, 0.5), F.lit(None).cast("array<double>"), F.lit(""))) == "DRAG"
     assert val(g.summarize_action(F.lit("CLICK"), box(0.8765, 0.5), F.lit(None).cast("array<double>"), F.lit(""))) == "CLICK@%.3f,%.3f" % (0.8765, 0.5)
     assert val(g.summarize_action(F.lit("TYPE"), F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>"), F.lit("x" * 70))) == "TYPE:" + "x" * 61 + "..."
     assert val(g.fit_side(F.lit(2560), F.lit(1000)))["height"] == 500
@@ -74,7 +87,7 @@ def test_streaming_equals_batch(spark, data):
 
     batch = {r.row_id: (r.stall, r.guard) for r in manifest.stall(spark, data).collect()}
     assert {r.row_id: (r.stall, r.guard) for r in runs.stall(spark, data).collect()} == batch
-    assert runs.dedup(spark, data).first().kept == manifest.table(spark, data, "main_raw").select(F.md5(F.substring("text", 1, 8192).cast("binary"))).distinct().count()
+    assert runs.dedup(spark, data).first().kept == manifest.table(spark, data, "main_raw").select(F.md5(F.col("text").cast("binary"))).distinct().count()
 
 
 def test_fact_ingest_adds_only_new_facts(spark, tmp_path):

@@ -66,8 +66,17 @@ def test_tool_calls(spark):
 
 
 def test_openai_messages(spark):
-    rows = [([("assistant", "ok", [(("f", '{"a":1}'),), (("g", "oops"),)]), ("tool", "done", None), ("tool", "<|tool_result|>x", None), ("assistant", None, None)],)]
+    rows = [([("assistant", "ok", None, [(("f", '{"a":1}'),), (("g", "oops"),), (("", "{}"),), (("h", "[1]"),)]), ("tool", "done", "add", None), ("tool", "<|tool_result|>x", None, None), ("assistant", None, None, None), ("judge", "x", None, None)],)]
     got = spark.createDataFrame(rows, f"m {c.OPENAI}").select(c.openai_messages(F.col("m")).alias("m")).first().m
     assert [(m.role, m.content) for m in got] == [
-        ("assistant", 'ok\n<|tool_call|>{"name":"f","arguments":{"a":1}}<|tool_end|>\n<|tool_call|>{"name":"g","arguments":{"raw":"oops"}}<|tool_end|>'), ("tool", "<|tool_result|>done<|tool_end|>"), ("tool", "<|tool_result|>x"),
+        ("assistant", 'ok\n<|tool_call|>{"arguments":{"a":1},"name":"f"}<|tool_end|>\n<|tool_call|>{"arguments":{"raw":"oops"},"name":"g"}<|tool_end|>'), ("tool", '<|tool_result|>{"name":"add","result":"done"}<|tool_end|>'), ("tool", "<|tool_result|>x"),
     ]
+
+
+def test_agentic_messages(spark):
+    turns = [("Reasoning", "<think> a </think>"), ("tool_call", "<tool_call>{}</tool_call>"), ("tool_call", "{}"), ("tool_output", "<tool_response>r</tool_response>"), ("answer", "<answer>son</answer>"), ("user", ""), ("odd", "x"), ("system", "s")]
+    want = [("assistant", "<|plan|>\na\n<|plan_end|>"), ("assistant", "<|tool_call|>{}<|tool_end|>"), ("assistant", "<|tool_call|>{}<|tool_end|>"), ("tool", "<|tool_result|>r<|tool_end|>"), ("assistant", "<|final|>\nson"), ("system", "s")]
+    df = spark.createDataFrame([(turns,)], f"m {c.TRACE}")
+    assert [(m.role, m.content) for m in df.select(c.agentic_messages(F.col("m")).alias("o")).first().o] == want
+    assert [(m.role, m.content) for m in df.select(c.agentic_json(F.to_json("m")).alias("o")).first().o] == want
+    assert spark.range(1).select(c.agentic_json(F.lit("nonsense")).alias("o")).first().o == []

@@ -38,15 +38,24 @@ def test_fill_mix_sees_only_what_was_scanned(spark):
     one = ["aaaaa", "bbbbb", "ccccc", "ddddd"]
     two = ["ccccc", "aaaaa", "eeeee"]
     got = c.fill_mix([("x", table(spark, one).drop("source"), 12), ("y", table(spark, two).drop("source"), 100)], "ord", "text", min_chars=1)
-    assert sorted((r.source_name, r.text) for r in got.collect()) == [("x", "aaaaa"), ("x", "bbbbb"), ("y", "ccccc"), ("y", "eeeee")]
+    assert sorted((r.source_name, r.ord) for r in got.collect()) == [("x", 0), ("x", 1), ("y", 0), ("y", 2)]
 
 
 def test_stop_before_overflow(spark):
     rows = table(spark, ["a" * 10, "b" * 10, "c" * 10])
-    got = c.fill_budget(rows, ["source"], "ord", "text", 25, min_chars=1, dedup_prefix=None, separator_bytes=0, cut_mode="stop")
+    got = c.fill_budget(rows, ["source"], "ord", "text", 25, min_chars=1, dedup_prefix=0, separator_bytes=0, cut_mode="stop")
     assert sorted(r.ord for r in got.collect()) == [0, 1]
 
 
+def test_payloads_and_cuts_at_bytes(spark):
+    rows = table(spark, ["éé", "ab", None, "çç"])
+    out = c.fill_budget(rows, ["source"], "ord", "text", 10, min_chars=1, dedup_prefix=0, slack=0)
+    assert [(r.ord, r.payload) for r in c.payloads(out, rows, ["source"], "ord", "text").orderBy("ord").collect()] == [(0, "éé"), (1, "ab"), (3, "")]
+    raw = c.fill_budget(rows, ["source"], "ord", "text", 10, min_chars=1, dedup_prefix=0, slack=0, cut_mode="bytes")
+    assert [r.written_bytes for r in raw.orderBy("ord").collect()] == [5, 3, 2]
+    assert c.fill_budget(rows.limit(0), ["source"], "ord", "text", 0.5).count() == 0
+
+
 def test_prefix_sum_with_a_hot_key(spark):
     rows = spark.createDataFrame([("hot" if i % 3 else "cold", i, i % 5) for i in range(500)], "k string, o int, v long")
     got = {(r.k, r.o): r.p for r in c.prefix_sum(rows, ["k"], ["o"], F.col("v"), "p").collect()}

@@ -76,7 +76,7 @@ def test_statements_questions_and_plans(spark):
 
     said = {
         "Mert bir bilgisayardır.": ("IsA", ["Mert", "Computer"]), "Ada bir kedidir.": ("IsA", ["Ada", "Cat"]), "Ali Ayşe'den daha uzundur": ("TallerThan", ["Ali", "Ayşe"]), "Ali is taller than Bob.": ("TallerThan", ["Ali", "Bob"]),
-        "Kitap çanta içindedir.": ("LocatedIn", ["Kitap", "çanta"]), "The key is in the box": ("LocatedIn", ["The_key", "box"]), "Rain falls.": None, "": None,
+        "Kitap çanta içindedir.": ("LocatedIn", ["Kitap", "çanta"]), "The key is in the box": ("LocatedIn", ["The_key", "the_box"]), "Rain falls.": None, "": None,
     }
     df = spark.createDataFrame([(x,) for x in said], "s string").select("s", k.statement_atom(F.col("s")).alias("a"))
     assert {r.s: r.a and (r.a.predicate, r.a.args) for r in df.collect()} == said

@@ -43,14 +43,16 @@ def test_ratios_and_natural_text(spark):
     assert run(spark, t.letter_ratio(F.col("x")), "ab! ", "", "12") == [2 / 3, 0.0, 1.0]
     assert run(spark, t.punctuation_ratio(F.col("x")), "ab! ", "") == [1 - 2 / 3, 1.0]
     good = "Genç öğretmen her sabah eski haritaları dikkatle inceler."
-    assert run(spark, t.natural_text(F.col("x")), good, "a " * 40, None, good + "\x01") == [True, False, False, False]
+    assert run(spark, t.natural_text(F.col("x")), good, "a " * 40, None, good + "\x01", good + "\rx", "ab cd ef 12 _x", "evet " * 12) == [True, False, False, False, False, False, False]
 
 
 def test_small_helpers(spark):
     assert run(spark, t.strip_wrapped(F.col("x"), "<a>", "</a>"), "<a> x </a>", "<a> x", "<a></a>") == ["x", "<a> x", ""]
-    assert run(spark, t.turkish_ablative(F.col("x")), "Ankara", "İzmir", "sokak", "ev", "3", "9") == ["Ankara'dan", "İzmir'den", "sokak'tan", "ev'den", "3'ten", "9'dan"]
+    assert run(spark, t.turkish_ablative(F.col("x")), "Ankara", "İzmir", "sokak", "ev", "3", "9", "kş") == ["Ankara'dan", "İzmir'den", "sokak'dan", "ev'den", "3'ten", "9'dan", "kş'den"]
     assert run(spark, t.symbol(F.col("x")), " kırmızı elma?", "3 kedi", "?!") == ["kırmızı_elma", "N_3_kedi", None]
     assert run(spark, t.casefold(F.col("x")), "STRASSE ß", None) == ["strasse ss", None]
     assert run(spark, t.nfkc(F.col("x")), "ﬁ½") == [unicodedata.normalize("NFKC", "ﬁ½")]
     assert run(spark, t.compact_json(("b", F.col("x")), ("a", F.lit(1))), None) == ['{"a":1,"b":null}']
-    assert run(spark, t.alpaca_prompt(F.col("x"), F.lit(" bağ ")), "Sor", "") == ["Sor\n\nBağlam:\nbağ", None]
+    assert run(spark, t.alpaca_prompt(F.col("x"), F.lit(" bağ "), F.lit("yanıt")), "Sor", "") == ["Sor\n\nBağlam:\nbağ", None]
+    assert run(spark, t.alpaca_prompt(F.col("x"), F.lit(None).cast("string"), F.lit(" ")), "Sor") == [None]
+    assert run(spark, t.is_turkish(F.col("x")), "Nedir bu", "plain", "ISI", "Öz", None) == [True, False, False, True, None]
