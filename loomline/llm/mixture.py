@@ -136,17 +136,16 @@ def mixture(records: DataFrame, targets: DataFrame, total_tokens: int | None = N
     sized_lengths = lengths.join(budgets.select("axis", "bucket", "budget_tokens", "max_repeats"), ["axis", "bucket"])
     plans = cut(sized_lengths.groupBy("axis", "bucket").applyInPandas(plan, "axis string, bucket string, tokens bigint, n bigint, base bigint, extra bigint"))
 
-    planned = used.join(plans.where("base > 0 or extra > 0"), ["axis", "bucket", "tokens"])
-    clear = planned.where("extra = 0 or extra = n").withColumn("one", (F.col("extra") > 0).cast("long"))
-    partly = planned.where("extra > 0 and extra < n").withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
+    partly = "extra > 0 and extra < n"
+    planned = used.join(plans.where("base > 0 or extra > 0"), ["axis", "bucket", "tokens"]).withColumn("slice", F.when(F.expr(partly), F.pmod("h", F.lit(SLICES)).cast("int")).otherwise(-1))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("axis", "bucket", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = partly.groupBy("axis", "bucket", "tokens", "extra", "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)))
-    drawn = partly.join(quota.drop("extra"), ["axis", "bucket", "tokens", "slice"])
-    sliced = drawn.where("quota = 0 or quota = m").withColumn("one", (F.col("quota") > 0).cast("long"))
+    quota = planned.where(partly).groupBy("axis", "bucket", "tokens", "extra", "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)))
+    drawn = planned.join(quota.drop("extra"), ["axis", "bucket", "tokens", "slice"], "left")
+    boundary = "quota > 0 and quota < m"
+    clear = drawn.where(f"m is null or not ({boundary})").withColumn("one", F.when(F.col("m").isNull(), F.col("extra") > 0).otherwise(F.col("quota") > 0).cast("long"))
     rank = F.row_number().over(Window.partitionBy("axis", "bucket", "tokens", "slice").orderBy("h", "id"))
-    edge = drawn.where("quota > 0 and quota < m").withColumn("one", (rank <= F.col("quota")).cast("long"))
-    parts = [x.select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")) for x in (clear, sliced, edge)]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("repeats > 0")
+    edge = drawn.where(boundary).withColumn("one", (rank <= F.col("quota")).cast("long"))
+    rows = clear.unionByName(edge).select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")).where("repeats > 0")
 
     reached = rows.groupBy("axis", "bucket").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("repeats").alias("repeats"))
     shares = budgets.join(reached, ["axis", "bucket"], "left").na.fill(0, ["tokens", "records", "repeats"])
