@@ -387,8 +387,8 @@ def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None) -> Profi
     rows = []
     if labelled is not None:
         known = sorted({k for k, _ in clean} | FREQUENT_WORDS.keys())
-        part = labelled.where(F.col("lang").isin(known) & F.col("text").isNotNull() & F.length("text").between(*LABELLED_CHARS))
-        rows = [(r.lang, r.text) for r in bounded_sample(part, "id", LABELLED_ROWS).select("lang", "text").collect()]
+        fits = F.col("lang").isin(known) & F.col("text").isNotNull() & F.length("text").between(*LABELLED_CHARS)
+        rows = [(r.lang, r.text) for r in bounded_sample(labelled, "id", LABELLED_ROWS, fits).select("lang", "text").collect()]
     return Profiles.fit(clean, rows)
 
 
