@@ -65,7 +65,11 @@ def continuation_bank(pairs: DataFrame, top: int = 4, keys: Sequence[str] = ("co
 
     Counts are formed before the shuffle. Ties go to the smaller token.
     """
-    counts = pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("n"))
+    return ranked(pairs.groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("n")), top, keys)
+
+
+def ranked(counts: DataFrame, top: int, keys: Sequence[str] = ("context",)) -> DataFrame:
+    """The largest counts ``n`` of each context, with rank and share of the kept counts."""
     w = Window.partitionBy(*keys)
     ranked = counts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "next"))).where(F.col("rank") <= top)
     return ranked.withColumn("weight", F.col("n") / F.sum("n").over(w))

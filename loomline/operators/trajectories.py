@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.geometry import POINTER, WITH_PAYLOAD, action_error, bbox_centre, norm_bbox, operation_name, parsed_action, summarize_action
-from loomline.operators.corpus import prefix_sum, row_caps
+from loomline.functions.geometry import POINTER, WITH_PAYLOAD, action_error, action_point, bbox_centre, classify_action, norm_bbox, norm_point, operation_name, parsed_action, summarize_action
+from loomline.functions.text import strip
+from loomline.operators.corpus import prefix_sum, quota_and_cap, row_caps
 from loomline.session import cut
 
 
@@ -60,15 +61,24 @@ def valid_labels(rows: DataFrame) -> DataFrame:
 STRETCH = 4096
 
 
+def _cut_up(placed: DataFrame, overlap: int) -> DataFrame:
+    own = F.floor(F.col("__n") / STRETCH)
+    late = F.col("__n") % STRETCH >= STRETCH - overlap
+    return placed.withColumn("__stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__stretch") == own)
+
+
 def stretches(rows: DataFrame, episode: str, order: Sequence[str], overlap: int) -> DataFrame:
     """Rows with their place ``__n`` in the episode and a ``__stretch`` of it. Each stretch also gets the last
     ``overlap`` rows of the one before (``__own`` false), so a window over stretches sees what it needs and no
     task sees a long episode whole. ``__key`` is the episode, '' for a missing one."""
     rows = rows.withColumn("__key", F.coalesce(F.col(episode), F.lit("")))
-    placed = prefix_sum(rows, ["__key"], order, F.lit(1).cast("long"), "__n")
-    own = F.floor(F.col("__n") / STRETCH)
-    late = F.col("__n") % STRETCH >= STRETCH - overlap
-    return placed.withColumn("__stretch", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__stretch") == own)
+    return _cut_up(prefix_sum(rows, ["__key"], order, F.lit(1).cast("long"), "__n"), overlap)
+
+
+def histories_of(placed: DataFrame, summary: str, size: int = 8) -> DataFrame:
+    """Adds ``history`` to rows with ``__key`` and ``__n``: the summaries of up to ``size`` rows before, oldest first."""
+    w = Window.partitionBy("__key", "__stretch").orderBy("__n").rowsBetween(-size, -1)
+    return _cut_up(placed, size).withColumn("history", F.collect_list(summary).over(w)).where("__own").drop("__stretch", "__own")
 
 
 def histories(rows: DataFrame, episode: str, order: Sequence[str], size: int = 8) -> DataFrame:
@@ -77,9 +87,8 @@ def histories(rows: DataFrame, episode: str, order: Sequence[str], size: int = 8
     Rows without an episode form one. Long episodes are cut into stretches that overlap by ``size`` rows.
     """
     summary = summarize_action(operation_name(F.col("operation")), F.col("coord"), F.col("coord2"), F.col("payload"))
-    cut_ = stretches(rows.withColumn("summary", summary), episode, order, size)
-    w = Window.partitionBy("__key", "__stretch").orderBy("__n").rowsBetween(-size, -1)
-    return cut_.withColumn("history", F.collect_list("summary").over(w)).where("__own").drop("__key", "__n", "__stretch", "__own")
+    rows = rows.withColumn("summary", summary).withColumn("__key", F.coalesce(F.col(episode), F.lit("")))
+    return histories_of(prefix_sum(rows, ["__key"], order, F.lit(1).cast("long"), "__n"), "summary", size).drop("__key", "__n")
 
 
 def operation_caps(rows: DataFrame, order: Sequence[str], caps: dict[str, int], default: int | None = None) -> DataFrame:
@@ -168,3 +177,50 @@ def allocation(counts: DataFrame, column: str, n: str, parts: dict[str, float],
     short = F.greatest(F.lit(0).cast("long"), F.col("target") - F.col(n))
     fallback = F.when(short > 0, F.least(F.col("target"), F.greatest(F.lit(least).cast("long"), short + slack)))
     return out.withColumns({"short": short, "fallback_target": fallback}).drop("__part", "__whole")
+
+
+def trajectory_counters(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
+    """Trajectories scanned and successful, their steps, and the steps kept and skipped: one row."""
+    good = F.coalesce("score", F.lit(0.0)) > 0
+    n = F.greatest(F.least(F.size("actions"), F.size("screenshots")), F.lit(0))
+    seen = trajectories.agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(good, 1)).alias("successful"), F.coalesce(F.sum(F.when(good, n)), F.lit(0)).alias("steps"))
+    kept = steps.agg(F.count(F.lit(1)).alias("kept"))
+    return seen.join(kept).withColumn("skipped", F.col("steps") - F.col("kept"))  # one row each
+
+
+def capped_actions(trajectories: DataFrame, key: str, cap: int = 8) -> DataFrame:
+    """Steps of ``key, actions, images`` in pairs, as many as the shorter has, with operation and point of the action's
+    text; the first ``cap`` of each trajectory."""
+    rows = zip_steps(trajectories, [key], "actions", "images").where(F.col("pos") < cap)
+    return rows.select(key, "pos", "images", classify_action(F.col("actions")).alias("op"), action_point(F.col("actions"), F.lit(1920.0), F.lit(1080.0)).alias("coord"), F.substring("actions", 1, 1000).alias("action"))
+
+
+def grounded_boxes(rows: DataFrame, config: str, order: Sequence[str], target: int) -> DataFrame:
+    """Named boxes with their centres; an even share of each configuration and no more than the target in all."""
+    return quota_and_cap(explode_boxes(rows, [config, *order]).where("box is not null"), config, [*order, "pos"], target)
+
+
+def pointed_prompts(rows: DataFrame, key: str, prompt: str, point: str) -> DataFrame:
+    """Prompts after their last image mark with their point in parts of the screen; rows without either are left out."""
+    tail = strip(F.element_at(F.split(F.col(prompt), "<image>"), -1))
+    out = rows.select(key, tail.alias("prompt"), norm_point(F.col(point), F.col("width"), F.col("height")).alias("coord"))
+    return out.where("coord is not null and prompt <> ''")
+
+
+#: Parts of a recording's length at which its frames are taken.
+FRAMES = (0.25, 0.6, 0.85)
+
+
+def captioned_frames(recordings: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """Frames of ``key, label, caption, length`` recordings with their label's name and a caption of at most 500
+    characters; recordings of unknown labels and of no length have none."""
+    named = recordings.join(labels, label).where("length > 0")
+    return named.select(key, "name", F.substring("caption", 1, 500).alias("caption"), F.explode(F.array(*map(F.lit, FRAMES))).alias("part"), "length").withColumn("frame", F.floor(F.col("length") * F.col("part"))).drop("length")
+
+
+def planned_steps(steps: DataFrame, caps: dict[str, int], order: Sequence[str]) -> DataFrame:
+    """Usable steps with the action their code has, or their plan's where the code tells another operation; the first
+    of each operation up to its cap. ``parsed`` and ``planned`` are actions, ``op`` is the plan's operation."""
+    same = F.col("parsed.operation") == F.col("op")
+    rows = usable_steps(steps).withColumn("a", F.when(F.coalesce(same, F.lit(False)), F.col("parsed")).otherwise(F.col("planned"))).where("a is not null")
+    return operation_caps(rows, order, caps)

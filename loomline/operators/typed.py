@@ -1,18 +1,17 @@
-"""Typed operations on rows: arithmetic, comparison, sorting, verification, code analysis, plans. An operation that
+"""Typed operations on rows: arithmetic, comparison, sorting, verification, code analysis. An operation that
 fails gives a row with its error and no exception."""
 
 from __future__ import annotations
 
 import ast
 import re
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-MAX_NODES, MAX_EXPONENT, MAX_VALUE, MAX_STATES = 128, 12, 1e100, 10_000
+MAX_NODES, MAX_EXPONENT, MAX_VALUE = 128, 12, 1e100
 RESULT = StructType([StructField("ok", BooleanType()), StructField("value", DoubleType()), StructField("error", StringType())])
 
 
@@ -139,22 +138,3 @@ def analyze(code: str, language: str) -> dict:
 @F.pandas_udf(CODE)
 def analyze_code(code: pd.Series, language: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([analyze(c or "", (x or "").lower()) for c, x in zip(code, language)], columns=[f.name for f in CODE])
-
-
-def state_plan(start: frozenset, goal: frozenset, actions: list[tuple[str, frozenset, frozenset, frozenset]]) -> tuple[list[str] | None, int]:
-    """Shortest list of action names (name, needs, adds, removes) to a state that holds the goal, and states explored."""
-    if goal <= start:
-        return [], 0
-    queue, seen, explored = deque([(start, [])]), {start}, 0
-    while queue and explored < MAX_STATES:
-        state, path = queue.popleft()
-        explored += 1
-        for name, needs, adds, removes in actions:
-            if needs <= state:
-                after = (state - removes) | adds
-                if goal <= after:
-                    return [*path, name], explored
-                if after not in seen:
-                    seen.add(after)
-                    queue.append((after, [*path, name]))
-    return None, explored

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomline.plans import chat, corpus, deductive, manifest, streams
+from loomline.plans import chat, corpus, deductive, manifest, recordings, streams
 
-PARTS = (corpus, chat, manifest, deductive, streams)
+PARTS = (corpus, chat, manifest, recordings, deductive, streams)
 
 
 def queries() -> dict:

@@ -166,7 +166,7 @@ QUERIES = {
     "action_points": action_points, "runtime_actions": runtime, "plan_actions": plans, "domain_ids": domain_ids, "missing_archives": missing_archives, "preferred_sources": preferred_sources, "operation_allocation": allocations,
     "manifest_stats": statistics, "action_history8": histories, "action_caps_per_op": caps, "action_label_validity": labels, "episode_holdout": holdout, "op_minimum_gate": minimum_gate, "stall_guard_batch": stall,
     "first_delivery": deliveries, "action_parse": parsed, "action_classify": classified, "pointer_metrics": metrics, "shard_sizes": shard_sizes, "lane_interleave": lanes, "bbox_normalise": boxes, "pixel_coordinates": pixels,
-    "stream_running_dedup": runs.dedup, "stream_episode_history": runs.histories, "stream_stall_guard": runs.stall, "stream_operation_counts": runs.counts,
+    "stream_running_dedup": runs.dedup, "stream_episode_history": runs.histories, "stream_stall_guard": runs.stall, "stream_operation_counts": runs.counts, "stream_running_totals": runs.running_totals, "stream_continuations": runs.continuations, "stream_progress": runs.progress,
 }
 
 _HAS = lambda c: f"coalesce(len({c}) >= 2 AND {c}[1] IS NOT NULL AND {c}[2] IS NOT NULL, false)"
@@ -196,6 +196,8 @@ _BOX = "least(1.0, greatest(0.0, CASE WHEN greatest(abs(a), abs(b), abs(c), abs(
 _X1, _Y1, _X2, _Y2 = (_BOX.format(v=v, d=d) for v, d in (("a", 1920.0), ("b", 1080.0), ("c", 1920.0), ("e", 1080.0)))
 
 SQL = {
+    "stream_running_totals": f"SELECT {OP} AS op, coalesce(nullif(trim(source), ''), '(none)') AS source, count(*) AS n FROM cu07_manifest GROUP BY ALL",
+    "stream_progress": "SELECT count(*) AS n, count(text) AS with_text FROM main_raw",
     "episode_holdout": "WITH k AS (SELECT coalesce(nullif(episode_id, ''), nullif(task, ''), coalesce(archive, '') || '|' || coalesce(image, '')) AS k FROM cu07_manifest) SELECT ('0x' || substr(md5(k), 1, 4))::INT % 10 = 0 AS held_out, count(*) AS n, count(DISTINCT k) AS groups FROM k GROUP BY 1",
     "action_parse": rf"""WITH c AS (SELECT row_id, {_CALLS} AS l FROM cu07_manifest WHERE action_source IS NOT NULL), e AS (SELECT row_id, l[-1][1] AS n, l[-1][2] AS a, CASE WHEN len(l) > 1 AND l[1][1] = 'moveTo' AND l[2][1] = 'dragTo' THEN l[1][2] END AS p, l[2][2] AS q FROM c),
         f AS (SELECT *, regexp_extract(a, '^\s*''([^'']*)''', 1) AS t, list_transform(regexp_extract_all(a, '''([^'']*)''', 1), lambda k: k) AS keys FROM e),
@@ -240,6 +242,6 @@ SQL = {
         CAST(floor(least(0.999999, (q + s) / 2) * 16) * 16 + floor(least(0.999999, (p + r) / 2) * 16) AS INT) AS patch FROM n""",
     "pixel_coordinates": "SELECT row_id, CAST(round_even(least(1.0, greatest(0.0, coord[1])) * 1919, 0) AS INT) AS x, CAST(round_even(least(1.0, greatest(0.0, coord[2])) * 1079, 0) AS INT) AS y FROM cu07_manifest WHERE len(coord) = 2 AND coord[1] IS NOT NULL AND coord[2] IS NOT NULL",
     "stream_running_dedup": "SELECT count(DISTINCT md5(text)) + max((text IS NULL)::INT) AS kept FROM main_raw",
-    "stream_episode_history": f"SELECT count(*) AS n, CAST(sum(least(r - 1, 8)) AS BIGINT) AS summaries FROM (SELECT row_number() OVER (PARTITION BY coalesce(episode_id, '') ORDER BY step, row_id) AS r FROM cu07_manifest)",
     "stream_operation_counts": f"SELECT date_trunc('day', recorded_at::TIMESTAMP) AS start, {OP} AS op, count(*) AS n FROM cu07_manifest WHERE recorded_at IS NOT NULL GROUP BY ALL",
 }
+SQL["stream_episode_history"] = SQL["action_history8"]

@@ -89,6 +89,7 @@ def _fold(m: int, p: int) -> str:
 _DRAW = lambda x: f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 SQL = {
+    "stream_continuations": f"WITH {_NG('eval_items', 'item_id', 2)}, c AS (SELECT context, next, count(*) AS n FROM p GROUP BY ALL) SELECT context, next, n FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next) AS r FROM c) WHERE r = 1",
     "token_blocks": f"WITH t AS (SELECT doc_id AS doc, CAST(floor(floor(len({TOKENS}) * 0.99) / 32) * 32 AS BIGINT) AS train FROM documents) SELECT doc, train, greatest(0, CAST(floor((train - 1) / 32) AS BIGINT)) AS blocks FROM t",
     "evaluation_split": f"SELECT sft_id, {_DRAW("'7:' || sft_id")} % 100 < 2 AS held_out FROM main_sft",
     "balanced_sampler": f"""WITH o AS (SELECT coalesce(nullif(upper(trim(operation)), ''), 'OTHER') AS op FROM cu07_manifest), k AS (SELECT op, row_number() OVER (ORDER BY op) - 1 AS k FROM (SELECT DISTINCT op FROM o)),

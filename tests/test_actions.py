@@ -90,6 +90,24 @@ def test_streaming_equals_batch(spark, data):
     assert runs.dedup(spark, data).first().kept == manifest.table(spark, data, "main_raw").select(F.md5(F.col("text").cast("binary"))).distinct().count()
 
 
+def test_folds_over_many_batches_equal_the_batch_operators(spark, data, tmp_path):
+    from loomline.plans import manifest
+    from loomline.session import table
+
+    rows = manifest.stall_input(table(spark, data, "cu07_manifest"))[0].withColumn("episode_id", F.when(F.col("row_id") % 3 > 0, F.lit("long")).otherwise(F.col("episode_id"))).withColumn("step", F.col("row_id").cast("int"))
+    rows = rows.withColumn("action", F.when(F.col("row_id") % 40 < 9, F.lit("same")).otherwise(F.col("action"))).withColumn("delta", F.lit(0.001))
+    for part in range(4):  # four files, in order of the steps
+        rows.where(F.floor((F.col("row_id") - 7_000_000) / 150) == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    batch = {r.row_id: r.history for r in trajectories.histories(rows, "episode_id", ["step", "row_id"]).collect()}
+    found, state = stateful.fold_batches(read(), stateful.history_fold, f"{tmp_path}/h")
+    assert {r.row_id: r.history for r in found.collect()} == batch and max(r["count"] for r in state.groupBy("__key").count().collect()) == 8
+    want = {r.row_id: (r.stall, r.guard) for r in trajectories.stall_guard(rows, "episode_id", ["step", "row_id"], F.col("action"), F.col("delta")).collect()}
+    assert {r.row_id: (r.stall, r.guard) for r in stateful.fold_batches(read(), stateful.guard_fold, f"{tmp_path}/g")[0].collect()} == want
+    total = stateful.fold_batches(read(), stateful.count_fold(["operation"]), f"{tmp_path}/c")[1]
+    assert {tuple(r) for r in total.collect()} == {tuple(r) for r in rows.groupBy("operation").count().collect()}
+
+
 def test_fact_ingest_adds_only_new_facts(spark, tmp_path):
     src = f"{tmp_path}/in"
     ddl = "predicate string, args array<string>"

@@ -59,9 +59,6 @@ def test_typed_operations():
     for bad in ("2**13", "__import__('os')", "1/0", "+".join("1" * 100)):
         with pytest.raises((ValueError, ZeroDivisionError)):
             typed.evaluate(bad)
-    acts = [("open", frozenset({"closed"}), frozenset({"open"}), frozenset({"closed"})), ("save", frozenset({"open"}), frozenset({"saved"}), frozenset())]
-    assert typed.state_plan(frozenset({"closed"}), frozenset({"saved"}), acts) == (["open", "save"], 2)
-    assert typed.state_plan(frozenset({"a"}), frozenset({"z"}), acts)[0] is None
     x = typed.analyze("import os\ndef kare(x):\n    print(abs(x))\n", "python")
     assert x["imports"] == ["os"] and [s["name"] for s in x["symbols"]] == ["kare"] and {(c["scope"], c["target"]) for c in x["calls"]} == {("kare", "print"), ("kare", "abs")}
     assert typed.analyze("def f(x)\n  pass", "python")["diagnostics"][0].startswith("SyntaxError")
