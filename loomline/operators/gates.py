@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def metric_gates(metrics: DataFrame, bounds: dict[str, tuple[str, float]]) -> Da
     return rows.withColumn("ok", F.coalesce(finite & passed, F.lit(False)))
 
 
+def messages(rules: Sequence[tuple[str, str, float]]) -> Column:
+    """Messages of the ``(column, relation, bound)`` rules that a row of metrics fails; null and NaN fail every rule."""
+    test = {"<": lambda c, b: c < b, "<=": lambda c, b: c <= b, ">": lambda c, b: c > b, ">=": lambda c, b: c >= b}
+    one = lambda k, op, b: F.when(~F.coalesce(test[op](F.col(k), F.lit(b)) & ~F.isnan(F.col(k)), F.lit(False)), F.lit(f"{k} is not {op} {b}"))
+    return F.array_compact(F.array(*(one(*r) for r in rules)))
+
+
 def violations(gates: DataFrame) -> Column:
     """Array of the rules that failed, for an aggregate over gates."""
     return F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("rule"))))

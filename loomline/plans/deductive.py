@@ -54,12 +54,15 @@ def derivations(spark, d):
 
 
 def described(spark, d):
-    out = r.describe(facts(spark, d), table(spark, d, "supplier").select(F.col("s_name").alias("entity")))
-    return out.select("entity", F.array_join(F.transform("facts", lambda x: F.concat(x["predicate"], F.lit("("), F.array_join(x["args"], ","), F.lit(")"))), ";").alias("facts"))
+    s = table(spark, d, "supplier")
+    labels = s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("entity"), F.concat(F.lit("No. "), "s_suppkey").alias("label")).distinct()
+    out = r.describe(facts(spark, d), s.select(F.col("s_name").alias("entity")), labels)
+    return out.select("entity", "label", F.array_join(F.transform("facts", lambda x: F.concat(x["predicate"], F.lit("("), F.array_join(x["args"], ","), F.lit(")"))), ";").alias("facts"))
 
 
 def statistics(spark, d):
-    return r.memory_statistics(facts(spark, d), [LOCATED, SERVES]).select("facts", "predicates", F.col("rules").cast("long").alias("rules"))
+    aliases = table(spark, d, "nation").select("n_name")
+    return r.memory_statistics(facts(spark, d), [LOCATED, SERVES], aliases).select("facts", "predicates", F.col("rules").cast("long").alias("rules"), F.col("aliases").cast("long").alias("aliases"))
 
 
 def resolved(spark, d):
@@ -78,8 +81,12 @@ def triples(spark, d):
 
 
 def lexicon(spark, d):
-    rows = table(spark, d, "part").groupBy(F.col("p_brand").alias("word")).agg(F.array_sort(F.collect_set("p_type")).alias("synonyms"))
-    return rows.select("word", F.size("synonyms").cast("long").alias("edges"))
+    """Words with their edges: trimmed synonyms and antonyms that are not empty; words without an edge are left out."""
+    tidy = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    name = F.split("p_type", " ")
+    rows = table(spark, d, "part").groupBy(F.concat(F.lit(" "), "p_brand").alias("word")).agg(F.collect_set(F.concat(name[0], F.lit(" "))).alias("synonyms"), F.collect_set(F.coalesce(F.try_element_at(name, F.lit(5)), F.lit(" "))).alias("antonyms"))
+    out = rows.select(F.trim("word").alias("word"), F.size(tidy(F.col("synonyms"))).cast("long").alias("synonyms"), F.size(tidy(F.col("antonyms"))).cast("long").alias("antonyms"))
+    return out.where("word <> '' and synonyms + antonyms > 0")
 
 
 def arithmetic(spark, d):
@@ -214,12 +221,12 @@ SQL = {
     "deductive_closure": f"WITH RECURSIVE {_FACTS}, {_CLOSED}, {_SERVES} SELECT 'LocatedIn' AS predicate, a || '|' || b AS args FROM l UNION ALL SELECT 'Kind', a || '|' || b FROM f WHERE p = 'Kind' UNION ALL SELECT 'ServesEurope', a FROM s",
     "ground_queries": f"WITH RECURSIVE {_FACTS}, {_CLOSED} SELECT 'LocatedIn' AS predicate, c_name || '|EUROPE' AS args, c_name IN (SELECT a FROM l WHERE b = 'EUROPE') AS answer, CAST(2 AS BIGINT) AS rounds FROM customer",
     "rule_derivations": f"WITH RECURSIVE {_FACTS}, {_CLOSED}, {_SERVES} SELECT 'LocatedIn' AS predicate, l.a || '|' || l.b AS args, 'transitive' AS rule, CAST(2 AS BIGINT) AS premises FROM l LEFT JOIN f ON f.p = 'LocatedIn' AND f.a = l.a AND f.b = l.b WHERE f.a IS NULL UNION ALL SELECT 'ServesEurope', a, 'serves', 3 FROM s",
-    "describe_entity": f"WITH {_FACTS} SELECT s_name AS entity, string_agg(p || '(' || a || ',' || b || ')', ';' ORDER BY p, b) AS facts FROM (SELECT DISTINCT s_name FROM supplier) JOIN f ON a = s_name GROUP BY s_name",
-    "memory_stats": f"WITH {_FACTS} SELECT count(*) AS facts, CAST(3 AS BIGINT) AS predicates, CAST(2 AS BIGINT) AS rules FROM f",
+    "describe_entity": f"WITH {_FACTS} SELECT s_name AS entity, CASE WHEN s_suppkey % 2 = 0 THEN 'No. ' || s_suppkey ELSE replace(s_name, '_', ' ') END AS label, string_agg(p || '(' || a || ',' || b || ')', ';' ORDER BY p, b) AS facts FROM (SELECT DISTINCT s_name, s_suppkey FROM supplier) JOIN f ON a = s_name GROUP BY s_name, s_suppkey",
+    "memory_stats": f"WITH {_FACTS} SELECT count(*) AS facts, CAST(3 AS BIGINT) AS predicates, CAST(2 AS BIGINT) AS rules, (SELECT count(*) FROM nation) AS aliases FROM f",
     "alias_resolution": f"WITH {_FACTS}, m AS (SELECT lower(n_name) AS k, 'N_' || n_nationkey AS v FROM nation) SELECT DISTINCT p AS predicate, coalesce(x.v, a) || '|' || coalesce(y.v, b) AS args FROM f LEFT JOIN m x ON x.k = lower(a) LEFT JOIN m y ON y.k = lower(b)",
     "triple_counts": """WITH t AS (SELECT c_name AS s, o_orderpriority AS r, n_name AS e FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
         SELECT count(*) AS n_triples, count(DISTINCT r) AS predicates, (SELECT count(*) FROM (SELECT s FROM t UNION SELECT e FROM t)) AS entities FROM t""",
-    "lexicon_edges": "SELECT p_brand AS word, count(DISTINCT p_type) AS edges FROM part GROUP BY 1",
+    "lexicon_edges": "SELECT trim(p_brand) AS word, count(DISTINCT split_part(p_type, ' ', 1)) AS synonyms, count(DISTINCT nullif(trim(split_part(p_type, ' ', 5)), '')) AS antonyms FROM part GROUP BY 1",
     "arithmetic_ops": "SELECT o_orderkey, true AS ok, CAST(o_custkey * 3 - (o_orderkey % 7 + 2) * (o_orderkey % 7 + 2) AS DOUBLE) AS value FROM orders",
     "compare_sort_ops": "SELECT l_orderkey, string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), ',' ORDER BY l_quantity DESC) AS sorted, CASE WHEN max(l_quantity) > min(l_quantity) THEN 'greater' ELSE 'equal' END AS relation, round(max(l_quantity) - min(l_quantity), 4) AS difference FROM lineitem GROUP BY 1",
     "verify_ops": "SELECT doc_id, length(text) IS NOT DISTINCT FROM n_chars AS ok FROM documents",

@@ -79,6 +79,52 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(StructType.fromDDL("predicate string, args array<string>")).json(path)
 
 
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object to a line; nulls are kept."""
+    df.write.mode("error").option("ignoreNullFields", "false").json(path)
+
+
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    from loomline.functions.chat import MESSAGE
+
+    return spark.read.schema(StructType.fromDDL(f"sft_id bigint, source string, messages {MESSAGE}")).json(path)
+
+
+_ATOM = "struct<predicate:string,args:array<string>>"
+
+
+def write_memory(facts: DataFrame, rules: Sequence, path: str) -> None:
+    """Facts in order and rules in theirs, as lines of JSON in two folders."""
+    write_facts(facts, f"{path}/facts")
+    rows = [(k, r.name, [(p.predicate, list(p.args)) for p in r.premises], (r.conclusion.predicate, list(r.conclusion.args))) for k, r in enumerate(rules)]
+    facts.sparkSession.createDataFrame(rows, f"ord int, name string, premises array<{_ATOM}>, conclusion {_ATOM}").write.mode("error").json(f"{path}/rules")
+
+
+def read_memory(spark: SparkSession, path: str) -> tuple[DataFrame, list]:
+    """Facts and rules of a saved memory. Rules are as many as were written, which is a text's worth."""
+    from loomline.operators.deductive import Atom, Rule
+
+    rules = spark.read.schema(StructType.fromDDL(f"ord int, name string, premises array<{_ATOM}>, conclusion {_ATOM}")).json(f"{path}/rules").orderBy("ord").collect()
+    atom = lambda a: Atom(a.predicate, tuple(a.args))
+    return read_facts(spark, f"{path}/facts"), [Rule(tuple(map(atom, r.premises)), atom(r.conclusion), r.name) for r in rules]
+
+
+def write_bank(bank: DataFrame, path: str) -> None:
+    """Continuations by fingerprint, sorted within files, so that look-ups read few row groups."""
+    bank.sortWithinPartitions("fp").write.mode("error").parquet(path)
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    """Continuations that count: of known tokens and with a weight."""
+    return spark.read.parquet(path).where("next >= 0 and weight > 0")
+
+
+def find_manifests(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Manifests of one pipeline version in a folder tree of JSON lines; lines that are none are left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").schema(StructType.fromDDL("source string, n bigint, duration bigint, pipeline_version string")).json(path)
+    return rows.where(F.col("pipeline_version") == version)
+
+
 def export_tokens(df: DataFrame, ids: str, path: str) -> None:
     """Token ids as little-endian 16-bit values in one binary column per row."""
 
@@ -95,8 +141,10 @@ def export_tokens(df: DataFrame, ids: str, path: str) -> None:
 
 
 def import_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Token ids of 16-bit values. A value cut in half is an error."""
     unpack = F.pandas_udf(lambda part: part.map(lambda b: np.frombuffer(b, "<u2").astype(np.int32)), "array<int>")
     df = spark.read.parquet(path)
+    df = df.where(F.when(F.octet_length("data") % 2 == 1, F.raise_error(F.lit("a token id is cut"))).otherwise(F.lit(True)))
     return df.withColumn("ids", unpack(F.col("data"))).drop("data")
 
 
