@@ -150,8 +150,9 @@ def pack(places: DataFrame, pack_name: str, capacity: int) -> DataFrame:
     containers.
 
     Stretches of the curve are cut by place and id, so equal texts, whatever their number, spread over tasks.
-    Three rounds pack what earlier rounds left in containers that were not full; each round's tasks see wider
-    stretches. The last round leaves at most one container per task that is not well filled.
+    Three rounds pack what earlier rounds left in containers that were not full. A task's stretch has about as many
+    tokens in each, so with less left it is wider. The last round leaves at most one container per task that is not
+    well filled.
     """
     if capacity < 1:
         raise ValueError("a container needs room")
@@ -164,10 +165,10 @@ def pack(places: DataFrame, pack_name: str, capacity: int) -> DataFrame:
     whole = whole.select(F.concat(F.lit("full-"), F.col("row"), F.lit("-"), F.col("part")).alias("container"), "doc_id", "part", (F.col("part") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("size"), F.lit(capacity).cast("long").alias("used"))
     open_ = parts.where("full = 0 or rest > 0").select("doc_id", F.col("full").alias("part"), (F.col("full") * capacity).alias("token_start"), F.col("rest").alias("size"), "place")
     schema = "doc_id bigint, part bigint, token_start bigint, size bigint, place bigint, used bigint, container string"
-    total = places.agg(F.sum("tokens")).first()[0] or 0
     done = [whole]
-    for number, share in enumerate((1, 8, 64)):
-        tasks = int(max(1, min(total // (STRETCH_TOKENS * share), 100_000)))
+    for number in range(3):
+        left = open_.agg(F.sum("size")).first()[0] or 0  # what earlier rounds left, so later stretches are wider
+        tasks = int(max(1, min(left // STRETCH_TOKENS, 100_000)))
         sorted_ = open_.repartitionByRange(tasks, "place", "doc_id", "part").sortWithinPartitions("place", "doc_id", "part")
         packed = cut(sorted_.mapInPandas(_pack_stretch(capacity, 0.98 if number < 2 else None), schema))
         done.append(packed.where("container is not null").select(F.concat(F.lit(f"r{number}-"), "container").alias("container"), "doc_id", "part", "token_start", "size", "used"))
