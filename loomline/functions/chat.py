@@ -63,6 +63,15 @@ def with_tool_system(messages: Column, tools: Column) -> Column:
     return F.when(need, F.concat(F.array(message("system", F.concat(F.lit("Tools: "), tools))), messages)).otherwise(messages)
 
 
+def add_tool_prompt(messages: Column, prompt: Column) -> Column:
+    """The tools' prompt as a system message in front, or added to the one that is there."""
+    first = messages[0]
+    added = message("system", F.concat(F.coalesce(first["content"], F.lit("")), F.lit("\n\n"), prompt), first["train"])
+    with_it = F.concat(F.array(added), F.slice(messages, F.lit(2), F.greatest(F.size(messages) - 1, F.lit(0))))
+    own = (F.size(messages) > 0) & F.coalesce(first["role"] == "system", F.lit(False))
+    return F.when(own, with_it).otherwise(F.concat(F.array(message("system", prompt)), messages))
+
+
 def agentic_messages(messages: Column, max_chars: int = 16_000) -> Column:
     """Traces with roles of their own: reasoning becomes a plan, tool calls and outputs get markers, answers are final.
     Wrappers in angle brackets give way to the markers. Empty contents and other roles are dropped."""

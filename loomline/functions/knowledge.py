@@ -181,7 +181,7 @@ def ui_plan(goal: Column, elements: Column) -> Column:
     save, type, open, scroll and observe. Steps are ``action, target, payload``."""
     g = F.lower(F.coalesce(goal, F.lit("")))
     usable = F.filter(elements, lambda e: F.coalesce(e["enabled"], F.lit(True)) & F.coalesce(e["visible"], F.lit(True)))
-    first = lambda test: F.filter(usable, test)[0]["id"]
+    first = lambda test: F.get(F.filter(usable, test), F.lit(0))["id"]
     named = lambda w: first(lambda e: F.lower(F.coalesce(e["name"], F.lit(""))).contains(w))
     step = lambda action, target=None, payload=None: F.struct(F.lit(action).alias("action"), (target if target is not None else F.lit(None).cast("string")).alias("target"), (payload if payload is not None else F.lit(None).cast("string")).alias("payload"))
     save = F.coalesce(named("save"), named("kaydet"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomline.plans import chat, corpus, deductive, manifest, recordings, stores, streams
+from loomline.plans import chat, corpus, deductive, details, manifest, recordings, stores, streams
 
-PARTS = (corpus, chat, manifest, recordings, deductive, streams, stores)
+PARTS = (corpus, chat, manifest, recordings, deductive, streams, stores, details)
 
 
 def queries() -> dict:

@@ -125,6 +125,12 @@ def find_manifests(spark: SparkSession, path: str, version: str) -> DataFrame:
     return rows.where(F.col("pipeline_version") == version)
 
 
+def task_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all JSON files below a folder with the file they lie in; what cannot be read is left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").schema(StructType.fromDDL(schema)).json(path)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
 def export_tokens(df: DataFrame, ids: str, path: str) -> None:
     """Token ids as little-endian 16-bit values in one binary column per row."""
 
