@@ -213,8 +213,8 @@ def hashes(spark, d):
 
 
 def compatible(spark, d):
-    """Digest of every row's cleaned text, compatibility forms composed."""
-    return table(spark, d, "main_raw").where("text is not null").select("ord", F.md5(t.clean_text(F.col("text")).cast("binary")).alias("digest"))
+    """Digest of every document's cleaned text, compatibility forms composed."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(t.clean_text(F.col("text")).cast("binary")).alias("digest"))
 
 
 def older_cleaning(spark, d):
