@@ -110,9 +110,9 @@ def mixture(records: DataFrame, targets: DataFrame, total_tokens: int | None = N
     their own as long as their rows differ in nothing but are counted each.
 
     The counts by length are sums formed before the shuffle. A bucket's plan sees its distinct lengths only,
-    never its records. A length that is drawn whole or not at all needs no ranks. Records of any other are cut
-    into SLICES by hash; whole slices are drawn or not, and only a boundary slice is ranked. Shares are sums over
-    the drawn rows.
+    never its records. A length that is drawn whole or not at all needs no shuffle. Records of any other are cut
+    into SLICES by hash, so that a hot length spreads over tasks; each slice has its quota and is ranked by itself.
+    Shares are sums over the drawn rows.
     """
     targets = targets.select("axis", "bucket", "target_share", "max_repeats").distinct()
     wanted = targets.select("axis", "bucket", bucket_name(F.col("bucket")).alias("key"))
@@ -137,18 +137,19 @@ def mixture(records: DataFrame, targets: DataFrame, total_tokens: int | None = N
     plans = cut(sized_lengths.groupBy("axis", "bucket").applyInPandas(plan, "axis string, bucket string, tokens bigint, n bigint, base bigint, extra bigint"))
 
     partly = "extra > 0 and extra < n"
-    planned = used.join(plans.where("base > 0 or extra > 0"), ["axis", "bucket", "tokens"]).withColumn("slice", F.when(F.expr(partly), F.pmod("h", F.lit(SLICES)).cast("int")).otherwise(-1))
+    planned = used.join(plans.where("base > 0 or extra > 0"), ["axis", "bucket", "tokens"])
+    whole = planned.where(f"not ({partly})").withColumn("one", (F.col("extra") > 0).cast("long"))
+    part = planned.where(partly).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
+    slice_ = Window.partitionBy("axis", "bucket", "tokens", "slice")
     before = F.coalesce(F.sum("m").over(Window.partitionBy("axis", "bucket", "tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = planned.where(partly).groupBy("axis", "bucket", "tokens", "extra", "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)))
-    drawn = planned.join(quota.drop("extra"), ["axis", "bucket", "tokens", "slice"], "left")
-    boundary = "quota > 0 and quota < m"
-    clear = drawn.where(f"m is null or not ({boundary})").withColumn("one", F.when(F.col("m").isNull(), F.col("extra") > 0).otherwise(F.col("quota") > 0).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("axis", "bucket", "tokens", "slice").orderBy("h", "id"))
-    edge = drawn.where(boundary).withColumn("one", (rank <= F.col("quota")).cast("long"))
-    rows = clear.unionByName(edge).select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")).where("repeats > 0")
+    quota = part.groupBy("axis", "bucket", "tokens", "extra", "slice").agg(F.count(F.lit(1)).alias("m")).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("m"), F.col("extra") - before)))
+    # The join brings each slice together, so its ranks cost no further shuffle.
+    drawn = part.join(quota.drop("extra", "m"), ["axis", "bucket", "tokens", "slice"])
+    ranked = drawn.withColumn("one", (F.row_number().over(slice_.orderBy("h", "id")) <= F.col("quota")).cast("long"))
+    rows = whole.unionByName(ranked.drop("slice", "quota")).select("axis", "bucket", "id", "tokens", (F.col("base") + F.col("one")).alias("repeats")).where("repeats > 0")
 
     reached = rows.groupBy("axis", "bucket").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("records"), F.max("repeats").alias("repeats"))
     shares = budgets.join(reached, ["axis", "bucket"], "left").na.fill(0, ["tokens", "records", "repeats"])
-    whole = F.sum("tokens").over(Window.partitionBy("axis"))
-    shares = shares.withColumn("actual_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0)))
+    total = F.sum("tokens").over(Window.partitionBy("axis"))
+    shares = shares.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
     return rows, shares.select("axis", "bucket", "target_share", "max_repeats", "available_tokens", "budget_tokens", "tokens", "records", "repeats", "actual_share")
