@@ -194,21 +194,21 @@ def _forms_sql(name: str, text: str, forms) -> str:
 _TWO = {"f": "true", "r": "true", "q": "q_n > 1", "e": "false"}
 _PARTS = (("e", "un", knowledge.DESCRIBE_FORMS), ("q", "un", knowledge.QUERY_FORMS), ("r", "one", knowledge.RULE_FORMS), ("f", "one", knowledge.FACT_FORMS))
 _IDENTITY = _sql_text("(?i)^(?:" + "|".join(knowledge.IDENTITY) + ")$")
-_COMPILED = rf"""s AS (SELECT unnest(string_split(regexp_replace(text, '([.?!])[ \t\n]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM documents), n AS (SELECT regexp_replace(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g') AS one FROM s),
+COMPILED = rf"""s AS (SELECT unnest(string_split(regexp_replace(text, '([.?!])[ \t\n]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM documents), n AS (SELECT regexp_replace(regexp_replace(s, '^{WS}+|{WS}+$', '', 'g'), '{WS}+', ' ', 'g') AS one FROM s),
     u AS (SELECT one, regexp_replace(one, '[?.!]+$', '') AS un FROM n WHERE one <> ''), m AS (SELECT *, {', '.join(_forms_sql(*p) for p in _PARTS)} FROM u),
     y AS (SELECT *, {', '.join(f"{_symbol_sql(f'{k}_{g}')} AS {k}_s{g}" for k, _, _ in _PARTS for g in (1, 2))} FROM m),
     ok AS (SELECT *, {', '.join(f"{k}_n IS NOT NULL AND {k}_s1 IS NOT NULL AND (NOT ({_TWO[k]}) OR {k}_s2 IS NOT NULL) AS {k}_ok" for k, _, _ in _PARTS)} FROM y)"""
 _FIRST = lambda forms, g: "coalesce(" + ", ".join(f"nullif(regexp_extract(one, {_sql_text('(?i)' + p)}, {g}), '')" for p in forms) + ")"
 _ANY = lambda forms: "(" + " OR ".join(f"regexp_matches(one, {_sql_text('(?i)' + p)})" for p in forms) + ")"
-_MEANT = f"""g AS (SELECT *, starts_with(one, '{{') AND json_valid(one) AS j, regexp_matches(lower(un), {_IDENTITY}) AS i, trim({_FIRST(knowledge.ARITHMETIC_FORMS, 1)}) AS sum, {_ANY(knowledge.COMPARE_FORMS)} AS cmp, {_FIRST(knowledge.COMPARE_FORMS, 1)} AS c1, {_FIRST(knowledge.COMPARE_FORMS, 2)} AS c2, regexp_extract_all({_FIRST(knowledge.SORT_FORMS, 2)}, '-?[0-9]+(?:[.][0-9]+)?') AS v, {_FIRST(knowledge.SORT_FORMS, 1)} AS dir FROM ok),
+MEANT = f"""g AS (SELECT *, starts_with(one, '{{') AND json_valid(one) AS j, regexp_matches(lower(un), {_IDENTITY}) AS i, trim({_FIRST(knowledge.ARITHMETIC_FORMS, 1)}) AS sum, {_ANY(knowledge.COMPARE_FORMS)} AS cmp, {_FIRST(knowledge.COMPARE_FORMS, 1)} AS c1, {_FIRST(knowledge.COMPARE_FORMS, 2)} AS c2, regexp_extract_all({_FIRST(knowledge.SORT_FORMS, 2)}, '-?[0-9]+(?:[.][0-9]+)?') AS v, {_FIRST(knowledge.SORT_FORMS, 1)} AS dir FROM ok),
     h AS (SELECT *, CASE WHEN j THEN 'PROGRAM' WHEN i THEN 'IDENTITY' WHEN e_ok THEN 'DESCRIBE_ENTITY' WHEN q_ok THEN 'QUERY' WHEN r_ok THEN 'RULE' WHEN f_ok THEN 'FACT' WHEN sum <> '' THEN 'ARITHMETIC' WHEN cmp THEN 'COMPARE_VALUES' WHEN len(v) >= 2 THEN 'SORT_VALUES' ELSE 'ERROR' END AS kind FROM g),
     meant AS (SELECT kind, CASE kind WHEN 'QUERY' THEN q_p WHEN 'RULE' THEN r_s2 WHEN 'FACT' THEN f_p END AS predicate, CASE kind WHEN 'DESCRIBE_ENTITY' THEN e_s1 WHEN 'QUERY' THEN q_s1 || CASE WHEN q_n > 1 THEN '|' || q_s2 ELSE '' END WHEN 'RULE' THEN r_s1 WHEN 'FACT' THEN f_s1 || '|' || f_s2 END AS args,
     CASE kind WHEN 'ARITHMETIC' THEN replace(sum, '^', '**') END AS expression, CASE kind WHEN 'COMPARE_VALUES' THEN CAST(c1::DOUBLE AS VARCHAR) || ',' || CAST(c2::DOUBLE AS VARCHAR) WHEN 'SORT_VALUES' THEN array_to_string(list_transform(v, lambda x: CAST(x::DOUBLE AS VARCHAR)), ',') END AS numbers, CASE kind WHEN 'SORT_VALUES' THEN coalesce(lower(dir) IN ('büyükten küçüğe', 'descending'), false) END AS descending FROM h)"""
 
 SQL = {
-    "stated_facts": f"WITH {_COMPILED} SELECT CASE WHEN f_ok THEN f_p END AS states, CASE WHEN q_ok THEN q_p END AS asks, count(*) AS n FROM ok GROUP BY ALL",
-    "compiled_sentences": f"WITH {_COMPILED}, {_MEANT} SELECT kind, predicate, args, expression, numbers, descending, count(*) AS n FROM meant GROUP BY ALL",
-    "executed_sentences": f"""WITH {_COMPILED}, {_MEANT}, p AS (SELECT DISTINCT kind, predicate, args FROM meant), k AS (SELECT predicate, args FROM p WHERE kind = 'FACT' UNION SELECT u.predicate, split_part(m.args, '|', 1) FROM p u JOIN p m ON u.kind = 'RULE' AND m.kind = 'FACT' AND m.predicate = 'IsA' AND split_part(m.args, '|', 2) = u.args),
+    "stated_facts": f"WITH {COMPILED} SELECT CASE WHEN f_ok THEN f_p END AS states, CASE WHEN q_ok THEN q_p END AS asks, count(*) AS n FROM ok GROUP BY ALL",
+    "compiled_sentences": f"WITH {COMPILED}, {MEANT} SELECT kind, predicate, args, expression, numbers, descending, count(*) AS n FROM meant GROUP BY ALL",
+    "executed_sentences": f"""WITH {COMPILED}, {MEANT}, p AS (SELECT DISTINCT kind, predicate, args FROM meant), k AS (SELECT predicate, args FROM p WHERE kind = 'FACT' UNION SELECT u.predicate, split_part(m.args, '|', 1) FROM p u JOIN p m ON u.kind = 'RULE' AND m.kind = 'FACT' AND m.predicate = 'IsA' AND split_part(m.args, '|', 2) = u.args),
         about AS (SELECT split_part(args, '|', 1) AS e, string_agg(predicate || '(' || replace(args, '|', ',') || ')', ';' ORDER BY predicate, args) AS facts FROM p WHERE kind = 'FACT' GROUP BY 1)
         SELECT kind, predicate, args, true AS ok, CASE kind WHEN 'QUERY' THEN CAST(EXISTS (SELECT 1 FROM k WHERE k.predicate = p.predicate AND k.args = p.args) AS VARCHAR) WHEN 'DESCRIBE_ENTITY' THEN coalesce((SELECT facts FROM about WHERE e = p.args), '') ELSE 'recorded' END AS answer
         FROM p WHERE kind IN ('FACT', 'RULE', 'QUERY', 'DESCRIBE_ENTITY')""",

@@ -193,3 +193,9 @@ SQL = {
 }
 
 SQL["stream_fact_ingest"] = deductive.SQL["written_facts"].replace("SELECT p AS predicate, a AS args, count(DISTINCT doc_id) AS documents FROM f GROUP BY ALL", "SELECT DISTINCT p AS predicate, a AS args FROM f")
+_FIELD = lambda *names: "coalesce(" + ", ".join(f"nullif(trim(j->>'{n}'), '')" for n in names) + ")"
+_LINES = deductive.COMPILED.split("n AS (SELECT", 1)[1]
+SQL["record_ingest"] = f"""WITH v AS (SELECT trim(unnest(string_split(text, chr(10))), ' ') AS v FROM documents), o AS (SELECT v, starts_with(v, '{{') AS obj, CASE WHEN starts_with(v, '{{') AND json_valid(v) THEN v END AS j FROM v WHERE v <> ''),
+    tr AS (SELECT r || '|' || s || '|' || e AS fact FROM (SELECT {_FIELD('s_label', 'subject', 's_id')} AS s, {_FIELD('r_label', 'predicate', 'r_id')} AS r, {_FIELD('e_label', 'object', 'e_id')} AS e FROM o WHERE obj) WHERE s IS NOT NULL AND r IS NOT NULL AND e IS NOT NULL),
+    s AS (SELECT v AS s FROM o WHERE NOT obj), n AS (SELECT{_LINES}, {deductive.MEANT}, c AS (SELECT (SELECT count(*) FROM tr) + (SELECT count(*) FROM meant WHERE kind <> 'ERROR') AS accepted)
+    SELECT accepted, (SELECT count(*) FROM o) - accepted AS rejected, (SELECT count(*) FROM (SELECT fact FROM tr UNION SELECT predicate || '|' || args FROM meant WHERE kind = 'FACT')) AS facts_added FROM c"""
