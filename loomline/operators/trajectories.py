@@ -21,15 +21,22 @@ def zip_steps(df: DataFrame, keys: Sequence[str], *arrays: str) -> DataFrame:
     return df.select(*keys, F.posexplode(zipped).alias("pos", "s")).select(*keys, "pos", *(F.col(f"s.{a}").alias(a) for a in arrays))
 
 
+def parsed_steps(steps: DataFrame) -> DataFrame:
+    """Steps (``actions, screenshots, status``) with the action ``a`` that their code has; those that failed or cannot be
+    parsed are left out. Each step is a row of its own, so a recording may have any number of them."""
+    steps = steps.where(F.lower(F.coalesce("status", F.lit(""))).isin("", "success", "none"))
+    a = parsed_action(F.col("actions"), F.col("screenshots.width").cast("double"), F.col("screenshots.height").cast("double"))
+    return steps.withColumn("a", a).where("a.operation is not null")
+
+
 def prepare_steps(trajectories: DataFrame) -> DataFrame:
     """Parsed steps of successful desktop trajectories (``task_id, instruction, domain, score, actions, screenshots,
-    exe_statuses``): steps that failed or cannot be parsed are left out."""
+    exe_statuses``): steps that failed or cannot be parsed are left out. A step has its own status only: with those of
+    the whole trajectory beside each step, memory would grow with the square of its length."""
     good = trajectories.where(F.coalesce("score", F.lit(0.0)) > 0)
-    steps = zip_steps(good, ["task_id", "instruction", "domain", "exe_statuses"], "actions", "screenshots")
-    status = F.lower(F.coalesce(F.try_element_at("exe_statuses", F.col("pos") + 1), F.lit("")))
-    steps = steps.where(status.isin("", "success", "none"))
-    parsed = steps.withColumn("a", parsed_action(F.col("actions"), F.col("screenshots.width").cast("double"), F.col("screenshots.height").cast("double")))
-    return parsed.where("a.operation is not null").select("task_id", "instruction", "domain", "pos", "a.*", F.substring("actions", 1, 2000).alias("action_source"))
+    good = good.withColumn("status", F.transform("actions", lambda _, i: F.get("exe_statuses", i)))
+    steps = zip_steps(good, ["task_id", "instruction", "domain"], "actions", "screenshots", "status")
+    return parsed_steps(steps).select("task_id", "instruction", "domain", "pos", "a.*", F.substring("actions", 1, 2000).alias("action_source"))
 
 
 def explode_boxes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -179,10 +186,11 @@ def allocation(counts: DataFrame, column: str, n: str, parts: dict[str, float],
     return out.withColumns({"short": short, "fallback_target": fallback}).drop("__part", "__whole")
 
 
-def trajectory_counters(trajectories: DataFrame, steps: DataFrame) -> DataFrame:
-    """Trajectories scanned and successful, their steps, and the steps kept and skipped: one row."""
+def trajectory_counters(trajectories: DataFrame, steps: DataFrame, length: Column | None = None) -> DataFrame:
+    """Trajectories scanned and successful, their steps, and the steps kept and skipped: one row. ``length`` is the number
+    of a trajectory's steps, without it that of its actions with a screenshot."""
     good = F.coalesce("score", F.lit(0.0)) > 0
-    n = F.greatest(F.least(F.size("actions"), F.size("screenshots")), F.lit(0))
+    n = F.greatest(F.least(F.size("actions"), F.size("screenshots")), F.lit(0)) if length is None else length
     seen = trajectories.agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(good, 1)).alias("successful"), F.coalesce(F.sum(F.when(good, n)), F.lit(0)).alias("steps"))
     kept = steps.agg(F.count(F.lit(1)).alias("kept"))
     return seen.join(kept).withColumn("skipped", F.col("steps") - F.col("kept"))  # one row each

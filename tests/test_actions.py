@@ -1,7 +1,10 @@
+import duckdb
+import oracle
 from pyspark.sql import functions as F
 
 from loomline.functions import geometry as g
 from loomline.operators import gates, generators, streams, trajectories
+from loomline.plans import recordings
 from loomline.streaming import runs, stateful
 
 
@@ -57,6 +60,32 @@ def test_trajectory_steps(spark):
     assert trajectories.usable_steps(flags).count() == 1
 
 
+def test_a_long_trajectory_has_each_status_once(spark):
+    n = 30_000  # 14 GB with all statuses beside each step
+    steps = F.sequence(F.lit(1), F.lit(n))
+    df = spark.range(1).select(
+        F.lit("t").alias("task_id"), F.lit("do").alias("instruction"), F.lit("d").alias("domain"), F.lit(1.0).alias("score"), F.transform(steps, lambda i: F.lit("pyautogui.click(1, 1)")).alias("actions"),
+        F.transform(steps, lambda i: F.struct(F.lit(10).alias("width"), F.lit(10).alias("height"))).alias("screenshots"), F.slice(F.transform(steps, lambda i: F.when(i % 3 == 0, "failed").otherwise("Success")), 1, n - 6).alias("exe_statuses"),
+    )
+    got = trajectories.prepare_steps(df).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("pos") % 3 == 2, 1)).alias("late")).first()
+    assert (got.n, got.late) == (n * 2 // 3 + 2, 2)  # the last six have no status, two of which are third ones
+
+
+def test_recordings_of_any_length_are_rows(spark, tmp_path):
+    """Steps of episodes without a name all fall into one recording."""
+    n = 30_000
+    rows = spark.range(n).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 9, F.lit("e")).otherwise("").alias("episode_id"), (F.col("id") * 7 % 15 + 1).cast("int").alias("step"), F.lit("task").alias("task"), F.lit("d").alias("domain"), F.lit("i").alias("image"),
+        F.when(F.col("id") % 4 == 0, "nonsense(").when(F.col("id") % 4 == 1, "pyautogui.write('a')").otherwise("pyautogui.click(1, 1)").alias("action_source"),
+    )
+    rows.withColumn("row_id", F.col("row_id") + 1).write.parquet(str(tmp_path / "cu07_manifest.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW cu07_manifest AS SELECT * FROM '{tmp_path}/cu07_manifest.parquet/*.parquet'")
+    for name in ("recorded_steps",):
+        ours = recordings.QUERIES[name](spark, str(tmp_path))
+        assert oracle.rows(ours.toPandas()) == oracle.rows(db.execute(recordings.SQL[name]).df()), name
+
+
 def test_gates(spark):
     got = gates.minimum_gates(spark.createDataFrame([("a", 5.0)], "rule string, actual double"), {"a": 3, "b": 1}).orderBy("rule").collect()
     assert [(r.rule, r.ok) for r in got] == [("a", True), ("b", False)]
