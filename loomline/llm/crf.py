@@ -49,11 +49,16 @@ class Model:
             out += np.take(self.unary, features[:, k], 0)
         return out
 
-    def fit(self, features: np.ndarray, labels: np.ndarray, graph: Graph, rounds: int = 60, rate: float = 1.0, decay: float = 1e-6) -> Model:
-        """Maximise the probability of each label given the labels around it (Adagrad over all tokens)."""
+    def gains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of squared gradients to begin with."""
+        return np.full_like(self.unary, 1e-6), np.full_like(self.pair, 1e-6)
+
+    def fit(self, features: np.ndarray, labels: np.ndarray, graph: Graph, rounds: int = 60, rate: float = 1.0, decay: float = 1e-6, gains: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+        """Maximise the probability of each label given the labels around it (Adagrad over all tokens). With the ``gains``
+        of earlier batches of tokens, which are added to, the fit goes on from them."""
         n, k = len(labels), self.pair.shape[1]
         flat = features.reshape(-1)
-        gain_u, gain_p = np.full_like(self.unary, 1e-6), np.full_like(self.pair, 1e-6)
+        gain_u, gain_p = gains or self.gains()
         truth = np.eye(k, dtype=np.float32)[labels]
         for _ in range(rounds):
             z = self.scores(features)

@@ -2,8 +2,8 @@
 
 A skip-chain conditional random field labels every token of every document; the stretches found are the runs
 of its labels. Forms and cue words of ``candidates`` are features of the field beside words, shapes, word lists
-and neighbours, and repeated words of a document share evidence. The field is fitted on a bounded sample of the
-documents themselves, whose labels come from the candidates; in half of them it does not see these, so that
+and neighbours, and repeated words of a document share evidence. The field is fitted on all documents
+themselves, whose labels come from the candidates; in half of them it does not see these, so that
 the other features learn to do without.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 from loomline.llm.crf import Graph, Model
 from loomline.llm.names import GIVEN_NAMES, ORGANISATIONS, STREET_WORDS, TITLES, UNIT_WORDS
 from loomline.llm.textbatch import LETTER, NUMBER, OTHER, SPACE, TextBatch, folded, mix, slices, within
-from loomline.session import bounded_sample
+from loomline.session import cut
 
 LABELS = ("other", "person", "address", "email", "phone", "national_id")
 PERSON, ADDRESS, EMAIL, PHONE, ID = 1, 2, 3, 4, 5
-#: Documents that the field is fitted on, at most; all documents are labelled.
-SAMPLE_DOCUMENTS = 3000
-#: Longest text of the sample, in characters, which bounds its size; longer texts are labelled like all others.
-SAMPLE_CHARS = 20_000
+#: Documents of one part, about; each part is fitted by one task, and the parts' fields are averaged.
+PART_DOCUMENTS = 20_000
+#: Rounds over each further slice of a part; over its first there are those of the field's own fit.
+LATER_ROUNDS = 6
 BUCKETS = 1 << 17
 #: Code points on either side of a trigger in which forms are looked for; what they find is a feature of the field.
 REACH = 70
@@ -497,43 +498,48 @@ class Nodes:
 
 
 class Finder:
-    """The fitted field with the words that are common in the sample, and those that are frequent in any case there."""
+    """The fitted field with the words that are common in the documents, and those that are frequent in any case there."""
 
     def __init__(self, model: Model, common: frozenset[str], frequent: frozenset[str]):
-        self.model, self.common, self.common_hashes, self.frequent = model, common, hashes(common), hashes(frequent)
+        self.model, self.common, self.common_hashes, self.frequent_words, self.frequent = model, common, hashes(common), frequent, hashes(frequent)
+
+    @classmethod
+    def of_words(cls, counts: dict[str, tuple[int, int]], documents: int) -> Finder:
+        """An empty field with the words that so many documents hold: ``counts`` has in how many a word is in small
+        letters, and in how many in any case."""
+        least = max(3, documents // 400)
+        common = frozenset(w for w, (c, _) in counts.items() if c >= least and w not in GIVEN or c >= 10 * least)
+        return cls(Model(len(LABELS), BUCKETS), common, frozenset(w for w, (_, c) in counts.items() if c >= 3 * least and w not in GIVEN))
 
     @classmethod
     def fit(cls, texts: list[str]) -> Finder:
-        count: dict[str, int] = {}
-        every: dict[str, int] = {}
-        for x in texts:
-            found = set(re.findall(_WORD, x))
-            for w in {fold(w) for w in found if w.islower()}:
-                count[w] = count.get(w, 0) + 1
-            for w in {fold(w) for w in found}:
-                every[w] = every.get(w, 0) + 1
-        least = max(3, len(texts) // 400)
-        common = frozenset(w for w, c in count.items() if c >= least and w not in GIVEN) | frozenset(w for w, c in count.items() if c >= 10 * least)
-        out = cls(Model(len(LABELS), BUCKETS), common, frozenset(w for w, c in every.items() if c >= 3 * least and w not in GIVEN))
-        text = TextBatch(pa.array(texts, pa.string()))
-        nodes = Nodes(text, out.common_hashes, out.frequent, candidates(text, common, out.common_hashes))
-        if nodes.n:
-            labels = nodes.candidate // 2
-            # Tokens beside candidates, numbers, given names and pairs of capital words, and all of every twentieth document.
-            capital = nodes.word & np.isin(nodes.shape, (2, 3))
-            pair = capital & (nodes.near(capital, 1) | nodes.near(capital, -1))
-            mark = (labels > 0) | (nodes.digits > 3) | (nodes.flags // 8 % 2 == 1) & nodes.word | (nodes.doc % 20 == 0) | pair & ~nodes.doubtful()
-            close = np.zeros(nodes.n + 1, np.int64)
-            at = np.flatnonzero(mark)
-            np.add.at(close, np.maximum(at - 6, 0), 1)
-            np.add.at(close, np.minimum(at + 7, nodes.n), -1)
-            # What may be a name outside the lists is no example of anything.
-            use = (np.cumsum(close[:-1]) > 0) & ~nodes.doubtful()
-            window = np.cumsum(use & ~np.append(False, use[:-1]) | np.append(True, nodes.doc[1:] != nodes.doc[:-1]))
-            features = nodes.features(seen=nodes.doc % 2 == 0, listed=nodes.doc % 4 != 3)
-            out.model.fit(features[use], labels[use], Graph(window[use], nodes.doc[use], nodes.keys(out.common_hashes)[use]))
+        out = cls.of_words(word_counts(texts), len(texts))
+        if example := out.examples(TextBatch(pa.array(texts, pa.string()))):
+            out.model.fit(*example)
         return out
 
+    def examples(self, text: TextBatch) -> tuple[np.ndarray, np.ndarray, Graph] | None:
+        """Features, labels and edges of the tokens that the field is fitted on."""
+        nodes = Nodes(text, self.common_hashes, self.frequent, candidates(text, self.common, self.common_hashes))
+        if not nodes.n:
+            return None
+        labels = nodes.candidate // 2
+        # Tokens beside candidates, numbers, given names and pairs of capital words, and all of every twentieth document.
+        capital = nodes.word & np.isin(nodes.shape, (2, 3))
+        pair = capital & (nodes.near(capital, 1) | nodes.near(capital, -1))
+        mark = (labels > 0) | (nodes.digits > 3) | (nodes.flags // 8 % 2 == 1) & nodes.word | (nodes.doc % 20 == 0) | pair & ~nodes.doubtful()
+        close = np.zeros(nodes.n + 1, np.int64)
+        at = np.flatnonzero(mark)
+        np.add.at(close, np.maximum(at - 6, 0), 1)
+        np.add.at(close, np.minimum(at + 7, nodes.n), -1)
+        # What may be a name outside the lists is no example of anything.
+        use = (np.cumsum(close[:-1]) > 0) & ~nodes.doubtful()
+        if not use.any():
+            return None
+        window = np.cumsum(use & ~np.append(False, use[:-1]) | np.append(True, nodes.doc[1:] != nodes.doc[:-1]))
+        features = nodes.features(seen=nodes.doc % 2 == 0, listed=nodes.doc % 4 != 3)
+        return features[use], labels[use], Graph(window[use], nodes.doc[use], nodes.keys(self.common_hashes)[use])
+
     def labels(self, nodes: Nodes) -> tuple[np.ndarray, np.ndarray]:
         """Label of each token by the field's marginals, and its probability."""
         scores = self.model.scores(nodes.features())
@@ -590,10 +596,71 @@ class Finder:
         return out
 
 
+def word_counts(texts: Iterable[str]) -> dict[str, tuple[int, int]]:
+    """In how many texts each folded word is in small letters, and in how many in any case."""
+    low: Counter[str] = Counter()
+    every: Counter[str] = Counter()
+    plain: dict[str, str] = {}
+    for x in texts:
+        found = set(re.findall(_WORD, x))
+        for w in found:
+            if w not in plain:
+                plain[w] = fold(w)
+        low.update({plain[w] for w in found if w.islower()})
+        every.update({plain[w] for w in found})
+    return {w: (low[w], n) for w, n in every.items()}
+
+
+def _word_table(rows: DataFrame) -> DataFrame:
+    """``word, low, every`` of all texts, from one row for each word of an array batch; the row of the word '' counts
+    the texts. Rarer words than any threshold are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = word_counts(x.as_py() for x in batch.column(0)) | {"": (0, batch.num_rows)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], ["word", "low", "every"])
+
+    counts = rows.select("text").mapInArrow(run, "word string, low bigint, every bigint").groupBy("word").agg(F.sum("low").alias("low"), F.sum("every").alias("every"))
+    return cut(counts.where("every >= 3 or word = ''"))
+
+
 def fit_finder(documents: DataFrame, id_column: str, text: str) -> Finder:
-    """A finder fitted on at most SAMPLE_DOCUMENTS documents of at most SAMPLE_CHARS, chosen by a hash of their ids."""
-    rows = bounded_sample(documents, id_column, SAMPLE_DOCUMENTS, F.length(text) <= SAMPLE_CHARS).select(text).collect()
-    return Finder.fit([r[0] for r in rows])
+    """A finder fitted on all documents. Words are counted over all of them. A hash deals the documents into parts of
+    about PART_DOCUMENTS; each part's field is fitted slice by slice, going on from one slice to the next, and the
+    fields are averaged, each feature by the tokens that have it. The parts don't depend on how the table is stored.
+    """
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(id_column, text).alias("hash"))
+    words = _word_table(rows)
+    total = words.where("word = ''").first()
+    n = total["every"] if total else 0
+    some = words.where((F.col("every") >= max(3, n // 400)) & (F.col("word") != "")).toArrow().to_pydict()  # so many that a text of average length has, 400 times at most
+    out = Finder.of_words({w: (a, b) for w, a, b in zip(some["word"], some["low"], some["every"])}, n)
+    shared = documents.sparkSession.sparkContext.broadcast((out.common, out.frequent_words))
+    k = len(LABELS)
+    names = ["bucket", "n", *(f"w{c}" for c in range(k))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(Model(k, BUCKETS), *shared.value)
+        model, gains, used, tokens = finder.model, finder.model.gains(), np.zeros(BUCKETS), 0
+        for _, texts in slices(batches, "text"):
+            if example := finder.examples(texts):
+                model.fit(*example, **({"rounds": LATER_ROUNDS} if tokens else {}), gains=gains)
+                used += np.bincount(example[0].reshape(-1), minlength=BUCKETS)
+                tokens += len(example[1])
+        if tokens:
+            at = np.append(np.flatnonzero(used), BUCKETS + np.arange(2 * k))
+            weight = np.append(used[used > 0], np.full(2 * k, float(tokens)))
+            values = np.concatenate([model.unary[used > 0], model.pair.reshape(2 * k, k)]) * weight[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weight), *(pa.array(values[:, c]) for c in range(k))], names)
+
+    parts = rows.repartition(max(1, -(-n // PART_DOCUMENTS)), "hash").sortWithinPartitions("hash").select("text")
+    sums = parts.mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names[1:])).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()  # bounded by BUCKETS
+    if sums.num_rows:
+        every = np.zeros((BUCKETS + 2 * k, k))
+        every[sums["bucket"].to_numpy()] = np.stack([sums[c].to_numpy() for c in names[2:]], 1) / sums["n"].to_numpy()[:, None]
+        out.model.unary[:] = every[:BUCKETS]
+        out.model.pair[:] = every[BUCKETS:].reshape(2, k, k)
+    return out
 
 
 def find_personal(documents: DataFrame, id_column: str, text: str, finder: Finder) -> DataFrame:
@@ -604,7 +671,7 @@ def find_personal(documents: DataFrame, id_column: str, text: str, finder: Finde
     whole. Repeated rows give repeated results; other columns are ignored.
     """
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(finder)  # bounded by the sample and BUCKETS
+    shared = documents.sparkSession.sparkContext.broadcast(finder)  # bounded by the common words and BUCKETS
     ddl = "doc_id bigint, text string, found array<struct<kind:string,start:int,end:int,found:string>>"
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("found", pa.string())])
 

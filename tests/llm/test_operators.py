@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +11,7 @@ from loomline.llm.language import Profiles, detect_languages, without_code, wron
 from loomline.llm.leaks import MASKS, leaks
 from loomline.llm.mixture import mixture, plan_bucket
 from loomline.llm.packing import curve_places, pack, pack_all
-from loomline.llm.privacy import LABELS, Finder, find_personal, redacted
+from loomline.llm.privacy import LABELS, Finder, find_personal, fit_finder, redacted, word_counts
 from loomline.llm.quality import text_statistics
 from loomline.llm.textbatch import TextBatch
 from loomline.llm.tokens import count_tokens, encode, language_label, token_totals
@@ -301,6 +302,19 @@ def test_personal_information(spark, data):
     assert find_personal(df.limit(0), "doc_id", "text", finder).count() == 0
 
 
+def test_the_field_is_fitted_on_all_documents(spark):
+    """More documents than one sample had, some of them longer than any of it, however they are stored."""
+    texts = [f"Contact: Grace Ashcomby, g{i}@mail.test or +1 (415) 555-{i:04}. word{'abcdefghij'[i % 10]}" for i in range(4000)] + ["langwort " * 3000 + EN] * 12 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, other = (fit_finder(df.repartition(k, "doc_id"), "doc_id", "text") for k in (1, 5))
+    counts = word_counts(x for x in texts if x is not None)
+    assert counts["langwort"] == (12, 12) and counts["grace"] == (0, 4000)
+    assert one.common == other.common == Finder.of_words(counts, 4013).common and {"langwort", "worda", "wordj"} <= one.common
+    assert one.frequent_words == other.frequent_words == Finder.of_words(counts, 4013).frequent_words
+    assert one.model.unary.any() and np.allclose(one.model.unary, other.model.unary, atol=1e-5) and np.allclose(one.model.pair, other.model.pair, atol=1e-5)
+    assert fit_finder(df.limit(0), "doc_id", "text").common == frozenset()
+
+
 def test_identity_numbers_of_letters_and_digits():
     finder = Finder.fit([r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pylist() if r["text"]])
     cases = {
